@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.quality_rules import op2_quality_rules
+from gridloom.llm.simhash import op9_simhash_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
 
