@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.quality_rules import op2_quality_rules
 from gridloom.llm.simhash import op9_simhash_near_dedup
+from gridloom.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_quality_rules": op2_quality_rules,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
