@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.packing import op3_packing
+from gridloom.llm.pii import op10_pii
 from gridloom.llm.quality_rules import op2_quality_rules
 from gridloom.llm.simhash import op9_simhash_near_dedup
 from gridloom.llm.toxicity import op1_toxicity
@@ -15,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_quality_rules": op2_quality_rules,
+        "op3_packing": op3_packing,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_pii": op10_pii,
     }
 
 
