@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.packing import op3_packing
 from gridloom.llm.pii import op10_pii
 from gridloom.llm.quality_rules import op2_quality_rules
+from gridloom.llm.sentence_pieces import op7_sentencepiece
 from gridloom.llm.simhash import op9_simhash_near_dedup
 from gridloom.llm.toxicity import op1_toxicity
+from gridloom.llm.url_rules import op6_url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_quality_rules": op2_quality_rules,
         "op3_packing": op3_packing,
+        "op6_url_rules": op6_url_rules,
+        "op7_sentencepiece": op7_sentencepiece,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_pii": op10_pii,
     }
