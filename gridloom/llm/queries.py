@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.gif_media import op8_gif_media
 from gridloom.llm.packing import op3_packing
 from gridloom.llm.pii import op10_pii
 from gridloom.llm.quality_rules import op2_quality_rules
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op6_url_rules": op6_url_rules,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_gif_media": op8_gif_media,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_pii": op10_pii,
     }
