@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.gif_media import op8_gif_media
+from gridloom.llm.language_model import op4_quality_classifier
 from gridloom.llm.packing import op3_packing
 from gridloom.llm.pii import op10_pii
 from gridloom.llm.quality_rules import op2_quality_rules
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_quality_rules": op2_quality_rules,
         "op3_packing": op3_packing,
+        "op4_quality_classifier": op4_quality_classifier,
         "op6_url_rules": op6_url_rules,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_gif_media": op8_gif_media,
