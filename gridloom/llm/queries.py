@@ -13,6 +13,7 @@ from gridloom.llm.pii import op10_pii
 from gridloom.llm.quality_rules import op2_quality_rules
 from gridloom.llm.sentence_pieces import op7_sentencepiece
 from gridloom.llm.simhash import op9_simhash_near_dedup
+from gridloom.llm.token_files import op5_token_files
 from gridloom.llm.toxicity import op1_toxicity
 from gridloom.llm.url_rules import op6_url_rules
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_packing": op3_packing,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_token_files": op5_token_files,
         "op6_url_rules": op6_url_rules,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_gif_media": op8_gif_media,
