@@ -86,7 +86,7 @@ def mixed_adjacency(mask: DataFrame) -> DataFrame:
     on = lambda i: F.coalesce(F.col("_n")[i], F.lit(False))
     right, down = on(5), on(7)
     falling, rising = on(8) & ~on(5) & ~on(7), on(6) & ~on(3) & ~on(7)
-    steps = F.array(F.struct(F.lit(0).alias("dr"), F.lit(1).alias("dc"), right.alias("ok")), F.struct(F.lit(1), F.lit(0), down), F.struct(F.lit(1), F.lit(1), falling), F.struct(F.lit(1), F.lit(-1), rising))
+    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), ok.alias("ok")) for a, b, ok in ((0, 1, right), (1, 0, down), (1, 1, falling), (1, -1, rising))])
     pairs = n.select("image_id", "r", "c", F.explode(steps).alias("s")).where("s.ok")
     return pairs.select("image_id", "r", "c", (F.col("r") + F.col("s.dr")).alias("r2"), (F.col("c") + F.col("s.dc")).alias("c2"))
 

@@ -200,7 +200,7 @@ def field_document(kinds: DataFrame) -> DataFrame:
     floes = table.where("kind = 'floe'").join(rings, ["image_id", "piece"]).withColumns({"polygon_area": G.polygon_area(F.col("ring"))})
     floe = F.array_sort(F.collect_list(F.struct("piece", "area", "cx", "cy", "polygon_area", "ring"))).alias("floes")
     brash_rows = table.where("kind = 'brash'").withColumn("radius", F.sqrt(F.col("area") / np.pi))
-    brash = F.array_sort(F.collect_list(F.struct("piece", "area", "cx", "cy", "radius"))).alias("brash")
+    brash = F.array_sort(F.collect_list(F.struct("piece", "area", "cx", "cy", "radius"))).alias("disks")
     out = coverages(kinds).join(floes.groupBy("image_id").agg(floe), "image_id", "left").join(brash_rows.groupBy("image_id").agg(brash), "image_id", "left")
     return out
 
@@ -208,7 +208,7 @@ def field_document(kinds: DataFrame) -> DataFrame:
 def pieces_of(documents: DataFrame) -> DataFrame:
     """The inverse: one row a piece."""
     floes = documents.select("image_id", F.explode("floes").alias("p")).select("image_id", F.lit("floe").alias("kind"), "p.piece", "p.area", "p.cx", "p.cy")
-    brash = documents.select("image_id", F.explode("brash").alias("p")).select("image_id", F.lit("brash").alias("kind"), "p.piece", "p.area", "p.cx", "p.cy")
+    brash = documents.select("image_id", F.explode("disks").alias("p")).select("image_id", F.lit("brash").alias("kind"), "p.piece", "p.area", "p.cx", "p.cy")
     return floes.unionByName(brash)
 
 

@@ -16,7 +16,10 @@ from gridloom.sources.shared import shared_dir
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of files, one file a trigger."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet*" if not _is_folder(spark, sf_dir) else "*.parquet").parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, sf_dir) else sf_dir)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    folder = _is_folder(spark, sf_dir)
+    found = reader.parquet(f"{sf_dir}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return found.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _is_folder(spark: SparkSession, sf_dir: str) -> bool:
@@ -47,12 +50,12 @@ def window_counts(events: DataFrame, width: str = "1 day", slide: str | None = N
     """start, event_type, n, total of tumbling or sliding windows; with a watermark for late rows."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     grouped = events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type")
-    return grouped.agg(F.count("*").alias("n"), F.sum(F.floor("value")).cast("bigint").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return grouped.agg(F.count("*").alias("n"), F.sum(F.floor("value")).cast("bigint").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "40 days") -> DataFrame:
     """user_id, start, n of sessions parted by gaps."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def frame_means(events: DataFrame, pixels: int = 1000) -> DataFrame:
