@@ -13,9 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from gridloom.llm.text_arrays import ragged, words_of
+from gridloom.llm.text_arrays import ragged, spans, words_of
 
 MOST_CHUNKS = 600_000
 #: Longer chunks are segmented but not kept.
@@ -75,35 +74,88 @@ class ChunkTable:
 _tables: dict[tuple, ChunkTable] = {}
 
 
-def word_table(path: str) -> ChunkTable:
-    """The worker's table for a tokenizers file whose pre-tokens never contain white space."""
-    if ("word", path) not in _tables:
+#: Cut points inside words: one of these after an ASCII letter always begins a new pre-token.
+AFTER_LETTER = np.zeros(256, bool)
+AFTER_LETTER[list(b".,;:!?%&*#$@()[]{}=+/~^")] = True
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[65:91] = IS_LETTER[97:123] = True
+
+
+class WordSegmenter:
+    """ids of chunks from a tokenizers file that lower-cases, splits letters from the rest, and ends each pre-token
+    with a token of its own kind.
+
+    A chunk of Latin letters is one pre-token, so many such chunks go to the library as one text, and the end-of-word
+    tokens tell them apart again. The rest goes chunk by chunk.
+    """
+
+    def __init__(self, path: str, together: int = 2000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
+        self.library, self.together = Tokenizer.from_file(path), together
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        suffix = self.library.model.end_of_word_suffix
+        if suffix:
+            self.is_end[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.joins = bool(suffix)
+
+    def _each(self, chunks: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for at in range(0, len(chunks), 4096):
+            out += [e.ids for e in self.library.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)]
+        return out
+
+    def __call__(self, chunks: list[str]) -> list[list[int]]:
+        simple = [i for i, c in enumerate(chunks) if c.isalpha() and max(c) < "\u0250" and "\u0130" not in c] if self.joins else []
+        if not simple:
+            return self._each(chunks)
+        out: list[list[int]] = [[]] * len(chunks)
+        for at in range(0, len(simple), self.together):
+            part = simple[at : at + self.together]
+            ids = self.library.encode_batch_fast([" ".join([chunks[i] for i in part])], add_special_tokens=False)[0].ids
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):  # never seen; the plain way is always right
+                for i, own in zip(part, self._each([chunks[i] for i in part])):
+                    out[i] = own
+                continue
+            begin = 0
+            for i, end in zip(part, ends.tolist()):
+                out[i] = ids[begin:end]
+                begin = end
+        rest = sorted(set(range(len(chunks))).difference(simple))
+        for i, own in zip(rest, self._each([chunks[i] for i in rest])):
+            out[i] = own
+        return out
 
-        def segment(chunks: list[str]) -> list[list[int]]:
-            out: list[list[int]] = []
-            for at in range(0, len(chunks), 4096):
-                out += [e.ids for e in library.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)]
-            return out
 
-        _tables["word", path] = ChunkTable(segment)
+def word_table(path: str) -> ChunkTable:
+    """The worker's table for a tokenizers file whose pre-tokens never contain white space."""
+    if ("word", path) not in _tables:
+        _tables["word", path] = ChunkTable(WordSegmenter(path))
     return _tables["word", path]
 
 
 def word_ids(column: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """ids of each text of a column, one text after another, and their boundaries. Null counts as empty.
 
-    Texts are cut at ASCII white space only; the tokenizer's own rules see what lies between.
+    Texts are cut at ASCII white space and between a letter and the mark after it; the tokenizer's own rules see what
+    lies between. A special token's own string is never cut.
     """
     table = word_table(path)
     w = words_of(column)
-    distinct = w.values().dictionary_encode()
+    inside = np.zeros(len(w.data) + 1, bool)
+    inside[1:-1] = AFTER_LETTER[w.data[1:]] & IS_LETTER[w.data[:-1]] if len(w.data) else False
+    inside[w.starts] = False  # a text may begin with a mark right after another's letter
+    cuts = np.flatnonzero(inside)
+    starts = np.sort(np.concatenate([w.starts, cuts]), kind="stable")
+    ends = np.sort(np.concatenate([w.ends, cuts]), kind="stable")
+    distinct = spans(w.data, starts, ends).dictionary_encode()
     row = table.rows(distinct.dictionary.to_pylist())[distinct.indices.to_numpy(zero_copy_only=False)]
     ids, lengths = table.join(row)
-    per_doc = np.bincount(w.doc, weights=lengths, minlength=w.n_docs).astype(np.int64)
+    doc = np.searchsorted(w.offsets, starts, side="right") - 1
+    per_doc = np.bincount(doc, weights=lengths, minlength=w.n_docs).astype(np.int64)
     if end_id is None:
         return ids, np.concatenate(([0], np.cumsum(per_doc)))
     bounds = np.concatenate(([0], np.cumsum(per_doc + 1)))
@@ -119,7 +171,3 @@ def binary_rows(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Little-endian unsigned 32-bit ids between the boundaries, as a binary column."""
     data = np.ascontiguousarray(flat, "<u4")
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(data)])
-
-
-def empty_if_null(column: pa.Array) -> pa.Array:
-    return pc.fill_null(column, "")
