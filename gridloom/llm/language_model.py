@@ -49,13 +49,16 @@ def symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     kind = CLASS[data]
     upper = (data >= 65) & (data <= 90)
+    first = offsets[:-1][np.diff(offsets) > 0]
     if n > 1:
-        kind[1:][upper[1:] & upper[:-1]] = CAPITALS
+        after = np.zeros(n, bool)
+        after[1:] = upper[1:] & upper[:-1]
+        after[first] = False  # the text before has no say
+        kind[after] = CAPITALS
     keep = (data & 0xC0) != 0x80
     blank = kind == SPACE
     if n > 1:
         keep[1:] &= ~(blank[1:] & blank[:-1])
-    first = offsets[:-1][np.diff(offsets) > 0]
     keep[first] = True
     places = np.concatenate(([0], np.cumsum(keep)))[offsets]
     lead = (ORDER - 1) * np.arange(len(offsets))

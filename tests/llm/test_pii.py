@@ -1,0 +1,76 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from gridloom.llm import pii as P
+
+KEY = P.DEMONSTRATION_KEY
+
+
+def luhn(digits):
+    return P.luhn_digit(digits[:-1]) == digits[-1]
+
+
+def test_permutation_is_one_to_one():
+    for domain in (1, 2, 10, 97, 1000):
+        image = [P.permute(i, domain, KEY, b"t") for i in range(domain)]
+        assert sorted(image) == list(range(domain))
+        assert [P.permute(x, domain, KEY, b"t", True) for x in image] == list(range(domain))
+
+
+@given(st.text(alphabet="0123456789abcXYZ.- ", max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_text_keeps_its_format(text):
+    fresh = P.permute_text(text, KEY, b"x")
+    shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", s)))
+    assert shape(fresh) == shape(text) and P.permute_text(fresh, KEY, b"x", True) == text
+
+
+def test_every_kind_keeps_its_check():
+    found = {
+        "card": "4111 1111 1111 1111",
+        "iban": "GB82 WEST 1234 5698 7654 32",
+        "email": "ann.lee7@mail.example.com",
+        "phone": "+1 (017) 555-7713",
+        "ssn": "078-05-1120",
+        "ip": "10.200.3.44",
+        "date": "2024-02-29",
+        "secret": "b44e15e09fd311c3cf3163b66d5a9875b883d8ce",
+    }
+    for kind, value in found.items():
+        text, spans = P.replace(f"it was {value}, then {value}!", KEY)
+        assert [s[0] for s in spans] == [kind, kind], kind
+        a, b = (text[s : s + n] for _, s, n in spans)
+        assert a == b != value and P.replace(text, KEY, True)[0] == f"it was {value}, then {value}!"
+        assert P.PATTERN.fullmatch(a).group(kind) == a
+        if kind == "card":
+            assert luhn(a.replace(" ", ""))
+        if kind == "iban":
+            assert P._iban_rest("GB", a.replace(" ", "")[4:]) + int(a[2:4]) == 98
+
+
+def test_failed_checks_stay():
+    for text in ("4111111111111112", "300.1.1.1", "2023-02-29", "000-12-3456", "version 3.0", "CC BY-NC 4.0.", "12345", "a@b", "31/31/2000", "11111111111111111111111111111111", "x4111111111111111"):
+        assert P.replace(text, KEY) == (text, [])
+
+
+def test_keys_differ():
+    a, b = (P.replace("4111111111111111", k)[0] for k in (b"one", b"two"))
+    assert a != b
+
+
+def test_odd_rows(spark, odd, no_documents):
+    rows = P.pseudonymise(odd).collect()
+    assert len(rows) == odd.count()
+    assert [r._text for r in rows if r.doc_id == 2] == [None]
+    assert P.pseudonymise(no_documents).count() == 0
+    docs = spark.createDataFrame([(1, "mail ann.lee7@mail.example.com", "en", "s", 30), (1, None, None, None, None), (2, "clean 4.0", "en", "s", 999)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.hide_personal_data(spark, docs, "").collect()
+    assert out[0].text != "mail ann.lee7@mail.example.com" and out[0].n_chars == len(out[0].text)
+    assert out[1].text is None and out[2].text == "clean 4.0" and out[2].n_chars == 999
+
+
+def test_equal_values_link_across_documents(spark):
+    docs = spark.createDataFrame([(i, f"{'x ' * i}4111111111111111") for i in range(5)], "doc_id long, text string").repartition(4)
+    assert len({r._text.split()[-1] for r in P.pseudonymise(docs).collect()}) == 1
