@@ -205,7 +205,8 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.998, m
     """
     trusted = own_columns(labels, "doc_id", "quality").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
     documents = own_columns(documents, "doc_id", "lang", "text")
-    model = learn(documents.join(trusted.select("doc_id"), "doc_id", "left_semi"))
+    # each trusted text moves once, at any size: the ids grow with the corpus, so they are never broadcast
+    model = learn(documents.join(trusted.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"))
     scored = stored(perplexity(documents, model, ("doc_id", "lang")), "perplexities")
     known = scored.join(trusted.select("doc_id"), "doc_id", "left_semi").where(F.col("n_symbols") >= LEAST_SYMBOLS)
     bars = known.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("perplexity", quantile, 100_000).alias("own"))
