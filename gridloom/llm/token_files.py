@@ -31,18 +31,24 @@ BLOCK = 4096
 #: ids of one segment; its blocks are coded side by side.
 SEGMENT_IDS = 8_000_000
 
-STEP, LIMIT = 32, 8192
+#: What one sight adds to a count. A block's counts never outgrow 16 bits: 4 * 64 + 12 * BLOCK < 2**16.
+STEP = 12
 TOP, LOWEST, SHIFT = 40, 1 << 24, 16
 SYMBOLS = 64
 NODES = 1 + SYMBOLS
 CONTEXTS_2 = 2048
+CONTEXTS = BLOCK + CONTEXTS_2
 RATE = np.float32(1 / 16)
 #: Row s: what one more sight of symbol s adds to the running counts.
 RAISE = np.triu(np.full((SYMBOLS, SYMBOLS), STEP, np.uint16))
 
 
 class _Mixer:
-    """Adaptive state of all blocks: running counts of every node, guesses of both contexts, and how far to trust them."""
+    """Adaptive state of all blocks: running counts of every node, guesses of both contexts, and how far to trust them.
+
+    A guess and its confidence (0 to 3) share a 16-bit number, guess * 4 + confidence; the two contexts' arrays are
+    handled as two rows of one.
+    """
 
     def __init__(self, sizes: np.ndarray):
         lanes = len(sizes)
@@ -52,79 +58,68 @@ class _Mixer:
         first[:, 1:] = possible.reshape(lanes, SYMBOLS, SYMBOLS)
         self.sums = np.cumsum(first * np.uint16(4), axis=2, dtype=np.uint16).reshape(lanes * NODES, SYMBOLS)
         self.flat = self.sums.reshape(-1)
-        self.guesses = [np.full(lanes * BLOCK, -1, np.int64), np.full(lanes * CONTEXTS_2, -1, np.int64)]
-        self.sures = [np.zeros(lanes * BLOCK, np.int64), np.zeros(lanes * CONTEXTS_2, np.int64)]
-        self.right = [np.full(lanes * 8, 0.3, np.float32) for _ in range(2)]  # by lane, step and confidence
+        self.memory = np.full(lanes * CONTEXTS, -1, np.int16)
+        self.right = np.full(lanes * 16, 0.3, np.float32)  # by lane, context, step and confidence
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
         self.resize(lanes)
 
     def resize(self, lanes: int) -> None:
         self.lane = np.arange(lanes)
-        self.root, self.by_lane = self.lane * NODES, self.lane * 8
-        self.homes = (self.lane * BLOCK, self.lane * CONTEXTS_2)
+        self.root = self.lane * NODES
+        self.by_lane = np.stack([self.lane * 16, self.lane * 16 + 8])
+        self.home = self.lane * CONTEXTS
+        self.at = np.empty((2, lanes), np.int64)
         self.one, self.two = self.one[:lanes], self.two[:lanes]
 
     def begin(self) -> None:
         """Look up what the contexts predict for the next id."""
-        self.at = (self.homes[0] + self.one, self.homes[1] + (((self.two * 0x9E3B + self.one * 0x85EB) >> 3) & (CONTEXTS_2 - 1)))
-        self.guess = [g[a] for g, a in zip(self.guesses, self.at)]
-        self.sure = [s[a] for s, a in zip(self.sures, self.at)]
-        self.live = [g >= 0 for g in self.guess]
+        np.add(self.home, self.one, out=self.at[0])
+        np.add(self.home + BLOCK, ((self.two * 0x9E3B + self.one * 0x85EB) >> 3) & (CONTEXTS_2 - 1), out=self.at[1])
+        self.held = self.memory[self.at].astype(np.int64)
+        self.guess = self.held >> 2
+        self.sure = self.held & 3
+        self.live = self.held >= 0
 
     def look(self, level: int, prefix: np.ndarray | None) -> None:
         """Prepare a step: its node, the guessed symbols and what each guess adds to its symbol's count."""
         self.node = self.root if level == 0 else self.root + 1 + prefix
         self.base = self.node * SYMBOLS
-        self.own = self.flat[self.base + (SYMBOLS - 1)].astype(np.int64)
-        self.total = self.own
-        self.symbols, self.bonus, self.places, self.chances = [], [], [], []
-        for k in (0, 1):
-            symbol = self.guess[k] >> 6 if level == 0 else self.guess[k] & 63
-            place = self.by_lane + (self.sure[k] + 4 * level)
-            chance = self.right[k][place]
-            # a guess stays within the alphabet, so it never lends chance to an impossible symbol
-            bonus = (self.own * (chance / (1 - chance))).astype(np.int64) * self.live[k]
-            self.total = self.total + bonus
-            self.symbols.append(symbol)
-            self.bonus.append(bonus)
-            self.places.append(place)
-            self.chances.append(chance)
-
-    def upto(self, symbol: np.ndarray) -> np.ndarray:
-        """Mixed count of the symbols up to and with this one."""
-        return self.flat[self.base + symbol] + (self.bonus[0] * (self.symbols[0] <= symbol) + self.bonus[1] * (self.symbols[1] <= symbol))
-
-    def before(self, symbol: np.ndarray) -> np.ndarray:
-        below = self.flat[self.base + symbol - (symbol > 0)] * (symbol > 0)
-        return below + (self.bonus[0] * (self.symbols[0] < symbol) + self.bonus[1] * (self.symbols[1] < symbol))
+        own = self.flat[self.base + (SYMBOLS - 1)]
+        self.symbols = self.guess >> 6 if level == 0 else self.guess & 63
+        self.place = self.by_lane + (self.sure + 4 * level)
+        self.chance = self.right[self.place]
+        # a guess stays within the alphabet, so it never lends chance to an impossible symbol
+        self.bonus = (own * (self.chance / (1 - self.chance))).astype(np.int64) * self.live
+        self.total = own + self.bonus[0] + self.bonus[1]
+
+    def share(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mixed counts below a symbol, and its own."""
+        at = self.base + symbol
+        upto = self.flat[at].astype(np.int64)
+        below = np.where(symbol > 0, self.flat[at - 1], 0)  # the first symbol has nothing below; its neighbour isn't used
+        less, same = self.bonus * (self.symbols < symbol), self.bonus * (self.symbols == symbol)
+        return below + less[0] + less[1], upto - below + same[0] + same[1]
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The symbol whose share of the mixed counts holds the value."""
         symbol = np.zeros(len(value), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
-            symbol += width * (self.upto(symbol + (width - 1)) <= value)
+            last = symbol + (width - 1)
+            extra = self.bonus * (self.symbols <= last)
+            symbol += width * (self.flat[self.base + last] + extra[0] + extra[1] <= value)
         return symbol
 
     def learn(self, symbol: np.ndarray) -> None:
         self.sums[self.node] += RAISE[symbol]
-        full = np.flatnonzero(self.own + STEP > LIMIT)
-        if len(full):
-            rows = self.node[full]
-            counts = np.diff(self.sums[rows], axis=1, prepend=np.uint16(0))
-            self.sums[rows] = np.cumsum((counts + 1) >> 1, axis=1, dtype=np.uint16)
-        for k in (0, 1):
-            hit = self.symbols[k] == symbol
-            chance = self.chances[k]
-            self.right[k][self.places[k]] = np.minimum(chance + (hit - chance) * (RATE * self.live[k]), np.float32(0.95))
-            self.live[k] = self.live[k] & hit
+        hit = self.symbols == symbol
+        self.right[self.place] = np.minimum(self.chance + (hit - self.chance) * (RATE * self.live), np.float32(0.9))
+        self.live &= hit
 
     def end(self, found: np.ndarray) -> None:
-        """Remember the id that came."""
-        for k in (0, 1):
-            same, sure = self.guess[k] == found, self.sure[k]
-            self.guesses[k][self.at[k]] = np.where(sure == 0, found, self.guess[k])
-            self.sures[k][self.at[k]] = np.minimum(np.maximum(sure + 2 * same - 1, 0), 3)
+        """Remember the id that came: a right guess gains confidence, a wrong one loses it and then its place."""
+        same = self.guess == found
+        self.memory[self.at] = np.where(same, self.held + (self.sure < 3), np.where(self.sure > 0, self.held - 1, found << 2))
         self.two, self.one = self.one, found
 
 
@@ -167,10 +162,10 @@ def code(indices: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
         high = whole >> 6
         for level, symbol in enumerate((high, whole & 63)):
             mixer.look(level, high)
-            below = mixer.before(symbol)
+            below, own = mixer.share(symbol)
             part = range_[:active] // mixer.total
             low[:active] += part * below
-            left = part * (mixer.upto(symbol) - below)
+            left = part * own
             range_[:active] = left
             mixer.learn(symbol)
             small = np.flatnonzero(left < LOWEST)
@@ -218,8 +213,8 @@ def decode(coded: list[bytes], lengths: np.ndarray, sizes: np.ndarray) -> list[n
             mixer.look(level, high)
             part = range_[:active] // mixer.total
             symbol = mixer.find(np.minimum(window[:active] // part, mixer.total - 1))
-            below = mixer.before(symbol)
-            left = part * (mixer.upto(symbol) - below)
+            below, own = mixer.share(symbol)
+            left = part * own
             window[:active] -= part * below
             range_[:active] = left
             mixer.learn(symbol)
