@@ -327,3 +327,38 @@ def power_law_values(spark, d):
 @query("nearest_centre", "SELECT p_partkey AS id, CAST(CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 20 THEN 1 WHEN p_size <= 30 THEN 2 ELSE 3 END AS BIGINT) AS k FROM part")
 def nearest_centre(spark, d):
     return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), C.nearest_centre(F.col("p_size").cast("double"), [5.0, 15.0, 25.0, 35.0]).alias("k"))
+
+
+@query("three_thresholds")
+def three_thresholds(spark, d):
+    return T.three_thresholds(V.gray_images(spark, d).where("image_id < 3"))
+
+
+@query("diameter_analysis", "WITH p AS (SELECT p_size * 20.0::DOUBLE AS a, p_size * 17.0::DOUBLE AS b FROM part), k AS (SELECT ceil(sqrt(4 * a / 3.141592653589793::DOUBLE) - 0.5) AS x, ceil(sqrt(4 * b / 3.141592653589793::DOUBLE) - 0.5) AS y FROM p), g AS (SELECT k.range AS bin FROM range(0, 100) k), x AS (SELECT bin, CAST(count(k.x) AS BIGINT) AS n FROM g LEFT JOIN k ON least(100, greatest(1, k.x)) = bin + 1 GROUP BY 1), y AS (SELECT bin, CAST(count(k.y) AS BIGINT) AS n FROM g LEFT JOIN k ON least(100, greatest(1, k.y)) = bin + 1 GROUP BY 1) SELECT x.bin, x.n AS n_polygon, y.n AS n_pixel, x.n - coalesce(z.n, 0) AS difference FROM x JOIN y USING (bin) LEFT JOIN y z ON z.bin = x.bin + 1")
+def diameter_analysis(spark, d):
+    size = F.col("p_size")
+    return D.diameter_analysis(V.table(spark, d, "part").select((size * 20.0).alias("polygon_area"), (size * 17.0).alias("pixel_area")), 1.0)
+
+
+@query("lloyd_plus_plus")
+def lloyd_plus_plus(spark, d):
+    p = _points(spark, d)
+    centres, history, n = C.lloyd(p, C.plus_plus_start(p, 3), max_iter=15)
+    rows = [(i, *map(float, c)) for i, c in enumerate(sorted(centres))]
+    return rounded(spark.createDataFrame(rows, "k bigint, x double, y double"), "x", "y", digits=3)
+
+
+@query("generated_clusters")
+def generated_clusters(spark, d):
+    from gridloom.sources.generated import clusters
+
+    p = clusters(spark, outlier=(20.0, 20.0))
+    centres, history, _ = C.lloyd(p, C.equal_start(p, 2))
+    return spark.createDataFrame([(i, h) for i, h in enumerate(history)], "iteration bigint, objective double")
+
+
+@query("generated_bimodal_otsu")
+def generated_bimodal_otsu(spark, d):
+    from gridloom.sources.generated import bimodal
+
+    return rounded(T.otsu_concentration(bimodal(spark)), "effectiveness", "concentration")

@@ -284,3 +284,31 @@ def tiled_segmentation(spark, d):
 
     tiled = P.tiled_layers(TI.to_tiles(V.gray_images(spark, d), 25, 40, 16, 4))
     return TI.stitch(tiled)
+
+
+@query("painted_contours")
+def painted_contours(spark, d):
+    return G.painted(G.contours(_blobs(spark)))
+
+
+@query("border_marker", f"WITH {MASK} SELECT image_id, r, c, NOT v AND (r IN (0, 24) OR c IN (0, 39)) AS v FROM mask")
+def border_marker(spark, d):
+    return G.border_marker(V.masks(spark, d))
+
+
+@query("classic_snake")
+def classic_snake(spark, d):
+    from gridloom.sources.generated import u_shape
+
+    px = u_shape(spark).select(*KEY, F.when(F.col("v"), 200).otherwise(30).cast("bigint").alias("v"))
+    return rounded(P.classic_snake(px, 32.0, 32.0, 28.0), "x", "y", digits=3)
+
+
+@query("tank_rectangles")
+def tank_rectangles(spark, d):
+    from gridloom.operators.thresholds import otsu_mask
+    from gridloom.sources.generated import tank
+
+    labels = G.label_images(otsu_mask(tank(spark)), 4)
+    kept, shared = P.rectangle_model(P.rectangles(G.area_open(labels, 8)))
+    return kept.groupBy("image_id").agg(F.count("*").alias("n"), r6(F.sum("area"), 3).alias("area"))

@@ -387,3 +387,62 @@ def tile_stitch_first(spark, d):
 def homomorphic_filter(spark, d):
     found = per_image(V.gray_images(spark, d), lambda a: {"out": K.homomorphic(a)}, "out double")
     return rounded(found, "out", digits=4)
+
+
+def _mapped(r: str, c: str) -> str:
+    return f"WITH {PX} SELECT p.image_id, p.r, p.c, round(sum(q.v * w), 6) AS out FROM px p CROSS JOIN {_weights(_K)} JOIN px q ON q.image_id = p.image_id AND q.r = {r} AND q.c = {c} GROUP BY 1, 2, 3"
+
+
+@query("correlate_symmetric", _mapped("least(24, greatest(0, p.r + dr))", "least(39, greatest(0, p.c + dc))"))
+def correlate_symmetric(spark, d):
+    return rounded(N.correlate_padded(V.gray_images(spark, d), _K, V.ROWS, V.COLUMNS).select(*KEY, "out"), "out")
+
+
+@query("correlate_circular", _mapped("(p.r + dr + 25) % 25", "(p.c + dc + 40) % 40"))
+def correlate_circular(spark, d):
+    return rounded(N.correlate_padded(V.gray_images(spark, d), _K, V.ROWS, V.COLUMNS, "circular").select(*KEY, "out"), "out")
+
+
+@query("correlate_constant", f"WITH {PX}, n7 AS (SELECT p.image_id, p.r, p.c, o.dr, o.dc, coalesce(q.v, 7) AS v FROM px p CROSS JOIN {_OFF} o LEFT JOIN px q ON q.image_id = p.image_id AND q.r = p.r + o.dr AND q.c = p.c + o.dc) SELECT image_id, r, c, round(sum(v * w), 6) AS out FROM n7 JOIN {_weights(_K)} USING (dr, dc) GROUP BY 1, 2, 3")
+def correlate_constant(spark, d):
+    return rounded(N.correlate_padded(V.gray_images(spark, d), _K, V.ROWS, V.COLUMNS, "constant", 7.0).select(*KEY, "out"), "out")
+
+
+@query("internal_gradient_radii", f"WITH {PX} SELECT p.image_id, CAST(k.range AS BIGINT) AS radius, p.r, p.c, CAST(max(p.v) - min(q.v) AS BIGINT) AS internal FROM px p CROSS JOIN range(1, 3) k JOIN px q ON q.image_id = p.image_id AND (q.r - p.r) * (q.r - p.r) + (q.c - p.c) * (q.c - p.c) <= k.range * k.range GROUP BY 1, 2, 3, 4")
+def internal_gradient_radii(spark, d):
+    px = V.gray_images(spark, d)
+    each = [M.gradient(px, M.disk(k)).select("image_id", F.lit(k).cast("bigint").alias("radius"), "r", "c", "internal") for k in (1, 2)]
+    return each[0].unionByName(each[1])
+
+
+@query("octagon_opening")
+def octagon_opening(spark, d):
+    return M.opening(V.gray_images(spark, d), M.disk_by_lines(3)).select(*KEY, "out")
+
+
+@query("reconstruct_iterative")
+def reconstruct_iterative(spark, d):
+    from gridloom.operators.iterative import reconstruct_by_steps
+
+    px = V.gray_images(spark, d).where("image_id = 0")
+    marker = px.withColumn("v", F.greatest(F.col("v") - 40, F.lit(0)))
+    return reconstruct_by_steps(marker, px)[0]
+
+
+_GROW = "WITH RECURSIVE {px}, o AS (SELECT image_id, r, c FROM px WHERE {on}), g(image_id, r, c) AS (SELECT image_id, r, c FROM o WHERE image_id = 0 AND r BETWEEN 10 AND 14 AND c = 20 UNION SELECT o.image_id, o.r, o.c FROM g JOIN o ON o.image_id = g.image_id AND {near})"
+
+
+@query("grow_from_seeds", _GROW.format(px=PX, on="v > 30", near="abs(o.r - g.r) <= 1 AND abs(o.c - g.c) <= 1") + " SELECT image_id, r, c FROM g")
+def grow_from_seeds(spark, d):
+    from gridloom.operators.iterative import grow_from_seeds as grow
+
+    mask = V.masks(spark, d, 30).where("image_id = 0")
+    return grow(mask, mask.where("r between 10 and 14 and c = 20")).select(*KEY)
+
+
+@query("fill_from_seeds", _GROW.format(px=PX, on="v <= 30", near="abs(o.r - g.r) + abs(o.c - g.c) = 1") + " SELECT image_id, r, c FROM g UNION SELECT image_id, r, c FROM px WHERE v > 30 AND image_id = 0")
+def fill_from_seeds(spark, d):
+    from gridloom.operators.iterative import fill_from_seeds as fill
+
+    mask = V.masks(spark, d, 30).where("image_id = 0")
+    return fill(mask, mask.where("r between 10 and 14 and c = 20"))

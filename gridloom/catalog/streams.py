@@ -76,3 +76,10 @@ def stream_running_maximum(spark, d):
 @query("frame_event_times", "SELECT event_id // 1000 AS frame_idx, min(ts) AS first_ts, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def frame_event_times(spark, d):
     return V.frames(spark, d).groupBy("frame_idx").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
+
+
+@query("generated_video_pieces")
+def generated_video_pieces(spark, d):
+    from gridloom.sources.generated import masks_video
+
+    return P.largest_piece(masks_video(spark, blank=3), 20)

@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.expr import size_colour
+from gridloom.functions.expr import caliper_diameter, size_colour
 from gridloom.operators import kernels as K
-from gridloom.operators.histograms import centre_histogram, equal_histogram
+from gridloom.operators.histograms import centre_histogram
 
 
 def cumulative_sizes(values: DataFrame, column: str = "area", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -84,5 +84,11 @@ def fit_curves(points: DataFrame, kinds: tuple[str, ...] = ("power",), key: str
     return points.select(key, F.col("x").cast("double"), F.col("y").cast("double")).groupBy(key).applyInPandas(run, f"{key} bigint, model string, p1 double, p2 double, p3 double, residual double, steps bigint")
 
 
-def mean_sizes(values: DataFrame, column: str, n: int = 10) -> DataFrame:
-    return equal_histogram(values, column, n)
+def diameter_analysis(pieces: DataFrame, scale: float, bins: int = 100) -> DataFrame:
+    """bin (diameters 1, 2, ...), n_polygon, n_pixel, difference: how many pieces (polygon_area, pixel_area) have each
+    equivalent diameter, and polygons of one less pixel pieces of the next."""
+    centres = [float(i + 1) for i in range(bins)]
+    of = lambda c: centre_histogram(pieces.select(caliper_diameter(c, scale).alias("d")), "d", centres)
+    a, b = of("polygon_area"), of("pixel_area")
+    both = histogram_difference(a, b).drop("difference")
+    return both.join(shifted_difference(a, b), "bin").select("bin", F.col("n_a").alias("n_polygon"), F.col("n_b").alias("n_pixel"), "difference")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def raster(pdf: pd.DataFrame, value: str = "v", fill=0) -> tuple[np.ndarray, int, int]:
@@ -54,3 +55,31 @@ def rows_per_image(px: DataFrame, kernel: Callable[[np.ndarray], pd.DataFrame],
 
     lead = ", ".join(f"{k} bigint" for k in keys)
     return px.select(*keys, "r", "c", value).groupBy(*keys).applyInPandas(run, f"{lead}, {schema}")
+
+
+BUCKETS = 8
+
+
+def per_region(labels: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: tuple[str, ...] = ("image_id", "label"), columns: tuple[str, ...] = ("r", "c"), buckets: int = BUCKETS) -> DataFrame:
+    """Run ``kernel`` on the pixels of every region; it returns rows of ``schema`` without the keys.
+
+    A task group is one image's share of regions by label, not one region: most regions are small, and a group of its
+    own costs more than they do. The regions of an image spread over ``buckets`` groups.
+    """
+    image, label = keys
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(label, kind="stable")
+        names = pdf[label].to_numpy()
+        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            rows = kernel(pdf.iloc[a:b])
+            rows.insert(0, label, names[a])
+            out.append(rows)
+        whole = pd.concat(out, ignore_index=True)
+        whole.insert(0, image, pdf[image].iloc[0])
+        return whole
+
+    dealt = labels.select(image, label, *columns).withColumn("_bucket", F.pmod(F.col(label), F.lit(buckets)))
+    return dealt.groupBy(image, "_bucket").applyInPandas(run, f"{image} bigint, {label} bigint, {schema}")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import kernels as K
-from gridloom.operators.rasters import per_image, raster
+from gridloom.operators.rasters import per_image, per_region, raster
 from gridloom.operators.stencils import neighbourhood
 
 
@@ -113,19 +113,18 @@ def measures(labels: DataFrame) -> DataFrame:
 
 def shape_measures(labels: DataFrame) -> DataFrame:
     """image_id, label, area, hull_area (pixels the hull covers), solidity, perimeter, and the least rectangle's sides:
-    one task group per region."""
+    in groups of regions."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
         a, _, _ = raster(pdf.assign(one=True), "one", False)
         rows, cols = np.nonzero(a)
-        hull = K.pixel_hull(rows, cols)
-        full = int(K.covered(hull, *a.shape).sum())
+        full = int(K.covered(K.pixel_hull(rows, cols), *a.shape).sum())
         box = K.least_rectangle(np.stack([cols, rows], 1).astype(float))
         sides = sorted((float(np.hypot(*(box[1] - box[0]))), float(np.hypot(*(box[2] - box[1])))))
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "label": [pdf["label"].iloc[0]], "area": [len(rows)], "hull_area": [full], "solidity": [len(rows) / full], "perimeter": [K.perimeter(K.trace(a))], "long_side": [sides[1]], "short_side": [sides[0]]})
+        return pd.DataFrame({"area": [len(rows)], "hull_area": [full], "solidity": [len(rows) / full], "perimeter": [K.perimeter(K.trace(a))], "long_side": [sides[1]], "short_side": [sides[0]]})
 
-    schema = "image_id bigint, label bigint, area bigint, hull_area bigint, solidity double, perimeter double, long_side double, short_side double"
-    return labels.where("label > 0").select("image_id", "label", "r", "c").groupBy("image_id", "label").applyInPandas(run, schema)
+    schema = "area bigint, hull_area bigint, solidity double, perimeter double, long_side double, short_side double"
+    return per_region(labels.where("label > 0"), measure, schema)
 
 
 def to_split(shapes: DataFrame, axes: DataFrame, most_area: int = 2500, least_solidity: float = 0.9, most_ratio: float = 2.0) -> DataFrame:
@@ -148,12 +147,12 @@ def fill_holes(mask: DataFrame, conn: int = 4) -> DataFrame:
 def contours(labels: DataFrame, conn: int = 8) -> DataFrame:
     """image_id, label, seq, r, c: the closed outer contour of every region."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         a, r0, c0 = raster(pdf.assign(one=True), "one", False)
         t = K.trace(a, conn)
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "label": pdf["label"].iloc[0], "seq": np.arange(len(t)), "r": t[:, 0] + r0, "c": t[:, 1] + c0})
+        return pd.DataFrame({"seq": np.arange(len(t)), "r": t[:, 0] + r0, "c": t[:, 1] + c0})
 
-    return labels.where("label > 0").select("image_id", "label", "r", "c").groupBy("image_id", "label").applyInPandas(run, "image_id bigint, label bigint, seq bigint, r bigint, c bigint")
+    return per_region(labels.where("label > 0"), follow, "seq bigint, r bigint, c bigint")
 
 
 def chain_codes(contour: DataFrame) -> DataFrame:
@@ -197,6 +196,21 @@ def decoded(chain: DataFrame) -> DataFrame:
     return moved.select("image_id", "label", "seq", (F.first("r").over(first) + F.coalesce(F.sum("s.dr").over(line), F.lit(0))).alias("r"), (F.first("c").over(first) + F.coalesce(F.sum("s.dc").over(line), F.lit(0))).alias("c"))
 
 
+def painted(contour: DataFrame, place: str = "tight") -> DataFrame:
+    """image_id, label, r, c: contour pixels once each, moved so that each contour's box starts at 0 ('tight') or as
+    they are ('own')."""
+    whole = Window.partitionBy("image_id", "label")
+    r, c = (F.col("r") - F.min("r").over(whole), F.col("c") - F.min("c").over(whole)) if place == "tight" else (F.col("r"), F.col("c"))
+    return contour.select("image_id", "label", r.alias("r"), c.alias("c")).distinct()
+
+
+def border_marker(mask: DataFrame) -> DataFrame:
+    """image_id, r, c, v: the complement on the image's border, nought within; a marker for filling holes."""
+    whole = Window.partitionBy("image_id")
+    edge = (F.col("r") == F.min("r").over(whole)) | (F.col("r") == F.max("r").over(whole)) | (F.col("c") == F.min("c").over(whole)) | (F.col("c") == F.max("c").over(whole))
+    return mask.select("image_id", "r", "c", (edge & ~F.col("v")).alias("v"))
+
+
 def concave_points(chain: DataFrame, low: int = 3, high: int = 10) -> DataFrame:
     """Contour points where the three-step sum of the running turn rises by ``low`` to ``high`` over three steps.
 

@@ -70,6 +70,33 @@ def correlate(px: DataFrame, kernel: np.ndarray, border: str = "zero", name: str
     return neighbourhood(px, radius, border, name="_n").withColumn(name, weighted("_n", kernel)).drop("_n")
 
 
+def correlate_padded(px: DataFrame, kernel: np.ndarray, height: int, width: int, border: str = "symmetric", constant: float = 0.0, name: str = "out") -> DataFrame:
+    """Correlation with a border that mirrors ('symmetric'), wraps round ('circular') or is a constant.
+
+    The border's rows are made first, as copies of the pixels they repeat; the windows then see a larger image.
+    """
+    kernel = np.asarray(kernel, float)
+    radius = kernel.shape[0] // 2
+
+    def grown(df: DataFrame, axis: str, length: int) -> DataFrame:
+        at = F.col(axis)
+        if border == "symmetric":
+            copies = F.array(at, -1 - at, 2 * length - 1 - at)
+        elif border == "circular":
+            copies = F.array(at, at - length, at + length)
+        else:
+            raise ValueError("symmetric or circular")
+        spread = df.withColumn("_at", F.explode(F.array_distinct(copies))).where(F.col("_at").between(-radius, length - 1 + radius))
+        return spread.withColumn(axis, F.col("_at")).drop("_at")
+
+    inside = F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)
+    if border == "constant":
+        shifted_ = px.withColumn("v", F.col("v") - constant)
+        return correlate(shifted_, kernel, "zero", name).withColumn(name, F.col(name) + constant * float(kernel.sum()))
+    large = grown(grown(px.select("image_id", "r", "c", "v"), "r", height), "c", width)
+    return correlate(large, kernel, "null", name).where(inside)
+
+
 def convolve(px: DataFrame, kernel: np.ndarray, mode: str = "same", height: int | None = None, width: int | None = None) -> DataFrame:
     """Convolution with a kernel of any shape: 'full', 'same' (from row and column ceil((k - 1) / 2)) or 'valid'.
 
@@ -134,6 +161,13 @@ def laplacian_kernel(alpha: float = 0.2) -> np.ndarray:
     return np.array([[a, b, a], [b, -4 / (alpha + 1), b], [a, b, a]])
 
 
+def disk_kernel(radius: int = 5) -> np.ndarray:
+    """Mean over a disk."""
+    y, x = np.mgrid[-radius : radius + 1, -radius : radius + 1]
+    k = (x * x + y * y <= radius * radius).astype(float)
+    return k / k.sum()
+
+
 def unsharp_kernel(alpha: float = 0.2) -> np.ndarray:
     out = -laplacian_kernel(alpha)
     out[1, 1] += 1

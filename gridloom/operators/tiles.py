@@ -25,7 +25,7 @@ def _spans(length: int, tile: int, overlap: int) -> list[tuple[int, int, int, in
 
 
 def tile_grid(height: int, width: int, tile: int = 256, overlap: int = 64) -> list[tuple[int, ...]]:
-    """(tile, r0, r1, c0, c1, core r0, core r1, core c0, core c1), half-open, by rows."""
+    """(tile, r0, r1, c0, c1, core r0, core r1, core c0, core c1), half-open, by rows of tiles."""
     rows, cols = _spans(height, tile, overlap), _spans(width, tile, overlap)
     return [(i * len(cols) + j, r[0], r[1], c[0], c[1], r[2], r[3], c[2], c[3]) for i, r in enumerate(rows) for j, c in enumerate(cols)]
 

@@ -12,9 +12,10 @@ from gridloom.operators import geometry as G
 from gridloom.operators import kernels as K
 from gridloom.operators.clustering import gray_kmeans, gray_labels
 from gridloom.operators.morphology import disk
-from gridloom.operators.rasters import per_image, raster
+from gridloom.operators.rasters import per_image, per_region, raster
 from gridloom.operators.regions import label_images
 from gridloom.operators.thresholds import otsu_mask
+from gridloom.sources.shared import stored
 from gridloom.plans.watersheds import dilate_array, erode_array
 
 MIN_FLOE, MIN_BRASH, SMALL_PIECE = 40, 1, 50
@@ -104,6 +105,24 @@ def split_contours(images: DataFrame, rounds: int = 2, least_area: int = 10, mos
     return images.select("image_id", "r", "c", "v", "mask").groupBy("image_id").applyInPandas(run, "image_id bigint, r bigint, c bigint, v boolean")
 
 
+def classic_snake(px: DataFrame, x0: float, y0: float, radius: float, steps: int = 40, alpha: float = 0.05, beta: float = 0.0, kappa: float = 0.5) -> DataFrame:
+    """image_id, seq, x, y: one closed contour from a circle, driven by the gradient of the edge energy alone."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, _, _ = raster(pdf, "v")
+        gy, gx = np.gradient(a.astype(float))
+        fy, fx = np.gradient(gx * gx + gy * gy)
+        px_, py_ = K.unit_force(fx, fy)
+        t = np.arange(126) * 0.05
+        x, y = x0 + radius * np.cos(t), y0 + radius * np.sin(t)
+        for _ in range(max(1, steps // 5)):
+            x, y = K.respace(x, y)
+            x, y = K.deform(x, y, px_, py_, alpha, beta, kappa=kappa, steps=5)
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "seq": np.arange(len(x)), "x": x, "y": y})
+
+    return px.select("image_id", "r", "c", "v").groupBy("image_id").applyInPandas(run, "image_id bigint, seq bigint, x double, y double")
+
+
 def two_layers(px: DataFrame, k: int = 3, least_dark: int = 2, **split) -> DataFrame:
     """image_id, r, c, level: 1 for light pieces (above Otsu, parted), 0.5 for dark ones (not the darkest of k clusters,
     outside the light mask, small specks dropped, parted), else 0."""
@@ -141,18 +160,16 @@ def enhance_shapes(levels: DataFrame, small: int = SMALL_PIECE) -> DataFrame:
     extent = levels.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
     pieces = every.join(ranked, ["image_id", "layer", "label"]).join(extent, "image_id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        area = len(pdf)
-        radius = 1 if area < small else 2
+    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
+        radius = 1 if len(pdf) < small else 2
         a, r0, c0 = raster(pdf.assign(one=True), "one", False)
         margin = 4 * radius + 6
-        out = clean_piece(np.pad(a, margin), radius)
-        r, c = np.nonzero(out)
+        r, c = np.nonzero(clean_piece(np.pad(a, margin), radius))
         r, c = r + r0 - margin, c + c0 - margin
         ok = (r >= 0) & (r < pdf["h"].iloc[0]) & (c >= 0) & (c < pdf["w"].iloc[0])
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "piece": pdf["piece"].iloc[0], "r": r[ok], "c": c[ok]})
+        return pd.DataFrame({"r": r[ok], "c": c[ok]})
 
-    cleaned = pieces.select("image_id", "piece", "r", "c", "h", "w").groupBy("image_id", "piece").applyInPandas(run, "image_id bigint, piece bigint, r bigint, c bigint")
+    cleaned = per_region(pieces, clean, "r bigint, c bigint", ("image_id", "piece"), ("r", "c", "h", "w"))
     painted = cleaned.groupBy("image_id", "r", "c").agg(F.max("piece").alias("piece"))  # the last painted is the largest
     return painted.withColumn("area", F.count("*").over(Window.partitionBy("image_id", "piece")))
 
@@ -185,16 +202,16 @@ def piece_table(kinds: DataFrame) -> DataFrame:
 def hull_rings(kinds: DataFrame) -> DataFrame:
     """image_id, piece, ring (open, through mid-edge points) of floes."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def outline(pdf: pd.DataFrame) -> pd.DataFrame:
         h = K.pixel_hull(pdf["r"].to_numpy(), pdf["c"].to_numpy())
-        ring = [{"x": float(x), "y": float(y)} for x, y in h]
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "piece": [pdf["piece"].iloc[0]], "ring": [ring]})
+        return pd.DataFrame({"ring": [[{"x": float(x), "y": float(y)} for x, y in h]]})
 
-    return kinds.where("kind = 'floe'").select("image_id", "piece", "r", "c").groupBy("image_id", "piece").applyInPandas(run, "image_id bigint, piece bigint, ring array<struct<x:double,y:double>>")
+    return per_region(kinds.where("kind = 'floe'"), outline, "ring array<struct<x:double,y:double>>", ("image_id", "piece"))
 
 
 def field_document(kinds: DataFrame) -> DataFrame:
-    """One nested row an image: coverages, floes with polygons, brash with disks, size triplets' raw areas."""
+    """One nested row an image: coverages, floes with polygons, brash with disks."""
+    kinds = stored(kinds, "kinds")  # three aggregates read it
     table = piece_table(kinds)
     rings = hull_rings(kinds)
     floes = table.where("kind = 'floe'").join(rings, ["image_id", "piece"]).withColumns({"polygon_area": G.polygon_area(F.col("ring"))})
@@ -215,15 +232,14 @@ def pieces_of(documents: DataFrame) -> DataFrame:
 def rectangles(labels: DataFrame) -> DataFrame:
     """image_id, label, ring, area, perimeter, ratio, cx, cy of each region's least rectangle through its mid-edge points."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
-        box = K.least_rectangle(K.pixel_hull(r, c))
+    def box_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        box = K.least_rectangle(K.pixel_hull(pdf["r"].to_numpy(), pdf["c"].to_numpy()))
         a, b = np.hypot(*(box[1] - box[0])), np.hypot(*(box[2] - box[1]))
         ring = [{"x": float(x), "y": float(y)} for x, y in box]
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "label": [pdf["label"].iloc[0]], "ring": [ring], "area": [a * b], "perimeter": [2 * (a + b)], "ratio": [a / b if b else np.nan], "cx": [box[:, 0].mean()], "cy": [box[:, 1].mean()]})
+        return pd.DataFrame({"ring": [ring], "area": [a * b], "perimeter": [2 * (a + b)], "ratio": [a / b if b else np.nan], "cx": [box[:, 0].mean()], "cy": [box[:, 1].mean()]})
 
-    schema = "image_id bigint, label bigint, ring array<struct<x:double,y:double>>, area double, perimeter double, ratio double, cx double, cy double"
-    return labels.where("label > 0").select("image_id", "label", "r", "c").groupBy("image_id", "label").applyInPandas(run, schema)
+    schema = "ring array<struct<x:double,y:double>>, area double, perimeter double, ratio double, cx double, cy double"
+    return per_region(labels.where("label > 0"), box_of, schema)
 
 
 def rectangle_model(rects: DataFrame, low: float = 0.4, high: float = 2.5, cell: float = 8.0) -> tuple[DataFrame, DataFrame]:
