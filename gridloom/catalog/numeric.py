@@ -191,22 +191,39 @@ def class_coverage(spark, d):
 # --- clusters and distances -----------------------------------------------------------------------------------------
 
 
-@query("gray_kmeans_k2")
+def kmeans_sql(k: int) -> str:
+    """Centres on each image's histogram: the recursion stops by itself where a round changes nothing."""
+    names = [f"c{i}" for i in range(k)]
+    near = lambda i: " AND ".join(f"abs(s - c{i}) {'<' if j < i else '<='} abs(s - c{j})" for j in range(k) if j != i)
+    step = ", ".join(f"CAST(sum(CASE WHEN {near(i)} THEN n * s ELSE 0 END) AS DOUBLE) / sum(CASE WHEN {near(i)} THEN n ELSE 0 END) AS c{i}" for i in range(k))
+    start = ", ".join(f"{i + 1} * (max(s) + 1) / CAST({k + 1} AS DOUBLE) AS c{i}" for i in range(k))
+    mass = ", ".join(f"CAST(sum(CASE WHEN {near(i)} THEN n ELSE 0 END) AS BIGINT) AS n{i}" for i in range(k))
+    rows = " UNION ALL ".join(f"SELECT image_id, CAST({i} AS BIGINT) AS k, c{i} + low - 1 AS centre, n{i} AS n, n{i} / 1000.0::DOUBLE AS coverage FROM fin" for i in range(k))
+    return f"""WITH RECURSIVE {PX}, h AS (SELECT image_id, v, v - min(v) OVER (PARTITION BY image_id) + 1 AS s, min(v) OVER (PARTITION BY image_id) AS low, n FROM (SELECT image_id, v, count(*) AS n FROM px GROUP BY 1, 2)),
+rec AS (SELECT image_id, {start} FROM h GROUP BY 1 UNION SELECT rec.image_id, {step} FROM rec JOIN h ON h.image_id = rec.image_id GROUP BY rec.image_id, {", ".join(names)}),
+nxt AS (SELECT rec.image_id, {", ".join(f"rec.c{i} AS o{i}" for i in range(k))}, {step}, max(low) AS low, {mass} FROM rec JOIN h ON h.image_id = rec.image_id GROUP BY rec.image_id, {", ".join(names)}),
+fin AS (SELECT * FROM nxt WHERE {" AND ".join(f"o{i} = c{i}" for i in range(k))}), km AS ({rows})"""
+
+
+_KM = "SELECT image_id, k, round(centre, 6) AS centre, n, round(coverage, 6) AS coverage FROM km"
+
+
+@query("gray_kmeans_k2", f"{kmeans_sql(2)} {_KM}")
 def gray_kmeans_k2(spark, d):
-    return rounded(C.gray_kmeans(V.gray_images(spark, d), 2), "centre", "coverage")
+    return rounded(C.gray_kmeans(V.gray_images(spark, d), 2), "centre", "coverage").drop("iterations")
 
 
-@query("gray_kmeans_k3")
+@query("gray_kmeans_k3", f"{kmeans_sql(3)} {_KM}")
 def gray_kmeans_k3(spark, d):
-    return rounded(C.gray_kmeans(V.gray_images(spark, d), 3), "centre", "coverage")
+    return rounded(C.gray_kmeans(V.gray_images(spark, d), 3), "centre", "coverage").drop("iterations")
 
 
-@query("kmeans_concentration")
+@query("kmeans_concentration", f"{kmeans_sql(3)} SELECT image_id, round(sum(CASE WHEN k > 0 THEN coverage ELSE 0 END), 6) AS concentration FROM km GROUP BY 1")
 def kmeans_concentration(spark, d):
     return rounded(C.brightest_share(C.gray_kmeans(V.gray_images(spark, d), 3), 2), "concentration")
 
 
-@query("kmeans_labels")
+@query("kmeans_labels", f"{kmeans_sql(3)} SELECT px.image_id, r, c, CAST(arg_min(k, abs(v - centre) + k * CAST('1e-12' AS DOUBLE)) AS BIGINT) AS k FROM px JOIN km ON km.image_id = px.image_id GROUP BY 1, 2, 3")
 def kmeans_labels(spark, d):
     px = V.gray_images(spark, d)
     return C.gray_labels(px, C.gray_kmeans(px, 3)).select(*KEY, "k")

@@ -98,7 +98,10 @@ def region_ellipse(spark, d):
     return rounded(G.measures(_labels(spark, d)).select("image_id", "label", "major", "minor"), "major", "minor", digits=5)
 
 
-@query("region_orientation")
+@query("region_orientation", f"""{components(NEAR4)}, s AS (SELECT image_id, label, CAST(count(*) AS DOUBLE) AS n, CAST(sum(c) AS DOUBLE) AS sx, CAST(sum(r) AS DOUBLE) AS sy, CAST(sum(c * c) AS DOUBLE) AS sxx, CAST(sum(r * r) AS DOUBLE) AS syy, CAST(sum(c * r) AS DOUBLE) AS sxy FROM num GROUP BY 1, 2),
+u AS (SELECT image_id, label, (sxx * n - sx * sx) / (n * n) + 1 / 12.0::DOUBLE AS xx, (syy * n - sy * sy) / (n * n) + 1 / 12.0::DOUBLE AS yy, -(sxy * n - sx * sy) / (n * n) AS xy FROM s),
+a AS (SELECT *, sqrt((xx - yy) * (xx - yy) + 4 * xy * xy) AS q FROM u), t AS (SELECT image_id, label, CASE WHEN yy > xx THEN yy - xx + q ELSE 2 * xy END AS top, CASE WHEN yy > xx THEN 2 * xy ELSE xx - yy + q END AS bottom, sqrt(greatest(0, 1 - (xx + yy - q) / (xx + yy + q))) AS ecc FROM a)
+SELECT image_id, label, round(ecc, 4) + 0.0 AS eccentricity, round(CASE WHEN top = 0 AND bottom = 0 THEN 0.0::DOUBLE WHEN bottom = 0 THEN sign(top) * 90.0::DOUBLE ELSE atan(top / bottom) * 180.0::DOUBLE / 3.141592653589793::DOUBLE END, 4) + 0.0 AS orientation FROM t""")
 def region_orientation(spark, d):
     return rounded(G.measures(_labels(spark, d)).select("image_id", "label", "eccentricity", "orientation"), "eccentricity", "orientation", digits=4)
 

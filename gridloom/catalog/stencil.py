@@ -231,13 +231,22 @@ def profile_open_close(spark, d):
     return M.profile_open_close(V.gray_images(spark, d).where("r = 0"), 5).select("image_id", "c", "opened", "closed")
 
 
-@query("reconstruct")
+def _spread(marker: str, best: str, other: str, images: str = "true") -> str:
+    """Reconstruction in SQL: each pixel's value is replaced while a neighbour offers a better one."""
+    return f"""WITH RECURSIVE {PX}, m AS (SELECT image_id, r, c, v, {marker} AS w FROM px WHERE {images}), rec(image_id, r, c, v) USING KEY (image_id, r, c) AS (SELECT image_id, r, c, w FROM m UNION (SELECT m.image_id, m.r, m.c, {best}({other}(m.v, rec.v)) FROM rec JOIN m ON m.image_id = rec.image_id AND NEAR JOIN recurring.rec AS cur ON cur.image_id = m.image_id AND cur.r = m.r AND cur.c = m.c WHERE {other}(m.v, rec.v) {">" if best == "max" else "<"} cur.v GROUP BY 1, 2, 3))"""
+
+
+_N8 = "abs(m.r - rec.r) <= 1 AND abs(m.c - rec.c) <= 1"
+_N4 = "abs(m.r - rec.r) + abs(m.c - rec.c) = 1"
+
+
+@query("reconstruct", _spread("greatest(v - 40, 0)", "max", "least").replace("NEAR", _N8) + " SELECT image_id, r, c, CAST(v AS BIGINT) AS out FROM rec")
 def reconstruct(spark, d):
     px = V.gray_images(spark, d)
     return per_image(px, lambda a: {"out": K.reconstruct(np.maximum(a - 40, 0), a).astype(np.int64)}, "out bigint")
 
 
-@query("fill_gray_holes")
+@query("fill_gray_holes", _spread("CASE WHEN r IN (0, 24) OR c IN (0, 39) THEN v ELSE 100000 END", "min", "greatest").replace("NEAR", _N4) + " SELECT image_id, r, c, CAST(v AS BIGINT) AS out FROM rec")
 def fill_gray_holes(spark, d):
     return per_image(V.gray_images(spark, d), lambda a: {"out": K.fill_gray(a).astype(np.int64)}, "out bigint")
 
@@ -420,7 +429,7 @@ def octagon_opening(spark, d):
     return M.opening(V.gray_images(spark, d), M.disk_by_lines(3)).select(*KEY, "out")
 
 
-@query("reconstruct_iterative")
+@query("reconstruct_iterative", _spread("greatest(v - 40, 0)", "max", "least", "image_id = 0").replace("NEAR", _N8) + " SELECT image_id, r, c, CAST(v AS BIGINT) AS v FROM rec")
 def reconstruct_iterative(spark, d):
     from gridloom.operators.iterative import reconstruct_by_steps
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.catalog.numeric import kmeans_sql
 from gridloom.catalog.objects import NEAR4, components
 from gridloom.catalog.registry import MASK, OTSU, PX, query, rounded
 from gridloom.plans import frames as P
@@ -38,7 +39,7 @@ def frame_max_piece(spark, d):
     return P.largest_piece(V.frames(spark, d))
 
 
-@query("frame_clusters")
+@query("frame_clusters", f"{kmeans_sql(2)} SELECT image_id AS frame_idx, round(sum(CASE WHEN k = 1 THEN coverage ELSE 0 END), 6) AS concentration FROM km GROUP BY 1")
 def frame_clusters(spark, d):
     return rounded(P.cluster_series(V.frames(spark, d)), "concentration")
 
