@@ -17,7 +17,7 @@ SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SEPARATOR = np.zeros(256, bool)
 IS_SEPARATOR[list(SEPARATORS)] = True
 #: Bytes of text that one step holds as arrays; a single longer text makes a step of its own.
-STEP_BYTES = 6_000_000
+STEP_BYTES = 3_000_000
 
 
 @dataclass
