@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import own_columns, stored, table
-from gridloom.llm.text_arrays import IS_SEPARATOR, column_bytes, steps, words_of
+from gridloom.llm.text_arrays import IS_SEPARATOR, column_bytes, mixed_bits, steps, word_hashes, words_of
 
 SHINGLE = 4
 SEED = 42
@@ -260,19 +260,218 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, shingle: int
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+# --- similar texts beyond the contract's distance --------------------------------------------------------------------
+
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: Texts that share 0.8 of their five-word shingles differ in five to thirteen bits; unrelated ones in some thirty.
+SIMILAR_DISTANCE = 14
+SIMILAR_TABLES = 24
+BINS = 128
+#: Two to three standard errors of a sketch's estimate near SIMILARITY.
+SKETCH_ERROR = 0.1
+
+
+def shingle_hashes(column: pa.Array, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text, repeats included, and how many each has; a text of fewer words has one."""
+    data, offsets = column_bytes(column)
+    lowered = LOWER[data]
+    w = words_of(pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(offsets), pa.py_buffer(lowered)]), IS_SEPARATOR)
+    per_doc = w.per_doc()
+    first = np.cumsum(per_doc) - per_doc
+    count = np.where(per_doc > 0, np.maximum(per_doc - shingle + 1, 1), 0)
+    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    last = np.minimum(at + shingle, np.repeat(first + per_doc, count))
+    word = word_hashes(w.data, w.starts, w.ends)
+    mixed = np.zeros(len(at), np.uint64)
+    for k in range(shingle):
+        inside = at + k < last
+        mixed[inside] = mixed_bits(mixed[inside] * np.uint64(0x9E3779B97F4A7C15) + word[at[inside] + k])
+    return mixed, count
+
+
+def sketch_column(column: pa.Array, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, least-value sketches (BINS numbers of four bits, two a byte) and whether a text has a word."""
+    n = len(column)
+    mixed, count = shingle_hashes(column, shingle)
+    doc = np.repeat(np.arange(n), count)
+    bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    fps = np.zeros(n, np.uint64)
+    bounds = np.concatenate(([0], np.cumsum(count)))
+    for i in np.flatnonzero(count):
+        of = bits[bounds[i] : bounds[i + 1]]
+        fps[i] = np.packbits(2 * of.sum(axis=0, dtype=np.int64) > len(of)).view(">u8")[0]
+    again = mixed_bits(mixed ^ np.uint64(0x5851F42D4C957F2D))
+    least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, doc * BINS + (again >> np.uint64(57)).astype(np.int64), again & np.uint64((1 << 57) - 1))
+    least = least.reshape(n, BINS)
+    empty = least == np.iinfo(np.uint64).max
+    some = count > 0
+    if some.any():  # an empty bin takes the next full one's value, changed by how far that is
+        full = np.where(np.concatenate([empty, empty], axis=1), 2 * BINS, np.arange(2 * BINS))
+        following = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+        following = np.where(some[:, None], following, 0)
+        gap = (following - np.arange(BINS)).astype(np.uint64)
+        least = mixed_bits(np.take_along_axis(least, following % BINS, axis=1) + gap * np.uint64(0xD6E8FEB86659FD93))
+    nibbles = (least & np.uint64(15)).astype(np.uint8)
+    return fps, nibbles[:, 0::2] | nibbles[:, 1::2] << 4, some
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated share of common shingles from two sketches; chance agreement of four bits is taken off."""
+    differ = a ^ b
+    same = ((differ & 15) == 0).sum(axis=-1) + ((differ & 240) == 0).sum(axis=-1)
+    return (same / BINS - 1 / 16) / (1 - 1 / 16)
+
+
+def _similar_in_run(ids: np.ndarray, fp: np.ndarray, sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links within a cell, as few as connect what is alike: close fingerprints first, then alike sketches."""
+    if len(ids) <= 64 and int((_popcount(fp[:, None] ^ fp[None, :]) <= SIMILAR_DISTANCE).sum()) == len(ids):
+        return []  # each is close to itself alone
+    rest = np.arange(len(ids))
+    found: list[tuple[int, int]] = []
+    while len(rest) > 1:
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            at = front.pop()
+            near = np.flatnonzero(_popcount(fp[rest] ^ fp[at]) <= SIMILAR_DISTANCE)
+            if len(near):
+                near = near[likeness(sketch[rest[near]], sketch[at]) >= similarity]
+            if len(near):
+                hit = rest[near]
+                rest = np.delete(rest, near)
+                found += [(int(ids[at]), int(ids[x])) for x in hit]
+                front += hit.tolist()
+    return found
+
+
+def similar_links(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, tables: int = SIMILAR_TABLES, cell_limit: int = CELL_ROWS) -> DataFrame:
+    """Links (a, b) of texts with ``similarity`` or more of their shingles in common, for documents with distinct
+    doc_id that aren't null.
+
+    Such texts are too far apart in bits for a grid that finds all of them, so each of ``tables`` grids takes the bit
+    counts of some segments, drawn once, as its cells; within a cell the fingerprints' distance and then the sketches
+    name candidates, and their whole texts decide. More segments are drawn as the texts grow in number, so that cells
+    stay small. This finds most, not all.
+    """
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in steps(batch.column(1), 2_000_000):
+                fps, sketch, some = sketch_column(batch.column(1).slice(at, to - at), shingle)
+                whole = pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(fps.view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2), len(fps), [None, pa.py_buffer(np.ascontiguousarray(sketch))]).cast(pa.binary())], names=["id", "fp", "sketch"])
+                yield whole.filter(pa.array(some))
+
+    marked = stored(own_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(marks, "id long, fp long, sketch binary"), "sketches")
+    n = marked.count()
+    segments = int(np.clip(np.ceil((np.log2(max(n, 2)) - 5) / np.log2(8 / 3)), 6, 20))
+    chosen = [np.sort(np.random.default_rng(k).choice(64 // SEGMENT_BITS, segments, replace=False)) for k in range(tables)]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 5000):
+                part = batch.slice(lo, 5000)
+                counts = embed(part.column(1).to_numpy(zero_copy_only=False))
+                for k, own in enumerate(chosen):
+                    cell = np.full(part.num_rows, k + 1, np.uint64)
+                    for m in own:
+                        cell = cell * np.uint64(3) + counts[:, m]
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed_bits(cell).view(np.int64)), *part.columns], names=["cell", "id", "fp", "sketch"])
+
+    cells = marked.mapInArrow(spread, "cell long, id long, fp long, sketch binary")
+    sizes = marked.select("id", "fp", F.lit(None).cast("binary").alias("sketch")).mapInArrow(spread, "cell long, id long, fp long, sketch binary").groupBy("cell").count()
+    large = stored(sizes.where(F.col("count") > cell_limit).select("cell", F.ceil(F.col("count") / cell_limit).cast("long").alias("blocks")), "large-cells")
+    keys = ["cell"]
+    if not large.isEmpty():  # the same dealing into pairs of blocks as above; a small cell is one block
+        dealt = cells.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+        paired = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cells = paired.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "fp", "sketch")
+        keys = ["cell", "low", "high"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def runs(key: np.ndarray, rows: pa.Table) -> pa.RecordBatch | None:
+            edges = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True])))
+            ids, fp = rows["id"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+            data, _ = column_bytes(rows["sketch"].combine_chunks())
+            sketch = data.reshape(len(ids), BINS // 2)
+            out: list[tuple[int, int]] = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if b - a > 1:
+                    out += _similar_in_run(ids[a:b], fp[a:b], sketch[a:b], similarity - SKETCH_ERROR)
+            if not out:
+                return None
+            both = np.sort(np.array(out, np.int64), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if not rows.num_rows:
+                continue
+            key = np.stack([rows[k].to_numpy() for k in keys], axis=1)
+            same = (key == key[-1]).all(axis=1)
+            cut = 0 if same.all() else len(key) - int(np.argmin(same[::-1]))  # the last key may go on
+            if cut:
+                got = runs(key[:cut], rows.slice(0, cut))
+                if got is not None:
+                    yield got
+            held = rows.slice(cut).combine_chunks()
+        if held is not None and held.num_rows:
+            got = runs(np.stack([held[k].to_numpy() for k in keys], axis=1), held)
+            if got is not None:
+                yield got
+
+    candidates = stored(cells.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(compare, "a long, b long").distinct(), "candidates")
+    return _verified(candidates, documents, similarity, shingle)
+
+
+def _verified(candidates: DataFrame, documents: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The candidates whose texts share enough of their distinct shingles."""
+    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = stored(own_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "candidate-texts")
+    both = candidates.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                sides = []
+                for k in (2, 3):
+                    mixed, count = shingle_hashes(part.column(k), shingle)
+                    sides.append([np.unique(x) for x in np.split(mixed, np.cumsum(count)[:-1])])
+                shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)]
+                keep = [n >= similarity * (len(x) + len(y) - n) and n > 0 for n, x, y in zip(shared, *sides)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float | None = SIMILARITY) -> DataFrame:
     """Pipeline stage: of each group of near copies the row with the least doc_id stays; of rows that share it, one.
 
-    A row without doc_id stays only if its whole group has none, one of each such group's equal ids.
+    Near copies are what the contract's fingerprints link and, of what that leaves, texts with SIMILARITY or more of
+    their five-word shingles in common (None: only the former). A row without doc_id stays only if its whole group
+    has none, one of each such group's equal ids.
     """
     nameless = F.lit(-(1 << 63)).cast("long")
     key = F.coalesce(F.col("doc_id").cast("long"), nameless).alias("_key")
     found = near_duplicates(docs).where("doc_id = component_id or component_id is null").select(key).distinct()
     first = Window.partitionBy("_key").orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if c != "doc_id"])
     kept = docs.withColumn("_key", key).join(found, "_key", "left_semi")  # the window below needs no exchange of its own
-    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    kept = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    if similarity is None:
+        return kept
+    kept = stored(kept, "kept")
+    grouped = components(similar_links(kept.where("doc_id is not null"), similarity))
+    copies = grouped.where("node <> root").select(F.col("node").alias("_copy"))
+    return kept.join(copies, kept["doc_id"] == copies["_copy"], "left_anti")
+
+

@@ -106,3 +106,37 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     shift = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
     return shift + np.arange(total)
+
+
+# --- hashes of words -------------------------------------------------------------------------------------------------
+
+BASE = 0x9E3779B97F4A7C15
+
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64 and their inverses, kept by each worker."""
+    if len(_powers.get("up", ())) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        inverse = pow(BASE, -1, 1 << 64)
+        for name, base in (("up", BASE), ("down", inverse)):
+            out = np.ones(size, np.uint64)
+            out[1:] = np.uint64(base)
+            _powers[name] = np.multiply.accumulate(out)
+    return _powers["up"][:n], _powers["down"][:n]
+
+
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, from running sums: the cost follows the bytes, not the longest word."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return mixed_bits((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

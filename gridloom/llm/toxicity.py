@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import bounded_sample, own_columns, table
-from gridloom.llm.text_arrays import steps, words_of
+from gridloom.llm.text_arrays import mixed_bits, steps, word_hashes, words_of
 
 BITS = 22
 MAX_ROWS = 16_000
@@ -30,36 +30,6 @@ THRESHOLD = 0.3
 
 #: What parts words here: everything in ASCII but letters, digits and the apostrophe.
 PARTS = np.array([not (c >= 0x80 or chr(c).isalnum() or c == 0x27) for c in range(256)])
-BASE = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and their inverses, kept by each worker."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        inverse = pow(BASE, -1, 1 << 64)
-        for name, base in (("up", BASE), ("down", inverse)):
-            out = np.ones(size, np.uint64)
-            out[1:] = np.uint64(base)
-            _powers[name] = np.multiply.accumulate(out)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from running sums: the cost follows the bytes, not the longest word."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +42,7 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
         if len(h) > gap:
             same = w.doc[gap:] == w.doc[:-gap]
             docs.append(w.doc[:-gap][same])
-            coords.append(_mixed(h[:-gap][same] * np.uint64(salt) + h[gap:][same]) >> shift)
+            coords.append(mixed_bits(h[:-gap][same] * np.uint64(salt) + h[gap:][same]) >> shift)
     return np.concatenate(docs), np.concatenate(coords).astype(np.int64)
 
 

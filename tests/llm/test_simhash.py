@@ -87,3 +87,69 @@ def test_odd_rows(odd, no_documents):
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
     assert 7 not in ids and ids.count(6) == 1 and ids.count(2) == 1 and 3 not in ids and None in ids
+
+
+def brute_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def edited(rng, n_words, edits):
+    words = [f"w{x}" for x in rng.integers(0, 10**6, n_words)]
+    other = list(words)
+    for at in rng.choice(n_words, edits, replace=False):
+        other[at] = f"e{at}"
+    return " ".join(words), " ".join(other)
+
+
+@pytest.mark.parametrize("cell_limit", [4096, 5])
+def test_similar_texts(spark, cell_limit):
+    rng = np.random.default_rng(8)
+    texts = [t for k in range(60) for t in edited(rng, int(rng.integers(150, 400)), int(rng.integers(1, 9)))]
+    one, _ = edited(rng, 200, 1)
+    texts += [one + f" tail{i}" for i in range(30)]  # a group of near copies
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [brute_shingles(t) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    links = [(r.a, r.b) for r in S.similar_links(docs, cell_limit=cell_limit).collect()]
+    assert all(a < b and alike(a, b) for a, b in links)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(b)] = find(a)
+    want = [(a, b) for a in range(len(texts)) for b in range(a) if alike(a, b)]
+    assert np.mean([find(a) == find(b) for a, b in want]) >= 0.9
+    assert len({find(i) for i in range(120, 150)}) == 1
+
+
+def test_sketches_estimate_common_shingles():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    pairs = [edited(rng, 600, e) for e in (0, 5, 20, 60)]
+    for a, b in pairs:
+        _, sketch, some = S.sketch_column(pa.array([a, b, "", None]))
+        x, y = brute_shingles(a), brute_shingles(b)
+        assert abs(float(S.likeness(sketch[0], sketch[1])) - len(x & y) / len(x | y)) < 0.12
+        assert some.tolist() == [True, True, False, False]
+
+
+def test_similar_links_of_odd_rows(odd, no_documents):
+    unique = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    assert {(r.a, r.b) for r in S.similar_links(unique).collect()} == {(6, 7)}
+    assert S.similar_links(no_documents).count() == 0
+
+
+def test_stage_drops_similar_texts_and_keeps_the_rest(spark):
+    rng = np.random.default_rng(1)
+    a, b = edited(rng, 300, 4)
+    c, _ = edited(rng, 300, 1)
+    docs = spark.createDataFrame([(5, a), (3, b), (9, c), (None, c + " x"), (11, c)], "doc_id long, text string")
+    kept = [r.doc_id for r in S.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(x for x in kept if x is not None) == [3, 9]
+    assert sorted(r.doc_id for r in S.drop_near_duplicates(spark, docs, "", None).collect() if r.doc_id is not None) in ([3, 5, 9], [3, 9])
