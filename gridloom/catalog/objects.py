@@ -315,3 +315,26 @@ def tank_rectangles(spark, d):
     labels = G.label_images(otsu_mask(tank(spark)), 4)
     kept, shared = P.rectangle_model(P.rectangles(G.area_open(labels, 8)))
     return kept.groupBy("image_id").agg(F.count("*").alias("n"), r6(F.sum("area"), 3).alias("area"))
+
+
+_SHAPES = "box AS (SELECT p_partkey AS id, p_partkey % 2 AS image_id, CAST(p_partkey % 100 AS DOUBLE) AS x0, CAST(p_partkey // 100 AS DOUBLE) AS y0, CAST(p_partkey % 100 + p_size % 5 + 1 AS DOUBLE) AS x1, CAST(p_partkey // 100 + p_size % 7 + 1 AS DOUBLE) AS y1, (p_size % 5 + 1) / 4.0::DOUBLE AS radius FROM part)"
+
+
+@query("piece_overlaps", f"WITH {_SHAPES} SELECT CAST(0 AS BIGINT) AS image_id, a.id AS a_id, 'floe' AS a_kind, b.id AS b_id, 'floe' AS b_kind FROM box a JOIN box b ON a.image_id = 0 AND b.image_id = 0 AND a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND NOT (a.x0 > b.x0 AND a.x1 < b.x1 AND a.y0 > b.y0 AND a.y1 < b.y1) AND NOT (b.x0 > a.x0 AND b.x1 < a.x1 AND b.y0 > a.y0 AND b.y1 < a.y1) UNION ALL SELECT CAST(1 AS BIGINT), a.id, 'brash', b.id, 'brash' FROM box a JOIN box b ON a.image_id = 1 AND b.image_id = 1 AND a.id < b.id AND (a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0) < (a.radius + b.radius) * (a.radius + b.radius)")
+def piece_overlaps(spark, d):
+    """Even parts as square floes, odd ones as brash disks at their corner."""
+    from gridloom.operators import geometry as GE
+
+    b = V.boxes(spark, d).join(V.table(spark, d, "part").select(F.col("p_partkey").alias("box_id"), ((F.col("p_size") % 5 + 1) / 4.0).alias("radius")), "box_id")
+    x, y = F.col("x0").cast("double"), F.col("y0").cast("double")
+    corners = GE.ring_of_box(*[F.col(k) for k in ("x0", "y0", "x1", "y1")])
+    ring = F.when(F.col("box_id") % 2 == 0, corners).otherwise(GE.ring_of_box(x - F.col("radius"), y - F.col("radius"), x + F.col("radius"), y + F.col("radius")))
+    kind = F.when(F.col("box_id") % 2 == 0, "floe").otherwise("brash")
+    shapes = b.select((F.col("box_id") % 2).alias("image_id"), F.col("box_id").alias("id"), kind.alias("kind"), x.alias("x"), y.alias("y"), "radius", ring.alias("ring"))
+    return P.overlaps(shapes, 8.0)
+
+
+@query("field_overlaps")
+def field_overlaps(spark, d):
+    levels = _levels(spark, d)
+    return P.overlaps(P.outlines(P.classify(levels, P.enhance_shapes(levels))), nested=True)

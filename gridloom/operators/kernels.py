@@ -477,6 +477,38 @@ def clip_convex(ring: np.ndarray, window: np.ndarray, tolerance: float = 0.0) ->
     return out if abs(ring_area(out)) > tolerance else np.zeros((0, 2))
 
 
+def outlines_meet(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-12) -> bool:
+    """Whether two closed outlines share a point; one within the other doesn't count."""
+    p, u = np.asarray(a, float), np.roll(a, -1, axis=0) - a
+    q, v = np.asarray(b, float), np.roll(b, -1, axis=0) - b
+    w = q[None, :, :] - p[:, None, :]
+    cross = lambda x, y: x[..., 0] * y[..., 1] - x[..., 1] * y[..., 0]
+    det = cross(u[:, None, :], v[None, :, :])
+    with np.errstate(all="ignore"):
+        t, s = cross(w, v[None, :, :]) / det, cross(w, u[:, None, :]) / det
+    apart = np.abs(det) > tolerance
+    on = lambda z: (z >= -tolerance) & (z <= 1 + tolerance)
+    if (apart & on(t) & on(s)).any():
+        return True
+    along = ~apart & (np.abs(cross(w, u[:, None, :])) <= tolerance)  # on one line: do their spans overlap
+    if not along.any():
+        return False
+    size = (u * u).sum(axis=1)[:, None]
+    with np.errstate(all="ignore"):
+        first = (w * u[:, None, :]).sum(axis=2) / size
+        last = ((w + v[None, :, :]) * u[:, None, :]).sum(axis=2) / size
+    return bool((along & (np.minimum(first, last) <= 1 + tolerance) & (np.maximum(first, last) >= -tolerance)).any())
+
+
+def ring_contains(outer: np.ndarray, point: np.ndarray) -> bool:
+    x, y = point
+    x1, y1 = outer[:, 0], outer[:, 1]
+    x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
+    with np.errstate(all="ignore"):
+        hits = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    return bool(hits.sum() % 2)
+
+
 # --- vector fields and snakes ---------------------------------------------------------------------------------------
 
 

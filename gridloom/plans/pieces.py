@@ -222,6 +222,45 @@ def field_document(kinds: DataFrame) -> DataFrame:
     return out
 
 
+def outlines(kinds: DataFrame) -> DataFrame:
+    """image_id, id, kind, x, y, radius, ring: floes by their hulls, brash by the disk of equal area."""
+    table = piece_table(kinds)
+    floes = table.where("kind = 'floe'").join(hull_rings(kinds), ["image_id", "piece"]).withColumn("radius", F.lit(None).cast("double"))
+    brash = table.where("kind = 'brash'").withColumn("radius", F.sqrt(F.col("area") / np.pi)).withColumn("ring", G.circle_ring(F.col("cx"), F.col("cy"), F.col("area")))
+    cols = ["image_id", F.col("piece").alias("id"), "kind", F.col("cx").alias("x"), F.col("cy").alias("y"), "radius", "ring"]
+    return floes.select(*cols).unionByName(brash.select(*cols))
+
+
+def overlaps(shapes: DataFrame, cell: float = 16.0, nested: bool = False) -> DataFrame:
+    """image_id, a_id, a_kind, b_id, b_kind (a before b) of pieces whose outlines meet; two disks meet where they are
+    nearer than their radii together. With ``nested``, one within the other counts as well.
+
+    Boxes meet first, in the cells of a grid; only those pairs are tested exactly.
+    """
+    ends = lambda f, k: f(F.transform("ring", lambda p: p[k]))
+
+    def side(p: str) -> DataFrame:
+        box = {"x0": ends(F.array_min, "x"), "y0": ends(F.array_min, "y"), "x1": ends(F.array_max, "x"), "y1": ends(F.array_max, "y")}
+        own = [F.col(c).alias(f"{p}_{c}") for c in ("id", "kind", "x", "y", "radius", "ring")]
+        return shapes.select(F.col("image_id").alias(p + "_image"), *own, *[x.alias(p + n) for n, x in box.items()])
+
+    near = G.grid_pairs(side("a"), side("b"), cell, (F.col("a_image") == F.col("b_image")) & (F.col("a_id") < F.col("b_id")))
+    near = near.select(F.col("a_image").alias("image_id"), "a_id", "a_kind", "b_id", "b_kind", "a_x", "a_y", "a_radius", "a_ring", "b_x", "b_y", "b_radius", "b_ring")
+
+    def run(batches):
+        for pdf in batches:
+            keep = []
+            for row in pdf.itertuples():
+                if row.a_kind == row.b_kind == "brash":
+                    keep.append(bool(np.hypot(row.a_x - row.b_x, row.a_y - row.b_y) < row.a_radius + row.b_radius))
+                    continue
+                a, b = (np.array([[p["x"], p["y"]] for p in ring]) for ring in (row.a_ring, row.b_ring))
+                keep.append(K.outlines_meet(a, b) or (nested and (K.ring_contains(a, b[0]) or K.ring_contains(b, a[0]))))
+            yield pdf.loc[keep, ["image_id", "a_id", "a_kind", "b_id", "b_kind"]]
+
+    return near.mapInPandas(run, "image_id bigint, a_id bigint, a_kind string, b_id bigint, b_kind string")
+
+
 def pieces_of(documents: DataFrame) -> DataFrame:
     """The inverse: one row a piece."""
     floes = documents.select("image_id", F.explode("floes").alias("p")).select("image_id", F.lit("floe").alias("kind"), "p.piece", "p.area", "p.cx", "p.cy")

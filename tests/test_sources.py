@@ -192,3 +192,22 @@ def test_overlap_graph(spark):
     assert [tuple(x) for x in G.asymmetric(edges).collect()] == [(3, 1)]
     boxes = spark.createDataFrame([(1, 0, 0, 2, 2), (2, 2, 0, 4, 2), (3, 1, 1, 3, 3)], "box_id bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
     assert sorted(tuple(x) for x in G.box_overlaps(boxes, 1.0).collect()) == [(1, 3), (2, 3)]  # a shared edge is no overlap
+
+
+def test_mixed_overlaps(spark):
+    from gridloom.plans import pieces as P
+
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    circle = lambda x, y, r: [(x + r * np.cos(0.05 * k), y + r * np.sin(0.05 * k)) for k in range(126)]
+    rows = [
+        (0, 1, "floe", 2.0, 2.0, None, square(0.0, 0.0, 4.0)),
+        (0, 2, "brash", 4.5, 2.0, 1.0, circle(4.5, 2.0, 1.0)),  # over the edge of 1
+        (0, 3, "brash", 2.0, 2.0, 0.5, circle(2.0, 2.0, 0.5)),  # within 1
+        (0, 4, "floe", 9.0, 9.0, None, square(8.0, 8.0, 2.0)),
+        (0, 5, "brash", 5.9, 2.0, 0.5, circle(5.9, 2.0, 0.5)),  # near 2
+        (1, 6, "floe", 2.0, 2.0, None, square(0.0, 0.0, 4.0)),  # another image
+    ]
+    shapes = spark.createDataFrame(rows, "image_id bigint, id bigint, kind string, x double, y double, radius double, ring array<struct<x:double,y:double>>")
+    pairs = lambda **kw: sorted((r.a_id, r.b_id) for r in P.overlaps(shapes, 4.0, **kw).collect())
+    assert pairs() == [(1, 2), (2, 5)]
+    assert pairs(nested=True) == [(1, 2), (1, 3), (2, 5)]
