@@ -198,7 +198,7 @@ def test_mixed_overlaps(spark):
     from gridloom.plans import pieces as P
 
     square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
-    circle = lambda x, y, r: [(x + r * np.cos(0.05 * k), y + r * np.sin(0.05 * k)) for k in range(126)]
+    circle = lambda x, y, r: [(float(x + r * np.cos(0.05 * k)), float(y + r * np.sin(0.05 * k))) for k in range(126)]
     rows = [
         (0, 1, "floe", 2.0, 2.0, None, square(0.0, 0.0, 4.0)),
         (0, 2, "brash", 4.5, 2.0, 1.0, circle(4.5, 2.0, 1.0)),  # over the edge of 1
