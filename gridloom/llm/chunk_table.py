@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from gridloom.llm.text_arrays import ragged, spans, words_of
 
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 250_000
 #: Longer chunks are segmented but not kept.
 LONGEST_KEPT = 64
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import own_columns, stored, table
-from gridloom.llm.text_arrays import IS_SEPARATOR, column_bytes, mixed_bits, steps, word_hashes, words_of
+from gridloom.llm.text_arrays import HASH_STEP_BYTES, IS_SEPARATOR, column_bytes, mixed_bits, steps, word_hashes, words_of
 
 SHINGLE = 4
 SEED = 42
@@ -70,7 +70,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(1)
-            for at, to in steps(text, 2_000_000):
+            for at, to in steps(text, HASH_STEP_BYTES):
                 found = fingerprint_column(text.slice(at, to - at), shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -357,7 +357,7 @@ def similar_links(documents: DataFrame, similarity: float = SIMILARITY, shingle:
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in steps(batch.column(1), 2_000_000):
+            for at, to in steps(batch.column(1), HASH_STEP_BYTES):
                 fps, sketch, some = sketch_column(batch.column(1).slice(at, to - at), shingle)
                 whole = pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(fps.view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2), len(fps), [None, pa.py_buffer(np.ascontiguousarray(sketch))]).cast(pa.binary())], names=["id", "fp", "sketch"])
                 yield whole.filter(pa.array(some))

@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Workers live on between tasks; the system's allocator gives large buffers back at once, Arrow's own pools keep them.
+pa.set_memory_pool(pa.system_memory_pool())
+
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SEPARATOR = np.zeros(256, bool)
 IS_SEPARATOR[list(SEPARATORS)] = True
@@ -112,13 +115,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 BASE = 0x9E3779B97F4A7C15
 
+#: Steps of what hashes words: the tables of powers are as long as a step.
+HASH_STEP_BYTES = 1_000_000
+
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and their inverses, kept by each worker."""
     if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = max(n, HASH_STEP_BYTES + 1)
         inverse = pow(BASE, -1, 1 << 64)
         for name, base in (("up", BASE), ("down", inverse)):
             out = np.ones(size, np.uint64)

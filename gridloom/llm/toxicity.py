@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import bounded_sample, own_columns, table
-from gridloom.llm.text_arrays import mixed_bits, steps, word_hashes, words_of
+from gridloom.llm.text_arrays import HASH_STEP_BYTES, mixed_bits, steps, word_hashes, words_of
 
 BITS = 22
 MAX_ROWS = 16_000
@@ -118,7 +118,7 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bit
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in steps(batch.column(2)):
+            for at, to in steps(batch.column(2), HASH_STEP_BYTES):
                 doc, coordinate = features(batch.column(2).slice(at, to - at), bits)
                 once = np.unique(doc * (1 << bits) + coordinate)
                 ends = np.searchsorted(once >> bits, np.arange(to - at + 1))
@@ -152,7 +152,7 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
         dense = own.dense()
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            for at, to in steps(text):
+            for at, to in steps(text, HASH_STEP_BYTES):
                 part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), pa.array(own.score(text.slice(at, to - at), dense))], names=[*keep, "score"])
 
