@@ -96,9 +96,7 @@ def gram_counts(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for at, to in steps(batch.column(0)):
                 gram, _ = grams_of(batch.column(0).slice(at, to - at))
-                counts += np.bincount(gram, minlength=len(counts)).astype(np.int32) if len(gram) > 1 << 20 else 0
-                if len(gram) <= 1 << 20:
-                    np.add.at(counts, gram, 1)
+                np.add.at(counts, gram, 1)
         seen = np.flatnonzero(counts)
         for lo in range(0, len(seen), 100_000):
             part = seen[lo : lo + 100_000]
@@ -128,15 +126,19 @@ class Model:
 
     def log_probabilities(self) -> np.ndarray:
         """Natural logarithm of the last symbol's probability after the others, for every gram there can be."""
-        lower = np.full(1, 1.0 / SYMBOLS)
+        lower = np.full(1, 1.0 / SYMBOLS, np.float32)
         for k in range(len(self.grams)):
             left = np.ones(SYMBOLS**k, np.float32)
             left[self.contexts[k]] = self.left[k]
-            # the lower order's gram is this one without its first symbol
-            whole = np.repeat(left, SYMBOLS) * (np.tile(lower, SYMBOLS) if k else lower[0])
+            # the lower order's gram is this one without its first symbol; one array of the order's size at a time
+            whole = np.empty(SYMBOLS ** (k + 1), np.float32)
+            if k:
+                np.multiply(left.reshape(SYMBOLS, -1, 1), lower.reshape(1, -1, SYMBOLS), out=whole.reshape(SYMBOLS, -1, SYMBOLS))
+            else:
+                whole[:] = left[0] * lower[0]
             whole[self.grams[k]] += self.weights[k]
-            lower = whole.astype(np.float32)
-        return np.log(lower)
+            lower = whole
+        return np.log(lower, out=lower)
 
 
 def learn(documents: DataFrame) -> Model:
@@ -150,23 +152,21 @@ def learn(documents: DataFrame) -> Model:
         contexts = marked.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("taken"))
         weights = marked.join(contexts, "context").select("gram", ((F.col("n") - F.col("discount")) / F.col("total")).alias("weight"))
         left = contexts.select(F.col("context").alias("gram"), (F.col("taken") / F.col("total")).alias("weight"))
-        both = weights.withColumn("is_context", F.lit(False)).unionByName(left.withColumn("is_context", F.lit(True)))
-        parts.append(both.withColumn("order", F.lit(order)))
+        parts += [df.select("gram", F.col("weight").cast("float"), F.lit(k).cast("tinyint").alias("kind")) for df, k in ((weights, 2 * order), (left, 2 * order + 1))]
         if order > 1:  # how many symbols come before each shorter gram
             suffix = F.col("gram").bitwiseAND((1 << BITS * (order - 1)) - 1)
             counts = stored(counts.groupBy(suffix.alias("gram")).agg(F.count("*").alias("n")), f"gram-counts-{order - 1}")
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    got = whole.toPandas()
+    got = whole.toArrow()  # nine bytes a weight
+    kind, gram, weight = (got[c].to_numpy() for c in ("kind", "gram", "weight"))
     model = Model([], [], [], [])
     for order in range(1, ORDER + 1):
-        own = got[got["order"] == order].sort_values(["is_context", "gram"])
-        grams, contexts = own[~own["is_context"]], own[own["is_context"]]
-        model.grams.append(grams["gram"].to_numpy(np.int32))
-        model.weights.append(grams["weight"].to_numpy(np.float32))
-        model.contexts.append(contexts["gram"].to_numpy(np.int32))
-        model.left.append(contexts["weight"].to_numpy(np.float32))
+        for of, grams, weights in ((2 * order, model.grams, model.weights), (2 * order + 1, model.contexts, model.left)):
+            own = np.flatnonzero(kind == of)
+            grams.append(gram[own])
+            weights.append(weight[own])
     return model
 
 
