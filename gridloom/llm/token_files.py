@@ -133,13 +133,12 @@ def code(indices: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
     """Range-coded bytes of each block of indices below its size; blocks come by falling length."""
     lengths = np.fromiter(map(len, indices), np.int64, len(indices))
     lanes = len(lengths)
-    grid = np.zeros((lanes, int(lengths[0])), np.int64)
+    grid = np.zeros((int(lengths[0]), lanes), np.int16)  # an index has twelve bits
     for i, x in enumerate(indices):
-        grid[i, : len(x)] = x
-    grid = np.ascontiguousarray(grid.T)
+        grid[: len(x), i] = x
     mixer = _Mixer(sizes)
     low, range_ = np.zeros(lanes, np.int64), np.full(lanes, 1 << TOP, np.int64)
-    out = np.zeros((lanes, int(lengths[0]) + 64), np.int64)
+    out = np.zeros((lanes, int(lengths[0]) + 64), np.int32)
     used = np.zeros(lanes, np.int64)
 
     def shift(at: np.ndarray) -> None:
@@ -157,7 +156,7 @@ def code(indices: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
         if going < active:
             active = going
             mixer.resize(going)
-        whole = grid[t, :active]
+        whole = grid[t, :active].astype(np.int64)
         mixer.begin()
         high = whole >> 6
         for level, symbol in enumerate((high, whole & 63)):
@@ -188,17 +187,18 @@ def decode(coded: list[bytes], lengths: np.ndarray, sizes: np.ndarray) -> list[n
     """The indices of each block; blocks come by falling length."""
     lanes = len(coded)
     most = max(map(len, coded), default=0) // 2
-    digits = np.zeros((lanes, most + 8), np.int64)
+    digits = np.zeros((lanes, most + 8), np.uint16)
     for i, c in enumerate(coded):
         digits[i, : len(c) // 2] = np.frombuffer(c, "<u2")
     width = digits.shape[1]
     digits = digits.reshape(-1)
     at = np.arange(lanes) * width
     # the first window has 40 bits: two and a half digits; it starts with the digits' upper bits as the coder wrote them
-    window = (digits[at] << 24) | (digits[at + 1] << 8) | (digits[at + 2] >> 8)
-    spare = digits[at + 2] & 0xFF
+    one, two, three = (digits[at + k].astype(np.int64) for k in range(3))
+    window = (one << 24) | (two << 8) | (three >> 8)
+    spare = three & 0xFF
     at += 3
-    grid = np.zeros((int(lengths[0]) if lanes else 0, lanes), np.int64)
+    grid = np.zeros((int(lengths[0]) if lanes else 0, lanes), np.int16)
     mixer = _Mixer(sizes)
     range_ = np.full(lanes, 1 << TOP, np.int64)
     active = lanes
@@ -220,7 +220,7 @@ def decode(coded: list[bytes], lengths: np.ndarray, sizes: np.ndarray) -> list[n
             mixer.learn(symbol)
             small = np.flatnonzero(left < LOWEST)
             if len(small):
-                fresh = digits[np.minimum(at[small], limits[small])]
+                fresh = digits[np.minimum(at[small], limits[small])].astype(np.int64)
                 window[small] = (window[small] << SHIFT) | (spare[small] << 8) | (fresh >> 8)
                 spare[small] = fresh & 0xFF
                 range_[small] <<= SHIFT
@@ -269,7 +269,10 @@ def write_segment(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarra
     blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
     parts = [MAGIC, struct.pack("<QQQQ", len(doc_ids), len(ids), len(blocks), len(head)), struct.pack("<I", zlib.crc32(head)), head]
     if blocks:
-        found = [np.unique(b, return_inverse=True) for b in blocks]  # only the last block can be shorter than the others
+        found = []  # only the last block can be shorter than the others
+        for b in blocks:
+            alphabet, inverse = np.unique(b, return_inverse=True)
+            found.append((alphabet, inverse.astype(np.int16)))
         coded = code([f[1] for f in found], np.array([len(f[0]) for f in found]))
         for b, (alphabet, _), c in zip(blocks, found, coded):
             letters = _numbers(np.diff(alphabet.astype(np.int64), prepend=0))
