@@ -264,12 +264,13 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, shingle: int
 
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Texts that share 0.8 of their five-word shingles differ in five to thirteen bits; unrelated ones in some thirty.
-SIMILAR_DISTANCE = 14
-SIMILAR_TABLES = 24
 BINS = 128
-#: Two to three standard errors of a sketch's estimate near SIMILARITY.
-SKETCH_ERROR = 0.1
+#: A pair with a share s of its shingles in common meets in a band with probability 1 - (1 - s^5)^25 whatever the size of
+#: the corpus: 0.99995 at SIMILARITY, 0.9999996 at 0.85.
+BAND_ROWS = 5
+BANDS = BINS // BAND_ROWS
+#: Standard errors by which a sketch's estimate may fall short of SIMILARITY before a pair is passed over.
+SKETCH_ERRORS = 6
 
 
 def shingle_hashes(column: pa.Array, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -291,16 +292,11 @@ def shingle_hashes(column: pa.Array, shingle: int = SIMILAR_SHINGLE) -> tuple[np
 
 
 def sketch_column(column: pa.Array, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, least-value sketches (BINS numbers of four bits, two a byte) and whether a text has a word."""
+    """Keys (the number of bins with a value of their own, then BANDS band ids), least-value sketches (BINS numbers of
+    four bits, two a byte) and whether a text has a word."""
     n = len(column)
     mixed, count = shingle_hashes(column, shingle)
     doc = np.repeat(np.arange(n), count)
-    bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    fps = np.zeros(n, np.uint64)
-    bounds = np.concatenate(([0], np.cumsum(count)))
-    for i in np.flatnonzero(count):
-        of = bits[bounds[i] : bounds[i + 1]]
-        fps[i] = np.packbits(2 * of.sum(axis=0, dtype=np.int64) > len(of)).view(">u8")[0]
     again = mixed_bits(mixed ^ np.uint64(0x5851F42D4C957F2D))
     least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(least, doc * BINS + (again >> np.uint64(57)).astype(np.int64), again & np.uint64((1 << 57) - 1))
@@ -313,8 +309,15 @@ def sketch_column(column: pa.Array, shingle: int = SIMILAR_SHINGLE) -> tuple[np.
         following = np.where(some[:, None], following, 0)
         gap = (following - np.arange(BINS)).astype(np.uint64)
         least = mixed_bits(np.take_along_axis(least, following % BINS, axis=1) + gap * np.uint64(0xD6E8FEB86659FD93))
+    keys = np.empty((n, 1 + BANDS), np.int64)
+    keys[:, 0] = BINS - empty.sum(axis=1)
+    for k in range(BANDS):
+        band = np.full(n, k + 1, np.uint64)
+        for m in range(k * BAND_ROWS, (k + 1) * BAND_ROWS):
+            band = mixed_bits(band * np.uint64(0x9E3779B97F4A7C15) + least[:, m])
+        keys[:, 1 + k] = band.view(np.int64)
     nibbles = (least & np.uint64(15)).astype(np.uint8)
-    return fps, nibbles[:, 0::2] | nibbles[:, 1::2] << 4, some
+    return keys, nibbles[:, 0::2] | nibbles[:, 1::2] << 4, some
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -324,19 +327,21 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / BINS - 1 / 16) / (1 - 1 / 16)
 
 
-def _similar_in_run(ids: np.ndarray, fp: np.ndarray, sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links within a cell, as few as connect what is alike: close fingerprints first, then alike sketches."""
-    if len(ids) <= 64 and int((_popcount(fp[:, None] ^ fp[None, :]) <= SIMILAR_DISTANCE).sum()) == len(ids):
-        return []  # each is close to itself alone
+def maybe_alike(full_a: np.ndarray, sketch_a: np.ndarray, full_b: np.ndarray, sketch_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sketches leave room for ``similarity``; those of short texts, with few full bins, leave more."""
+    error = np.sqrt(similarity * (1 - similarity) / np.minimum(full_a, full_b))
+    return likeness(sketch_a, sketch_b) >= similarity - SKETCH_ERRORS * error
+
+
+def _similar_in_run(ids: np.ndarray, full: np.ndarray, sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links within a cell, as few as connect what the sketches take for alike."""
     rest = np.arange(len(ids))
     found: list[tuple[int, int]] = []
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            near = np.flatnonzero(_popcount(fp[rest] ^ fp[at]) <= SIMILAR_DISTANCE)
-            if len(near):
-                near = near[likeness(sketch[rest[near]], sketch[at]) >= similarity]
+            near = np.flatnonzero(maybe_alike(full[rest], sketch[rest], full[at], sketch[at], similarity))
             if len(near):
                 hit = rest[near]
                 rest = np.delete(rest, near)
@@ -345,48 +350,34 @@ def _similar_in_run(ids: np.ndarray, fp: np.ndarray, sketch: np.ndarray, similar
     return found
 
 
-def similar_links(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, tables: int = SIMILAR_TABLES, cell_limit: int = CELL_ROWS) -> DataFrame:
+def similar_links(documents: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, cell_limit: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) of texts with ``similarity`` or more of their shingles in common, for documents with distinct
     doc_id that aren't null.
 
-    Such texts are too far apart in bits for a grid that finds all of them, so each of ``tables`` grids takes the bit
-    counts of some segments, drawn once, as its cells; within a cell the fingerprints' distance and then the sketches
-    name candidates, and their whole texts decide. More segments are drawn as the texts grow in number, so that cells
-    stay small. This finds most, not all.
+    The least values of a text's shingles are cut into bands; texts that agree on a whole band share a cell. Bands
+    depend on the similarity alone, so what is found doesn't fall as the texts grow in number. Within a cell sketches
+    name candidates, and their whole texts decide.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to in steps(batch.column(1), HASH_STEP_BYTES):
-                fps, sketch, some = sketch_column(batch.column(1).slice(at, to - at), shingle)
-                whole = pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(fps.view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2), len(fps), [None, pa.py_buffer(np.ascontiguousarray(sketch))]).cast(pa.binary())], names=["id", "fp", "sketch"])
+                keys, sketch, some = sketch_column(batch.column(1).slice(at, to - at), shingle)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys[:, 1:].ravel()))
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2), len(keys), [None, pa.py_buffer(np.ascontiguousarray(sketch))]).cast(pa.binary())
+                whole = pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(keys[:, 0]), packed, bands], names=["id", "full", "sketch", "bands"])
                 yield whole.filter(pa.array(some))
 
-    marked = stored(own_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(marks, "id long, fp long, sketch binary"), "sketches")
-    n = marked.count()
-    segments = int(np.clip(np.ceil((np.log2(max(n, 2)) - 5) / np.log2(8 / 3)), 6, 20))
-    chosen = [np.sort(np.random.default_rng(k).choice(64 // SEGMENT_BITS, segments, replace=False)) for k in range(tables)]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 5000):
-                part = batch.slice(lo, 5000)
-                counts = embed(part.column(1).to_numpy(zero_copy_only=False))
-                for k, own in enumerate(chosen):
-                    cell = np.full(part.num_rows, k + 1, np.uint64)
-                    for m in own:
-                        cell = cell * np.uint64(3) + counts[:, m]
-                    yield pa.RecordBatch.from_arrays([pa.array(mixed_bits(cell).view(np.int64)), *part.columns], names=["cell", "id", "fp", "sketch"])
-
-    cells = marked.mapInArrow(spread, "cell long, id long, fp long, sketch binary")
-    sizes = marked.select("id", "fp", F.lit(None).cast("binary").alias("sketch")).mapInArrow(spread, "cell long, id long, fp long, sketch binary").groupBy("cell").count()
+    marked = stored(own_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(marks, "id long, full long, sketch binary, bands array<long>"), "sketches")
+    cells = marked.select(F.explode("bands").alias("cell"), "id", "full", "sketch")
+    sizes = marked.select(F.explode("bands").alias("cell")).groupBy("cell").count()
     large = stored(sizes.where(F.col("count") > cell_limit).select("cell", F.ceil(F.col("count") / cell_limit).cast("long").alias("blocks")), "large-cells")
     keys = ["cell"]
     if not large.isEmpty():  # the same dealing into pairs of blocks as above; a small cell is one block
         dealt = cells.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own = F.pmod(F.xxhash64("id"), F.col("blocks"))
         paired = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        cells = paired.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "fp", "sketch")
+        cells = paired.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "full", "sketch")
         keys = ["cell", "low", "high"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,16 +385,19 @@ def similar_links(documents: DataFrame, similarity: float = SIMILARITY, shingle:
 
         def runs(key: np.ndarray, rows: pa.Table) -> pa.RecordBatch | None:
             edges = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True])))
-            ids, fp = rows["id"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+            ids, full = rows["id"].to_numpy(), rows["full"].to_numpy()
             data, _ = column_bytes(rows["sketch"].combine_chunks())
             sketch = data.reshape(len(ids), BINS // 2)
+            two = edges[:-1][np.diff(edges) == 2]  # most cells: all at once
+            two = two[maybe_alike(full[two], sketch[two], full[two + 1], sketch[two + 1], similarity)]
             out: list[tuple[int, int]] = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if b - a > 1:
-                    out += _similar_in_run(ids[a:b], fp[a:b], sketch[a:b], similarity - SKETCH_ERROR)
-            if not out:
+                if b - a > 2:
+                    out += _similar_in_run(ids[a:b], full[a:b], sketch[a:b], similarity)
+            if not out and not len(two):
                 return None
-            both = np.sort(np.array(out, np.int64), axis=1)
+            both = np.concatenate([np.stack([ids[two], ids[two + 1]], axis=1), np.array(out, np.int64).reshape(-1, 2)])
+            both = np.unique(np.sort(both, axis=1), axis=0)  # a pair meets in many cells
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:

@@ -153,3 +153,32 @@ def test_stage_drops_similar_texts_and_keeps_the_rest(spark):
     kept = [r.doc_id for r in S.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(x for x in kept if x is not None) == [3, 9]
     assert sorted(r.doc_id for r in S.drop_near_duplicates(spark, docs, "", None).collect() if r.doc_id is not None) in ([3, 5, 9], [3, 9])
+
+
+def groups_of(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(b)] = find(a)
+    return [find(x) for x in range(n)]
+
+
+def test_similar_texts_of_any_length_are_found(spark):
+    """Pairs barely 0.8 alike, from ten words on: their fingerprints may differ in more bits than long texts' do."""
+    rng = np.random.default_rng(21)
+    texts = []
+    while len(texts) < 800:
+        a, _ = edited(rng, int(rng.integers(10, 80)), 0)
+        b = a.split()
+        for k in range(int(rng.integers(1, 4))):
+            b[-1 - k] = f"e{k}"
+        if 0.8 <= len(brute_shingles(a) & brute_shingles(" ".join(b))) / len(brute_shingles(a) | brute_shingles(" ".join(b))) < 0.9:
+            texts += [a, " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = groups_of(len(texts), [(r.a, r.b) for r in S.similar_links(docs).collect()])
+    assert np.mean([root[k] == root[k + 1] for k in range(0, len(texts), 2)]) >= 0.995
