@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import own_columns, stored, table
-from gridloom.llm.text_arrays import HASH_STEP_BYTES, IS_SEPARATOR, column_bytes, mixed_bits, steps, word_hashes, words_of
+from gridloom.llm.text_arrays import HASH_STEP_BYTES, IS_SEPARATOR, column_bytes, mixed_bits, ragged, steps, word_hashes, words_of
 
 SHINGLE = 4
 SEED = 42
@@ -269,6 +269,8 @@ BINS = 128
 #: the corpus: 0.99995 at SIMILARITY, 0.9999996 at 0.85.
 BAND_ROWS = 5
 BANDS = BINS // BAND_ROWS
+#: Text of one family that a task holds at most, times two.
+FAMILY_BYTES = 8_000_000
 #: Standard errors by which a sketch's estimate may fall short of SIMILARITY before a pair is passed over.
 SKETCH_ERRORS = 6
 
@@ -356,7 +358,7 @@ def similar_links(documents: DataFrame, similarity: float = SIMILARITY, shingle:
 
     The least values of a text's shingles are cut into bands; texts that agree on a whole band share a cell. Bands
     depend on the similarity alone, so what is found doesn't fall as the texts grow in number. Within a cell sketches
-    name candidates, and their whole texts decide.
+    span families of what may be alike; within a family whole texts decide, each pair that is not yet linked.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,28 +421,80 @@ def similar_links(documents: DataFrame, similarity: float = SIMILARITY, shingle:
                 yield got
 
     candidates = stored(cells.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(compare, "a long, b long").distinct(), "candidates")
-    return _verified(candidates, documents, similarity, shingle)
+    return _verified(components(candidates), documents, similarity, shingle, cell_limit)
+
+
+def _alike_in_family(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect the sets that share enough, as few as connect them; no pair is passed over."""
+    n = len(ids)
+    sizes = np.array([len(x) for x in sets])
+    enough = lambda shared, a, b: (shared >= similarity * (a + b - shared)) & (shared > 0)
+    if n == 2:
+        shared = len(np.intersect1d(*sets, assume_unique=True))
+        return [(int(ids[0]), int(ids[1]))] if enough(shared, *sizes) else []
+    owner = np.repeat(np.arange(n), sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = owner[np.argsort(code, kind="stable")]
+    held = np.bincount(code)
+    starts = np.cumsum(held) - held
+    first = np.cumsum(sizes) - sizes
+    left = np.ones(n, bool)
+    found: list[tuple[int, int]] = []
+    for seed in range(n):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        front = [seed]
+        while front and left.any():
+            at = front.pop()
+            own = code[first[at] : first[at] + sizes[at]]
+            shared = np.bincount(holders[ragged(starts[own], held[own])], minlength=n)
+            hit = np.flatnonzero(left & enough(shared, sizes, sizes[at]))
+            left[hit] = False
+            found += [(int(ids[at]), int(ids[x])) for x in hit]
+            front += hit.tolist()
+    return found
 
 
-def _verified(candidates: DataFrame, documents: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The candidates whose texts share enough of their distinct shingles."""
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(own_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "candidate-texts")
-    both = candidates.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def _verified(families: DataFrame, documents: DataFrame, similarity: float, shingle: int, cell_limit: int) -> DataFrame:
+    """Links of the texts of a family (node, root) that share enough of their distinct shingles. A large family is
+    dealt into blocks, and each pair of blocks is compared by a task of its own."""
+    texts = own_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = stored(texts.join(families.withColumnRenamed("node", "id"), "id").select("root", "id", "text"), "family-texts")
+    blocks = F.ceil(F.greatest(F.count("*") / cell_limit, F.sum(F.octet_length("text")) / FAMILY_BYTES)).cast("long")
+    large = stored(texts.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1"), "large-families")
+    keys = ["root"]
+    if not large.isEmpty():
+        dealt = texts.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        paired = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        texts = paired.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "text")
+        keys = ["root", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        ids: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = _alike_in_family(np.array(ids), sets, similarity) if len(ids) > 1 else []
+            if found:
+                both = np.sort(np.array(found, np.int64), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                sides = []
-                for k in (2, 3):
-                    mixed, count = shingle_hashes(part.column(k), shingle)
-                    sides.append([np.unique(x) for x in np.split(mixed, np.cumsum(count)[:-1])])
-                shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)]
-                keep = [n >= similarity * (len(x) + len(y) - n) and n > 0 for n, x, y in zip(shared, *sides)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+            family = list(zip(*[batch.column(i).to_pylist() for i in range(len(keys))]))
+            own, text = batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1)
+            for at, to in steps(text, HASH_STEP_BYTES):
+                mixed, count = shingle_hashes(text.slice(at, to - at), shingle)
+                for i, x in zip(range(at, to), np.split(mixed, np.cumsum(count)[:-1])):
+                    if family[i] != now:
+                        yield from out()
+                        now, ids, sets = family[i], [], []
+                    ids.append(own[i])
+                    sets.append(np.unique(x))
+        yield from out()
+
+    return texts.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,3 +182,23 @@ def test_similar_texts_of_any_length_are_found(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     root = groups_of(len(texts), [(r.a, r.b) for r in S.similar_links(docs).collect()])
     assert np.mean([root[k] == root[k + 1] for k in range(0, len(texts), 2)]) >= 0.995
+
+
+@pytest.mark.parametrize("cell_limit", [4096, 7])
+def test_links_within_a_family_of_texts_that_are_not_quite_alike(spark, cell_limit):
+    """The first texts are 0.75 or 0.79 alike to all others of their family; only pairs among the others are alike enough."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for tail, pair_tail in ((57, 32), (47, 42)):  # 0.75 and 0.85, 0.79 and 0.81, of 400 shingles
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 404)]
+        new = lambda n: [f"n{x}" for x in rng.integers(0, 10**9, n)]
+        texts += [base[:-tail] + new(tail) for _ in range(20)]
+        for _ in range(20):
+            b = base[:-tail] + new(tail)
+            texts += [b, b[:-pair_tail] + new(pair_tail)]
+    texts = [" ".join(x) for x in texts]
+    sets = [brute_shingles(t) for t in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(want) == 40 and 0.74 < len(sets[0] & sets[20]) / len(sets[0] | sets[20]) < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.a, r.b) for r in S.similar_links(docs, cell_limit=cell_limit).collect()} == want
