@@ -503,23 +503,33 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float | None = SIMILARITY) -> DataFrame:
-    """Pipeline stage: of each group of near copies the row with the least doc_id stays; of rows that share it, one.
+    """Pipeline stage: of each group of near copies one row stays, that with the least doc_id (rows without one come
+    last; of rows that share it, the least hash decides). A row is known by its contents, not by its doc_id, so rows
+    without doc_id, or with the same one, stay side by side if their texts are no near copies.
 
     Near copies are what the contract's fingerprints link and, of what that leaves, texts with SIMILARITY or more of
-    their five-word shingles in common (None: only the former). A row without doc_id stays only if its whole group
-    has none, one of each such group's equal ids.
+    their five-word shingles in common (None: only the former).
     """
-    nameless = F.lit(-(1 << 63)).cast("long")
-    key = F.coalesce(F.col("doc_id").cast("long"), nameless).alias("_key")
-    found = near_duplicates(docs).where("doc_id = component_id or component_id is null").select(key).distinct()
-    first = Window.partitionBy("_key").orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if c != "doc_id"])
-    kept = docs.withColumn("_key", key).join(found, "_key", "left_semi")  # the window below needs no exchange of its own
-    kept = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"),
+        F.col("doc_id").cast("long").alias("id"),
+    )
+    key = F.struct(F.col("id").isNull().alias("nameless"), "id", "h", "t")
+    marked = fingerprints(named.select(key.alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("key"), "doc_id.t", "fp")
+    texts = stored(marked.groupBy("t").agg(F.min("key").alias("key"), F.min("fp").alias("fp")), "texts")
+    distinct = stored(texts.select("fp").distinct(), "distinct")
+    found = components(links(distinct, groups_for(distinct.count())))
+    labelled = texts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = labelled.groupBy("root").agg(F.min("key").alias("key")).select("key.t", "key.h")
+    same = Window.partitionBy("t", "h").orderBy("id")  # rows that are the same in all columns
+    rows = named.withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    kept = rows.join(first, ["t", "h"], "left_semi")
     if similarity is None:
-        return kept
-    kept = stored(kept, "kept")
-    grouped = components(similar_links(kept.where("doc_id is not null"), similarity))
-    copies = grouped.where("node <> root").select(F.col("node").alias("_copy"))
-    return kept.join(copies, kept["doc_id"] == copies["_copy"], "left_anti")
-
-
+        return kept.select("row.*")
+    kept = stored(kept.select("t", "id", "row"), "kept")
+    grouped = components(similar_links(kept.select(F.col("t").alias("doc_id"), F.col("row.text").alias("text")), similarity))
+    labelled = kept.select("t", "id").join(grouped.withColumnRenamed("node", "t"), "t").select("root", "t", F.struct(F.col("id").isNull().alias("nameless"), "id", "t").alias("key"))
+    copies = labelled.join(labelled.groupBy("root").agg(F.min("key").alias("least")), "root").where("key <> least").select("t")
+    return kept.join(copies, "t", "left_anti").select("row.*")

@@ -202,3 +202,15 @@ def test_links_within_a_family_of_texts_that_are_not_quite_alike(spark, cell_lim
     assert len(want) == 40 and 0.74 < len(sets[0] & sets[20]) / len(sets[0] | sets[20]) < 0.8
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r.a, r.b) for r in S.similar_links(docs, cell_limit=cell_limit).collect()} == want
+
+
+@pytest.mark.parametrize("similarity", [0.8, None])
+def test_rows_without_an_id_or_with_the_same_one_are_no_copies(spark, similarity):
+    rng = np.random.default_rng(12)
+    texts = [edited(rng, 60, 0)[0] for _ in range(60)]
+    ids = [None] * 20 + [7] * 20 + list(range(100, 120))
+    rows = [(i, t, "en") for i, t in zip(ids, texts)]
+    copies = [(None, texts[0], "en"), (5, texts[1], "de"), (None, texts[25], "en"), (7, texts[26], "en"), (300, texts[45], "en")]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string")
+    kept = [(r.doc_id, r.text, r.lang) for r in S.drop_near_duplicates(spark, docs, "", similarity).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r[1] != texts[1]] + [(5, texts[1], "de")], key=str)
