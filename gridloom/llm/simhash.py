@@ -507,8 +507,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, simi
     last; of rows that share it, the least hash decides). A row is known by its contents, not by its doc_id, so rows
     without doc_id, or with the same one, stay side by side if their texts are no near copies.
 
-    Near copies are what the contract's fingerprints link and, of what that leaves, texts with SIMILARITY or more of
-    their five-word shingles in common (None: only the former).
+    Near copies are what the contract's fingerprints link and texts with SIMILARITY or more of their five-word shingles
+    in common (None: only the former); groups are what both kinds of link join.
     """
     named = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
@@ -519,17 +519,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, simi
     key = F.struct(F.col("id").isNull().alias("nameless"), "id", "h", "t")
     marked = fingerprints(named.select(key.alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("key"), "doc_id.t", "fp")
     texts = stored(marked.groupBy("t").agg(F.min("key").alias("key"), F.min("fp").alias("fp")), "texts")
-    distinct = stored(texts.select("fp").distinct(), "distinct")
-    found = components(links(distinct, groups_for(distinct.count())))
-    labelled = texts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = labelled.groupBy("root").agg(F.min("key").alias("key")).select("key.t", "key.h")
     same = Window.partitionBy("t", "h").orderBy("id")  # rows that are the same in all columns
     rows = named.withColumn("nth", F.row_number().over(same)).where("nth = 1")
-    kept = rows.join(first, ["t", "h"], "left_semi")
-    if similarity is None:
-        return kept.select("row.*")
-    kept = stored(kept.select("t", "id", "row"), "kept")
-    grouped = components(similar_links(kept.select(F.col("t").alias("doc_id"), F.col("row.text").alias("text")), similarity))
-    labelled = kept.select("t", "id").join(grouped.withColumnRenamed("node", "t"), "t").select("root", "t", F.struct(F.col("id").isNull().alias("nameless"), "id", "t").alias("key"))
-    copies = labelled.join(labelled.groupBy("root").agg(F.min("key").alias("least")), "root").where("key <> least").select("t")
-    return kept.join(copies, "t", "left_anti").select("row.*")
+    rows = stored(rows.join(texts.select("key.t", "key.h"), ["t", "h"], "left_semi").select("t", "row"), "rows")  # one a text
+    first = stored(texts.groupBy("fp").agg(F.min("t").alias("first")), "first")
+    near = links(first.select("fp"), groups_for(first.count()))
+    for side in ("a", "b"):
+        near = near.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"text_{side}")), side)
+    edges = texts.join(first, "fp").where("t <> first").select(F.col("t").alias("a"), F.col("first").alias("b"))
+    edges = edges.unionByName(near.select(F.col("text_a").alias("a"), F.col("text_b").alias("b")))
+    if similarity is not None:
+        edges = edges.unionByName(similar_links(rows.select(F.col("t").alias("doc_id"), F.col("row.text").alias("text")), similarity))
+    labelled = texts.join(components(edges).withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    kept = labelled.groupBy("root").agg(F.min("key").alias("key")).select("key.t")
+    return rows.join(kept, "t", "left_semi").select("row.*")

@@ -214,3 +214,18 @@ def test_rows_without_an_id_or_with_the_same_one_are_no_copies(spark, similarity
     docs = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string")
     kept = [(r.doc_id, r.text, r.lang) for r in S.drop_near_duplicates(spark, docs, "", similarity).collect()]
     assert sorted(kept, key=str) == sorted([r for r in rows if r[1] != texts[1]] + [(5, texts[1], "de")], key=str)
+
+
+def test_both_kinds_of_link_join_one_group(spark):
+    """The third text is alike to the second alone, which the contract's bits link to the first."""
+    rng = np.random.default_rng(30)
+    share = lambda a, b: len(brute_shingles(a) & brute_shingles(b)) / len(brute_shingles(a) | brute_shingles(b))
+    apart = lambda a, b: bin(brute_fingerprint(a) ^ brute_fingerprint(b)).count("1")
+    while True:
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 304)]
+        a, b, c = (" ".join([*(f"x{k}" for k in range(n)), *words[n : 304 - m], *(f"y{k}" for k in range(m))]) for n, m in ((0, 0), (10, 0), (10, 29)))
+        if apart(a, b) <= 4 and min(apart(a, c), apart(b, c)) > 4:
+            break
+    assert share(b, c) >= 0.8 > share(a, c)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")
+    assert [r.doc_id for r in S.drop_near_duplicates(spark, docs, "").collect()] == [1]
