@@ -348,7 +348,7 @@ def nearest_centre(spark, d):
 
 @query("three_thresholds")
 def three_thresholds(spark, d):
-    return T.three_thresholds(V.gray_images(spark, d).where("image_id < 3"))
+    return T.three_thresholds(V.gray_images(spark, d))
 
 
 @query("diameter_analysis", "WITH p AS (SELECT p_size * 20.0::DOUBLE AS a, p_size * 17.0::DOUBLE AS b FROM part), k AS (SELECT ceil(sqrt(4 * a / 3.141592653589793::DOUBLE) - 0.5) AS x, ceil(sqrt(4 * b / 3.141592653589793::DOUBLE) - 0.5) AS y FROM p), g AS (SELECT k.range AS bin FROM range(0, 100) k), x AS (SELECT bin, CAST(count(k.x) AS BIGINT) AS n FROM g LEFT JOIN k ON least(100, greatest(1, k.x)) = bin + 1 GROUP BY 1), y AS (SELECT bin, CAST(count(k.y) AS BIGINT) AS n FROM g LEFT JOIN k ON least(100, greatest(1, k.y)) = bin + 1 GROUP BY 1) SELECT x.bin, x.n AS n_polygon, y.n AS n_pixel, x.n - coalesce(z.n, 0) AS difference FROM x JOIN y USING (bin) LEFT JOIN y z ON z.bin = x.bin + 1")

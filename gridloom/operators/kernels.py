@@ -95,20 +95,33 @@ def fill_holes(mask: np.ndarray, conn: int = 4) -> np.ndarray:
 
 
 def simple_paths(mask: np.ndarray, start: tuple[int, int], end: tuple[int, int], conn: int = 4, most: int = 1000) -> list[list[tuple[int, int]]]:
-    """Simple paths between two object pixels by depth-first search, shortest steps first, at most ``most``."""
+    """Simple paths between two object pixels by depth-first search, shortest steps first, at most ``most``. A step is
+    taken only where the end can still be reached, so that the search doesn't walk all ways into a dead end."""
     found: list[list[tuple[int, int]]] = []
-    h, w = mask.shape
     if not (mask[start] and mask[end]):
         return found
+    around = neighbours(conn)
+    open_pixels = set(zip(*(x.tolist() for x in np.nonzero(mask))))
     stack = [(start, [start])]
     while stack and len(found) < most:
         at, path = stack.pop()
         if at == end:
             found.append(path)
             continue
-        for dr, dc in reversed(neighbours(conn)):
+        free = open_pixels - set(path)
+        front, free = [end], free - {end}
+        reached = {end}
+        while front:
+            r, c = front.pop()
+            for dr, dc in around:
+                p = (r + dr, c + dc)
+                if p in free:
+                    free.remove(p)
+                    reached.add(p)
+                    front.append(p)
+        for dr, dc in reversed(around):
             p = (at[0] + dr, at[1] + dc)
-            if 0 <= p[0] < h and 0 <= p[1] < w and mask[p] and p not in path:
+            if p in reached:
                 stack.append((p, [*path, p]))
     return found
 
