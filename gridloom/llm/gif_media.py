@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import own_columns, table
+from gridloom.llm.common import own_columns, stored, table
 from gridloom.llm.text_arrays import column_bytes, ragged, steps
 
 SIDE = 24
@@ -445,7 +445,8 @@ def timed_frames(stored: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = to_media(table(spark, sf_dir, "documents")).withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    files = stored(to_media(table(spark, sf_dir, "documents")), "media")
+    kept = files.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     found = read_media(kept)
     size = F.length("samples")
     return found.select(

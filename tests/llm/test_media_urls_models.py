@@ -255,3 +255,11 @@ def test_pipeline(spark, sample):
             assert out.select("doc_id").distinct().count() == docs.count()
     assert sample.count() >= seen[0] >= seen[1] >= seen[2] == seen[3] > 0
     assert C.run(spark, "/root/testdata/sf0.001").count() == out.count()
+
+
+def test_media_are_decoded_from_what_was_written(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M, "read_media", lambda kept, read=M.read_media: seen.append(kept) or read(kept))
+    rows = M.op8_gif_media(spark, "/root/testdata/sf0.001")
+    assert len(rows.inputFiles()) and all("/gridloom/media-" in f for f in rows.inputFiles())
+    assert seen[0].select("media").where("media is not null").count() == rows.count()
