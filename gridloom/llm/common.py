@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,14 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own if unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a local session (tests) gets one of its own; on a cluster a folder of one machine would lose
+    or hide rows, so that raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context.isDefined():
             found = context.get()
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "gridloom-shared")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -42,5 +47,18 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of a caller's table can't clash with ours."""
-    return df.select(*[df[n] for n in names])
+    """Only the named columns, by place, so that extra columns of a caller's table can't clash with ours, be it in
+    another case."""
+    places = [df.columns.index(n) for n in names]
+    numbered = df.toDF(*[f"_own_{i}" for i in range(len(df.columns))])
+    return numbered.select(*[F.col(f"_own_{i}").alias(n) for i, n in zip(places, names)])
+
+
+def sealed(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows with every column but the named ones under a name that no operator uses; see ``unsealed``."""
+    return df.toDF(*[c if c in names else f"_own_{i}" for i, c in enumerate(df.columns)])
+
+
+def unsealed(df: DataFrame, like: DataFrame, *names: str) -> DataFrame:
+    """The columns of ``like`` again, under their own names and in their order."""
+    return df.select(*[c if c in names else f"_own_{i}" for i, c in enumerate(like.columns)]).toDF(*like.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import own_columns, stored, table
+from gridloom.llm.common import own_columns, sealed, stored, table, unsealed
 from gridloom.llm.text_arrays import HASH_STEP_BYTES, IS_SEPARATOR, column_bytes, mixed_bits, ragged, steps, word_hashes, words_of
 
 SHINGLE = 4
@@ -498,6 +498,7 @@ def _verified(families: DataFrame, documents: DataFrame, similarity: float, shin
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; null, empty and wordless texts share fingerprint nought."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -510,11 +511,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, simi
     Near copies are what the contract's fingerprints link and texts with SIMILARITY or more of their five-word shingles
     in common (None: only the former); groups are what both kinds of link join.
     """
-    named = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    own = sealed(docs, "doc_id", "text")
+    named = own.select(
+        F.struct(*own.columns).alias("row"),
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"),
-        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(*own.columns).alias("h"),
+        F.col("doc_id").alias("id"),
     )
     key = F.struct(F.col("id").isNull().alias("nameless"), "id", "h", "t")
     marked = fingerprints(named.select(key.alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("key"), "doc_id.t", "fp")
@@ -532,4 +534,4 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, simi
         edges = edges.unionByName(similar_links(rows.select(F.col("t").alias("doc_id"), F.col("row.text").alias("text")), similarity))
     labelled = texts.join(components(edges).withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     kept = labelled.groupBy("root").agg(F.min("key").alias("key")).select("key.t")
-    return rows.join(kept, "t", "left_semi").select("row.*")
+    return unsealed(rows.join(kept, "t", "left_semi").select("row.*"), docs, "doc_id", "text")

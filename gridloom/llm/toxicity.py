@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_sample, own_columns, table
+from gridloom.llm.common import bounded_sample, own_columns, sealed, table, unsealed
 from gridloom.llm.text_arrays import HASH_STEP_BYTES, mixed_bits, steps, word_hashes, words_of
 
 BITS = 22
@@ -109,12 +109,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS) -> Model:
-    """Fit on at most ``max_rows`` labelled rows that aren't held out. Null ids and labels aren't used; without rows
-    every score is that of the least bias."""
+    """Fit on at most ``max_rows`` labelled rows that aren't held out. Null ids and labels aren't used; an id that is
+    labelled more than once is toxic if any label says so; without rows every score is that of the least bias.
+
+    What reaches the one training task are hashed features, at most three a word of those rows.
+    """
     usable = own_columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     picked = bounded_sample(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", max_rows)
-    rows = own_columns(documents, "doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = rows.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("rank"), F.col("toxic").cast("int"), "text")
+    as_text = F.col("doc_id").cast("string")  # the two tables' ids may be of different types
+    rows = own_columns(documents, "doc_id", "text").withColumn("doc_id", as_text).join(F.broadcast(picked.withColumn("doc_id", as_text)), "doc_id")
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("rank"), F.col("toxic").cast("int"), "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +146,8 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bit
 
 
 def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` and ``score`` (0 to 1) for every row; null text counts as empty."""
+    """The columns of ``keep`` and ``score`` (0 to 1) for every row; null text counts as empty and gets the score of
+    the bias, a very long text is a step of its own, repeated rows are scored one by one. Equal texts tie."""
     fields = [documents.schema[k] for k in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double"])
     sent = documents.sparkSession.sparkContext.broadcast(model)  # 2**bits sparse weights at most, a few thousand in fact
@@ -160,12 +165,15 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every row of ``documents``; rows with a null doc_id are scored and never held out."""
     documents = table(spark, sf_dir, "documents")
     scored = score(documents, learn(documents, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a score of THRESHOLD or more go."""
+    """Pipeline stage: documents with a score of THRESHOLD or more go. Null and empty texts score the bias alone; rows
+    without doc_id and extra columns of any name stay as they are."""
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, tuple(docs.columns)).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    own = sealed(docs, "text")
+    return unsealed(score(own, model, tuple(own.columns)).where(F.col("score") < THRESHOLD), docs, "text")
