@@ -2,13 +2,17 @@
 
 A value that passes its check (Luhn for card numbers, the calendar for dates, octets for addresses, and so on) is
 read as an integer in the domain of its format, permuted by a balanced Feistel network under a key, and written back
-in the same format: grouping, separators, letter case and check digits stay right. Equal values get equal pseudonyms
-in every document, so records stay linked, and the holder of the key can go back. Values that fail their check are
-left alone.
+in the same format: grouping, separators, letter case and check digits stay right. What is permuted is the value's
+normal form (a phone number's country code and digits, a date's day, a name without case), written back in the shape
+that was found: equal values get equal pseudonyms in every document and spelling, so records stay linked, and the
+holder of the key can go back. Values that fail their check are left alone.
+
+The scan's patterns are of bounded length, so its time follows the length of a text.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -21,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import own_columns, table
+from gridloom.llm.common import own_columns, sealed, table, unsealed
 
 #: For tests and benchmarks. Production passes a secret of its own.
 DEMONSTRATION_KEY = b"gridloom demonstration key"
@@ -125,15 +129,25 @@ def _iban(found: str, key: bytes, back: bool) -> str | None:
 
 def _email(found: str, key: bytes, back: bool) -> str | None:
     local, _, host = found.rpartition("@")
-    return f"{permute_text(local, key, b'email' + host.lower().encode(), back)}@{host}"
+    fresh = permute_text(local.lower(), key, b"email" + host.lower().encode(), back)
+    return "".join(x.upper() if c.isupper() else x for c, x in zip(local, fresh)) + "@" + host
+
+
+# Country codes of one and two digits; all others have three.
+COUNTRY_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 
 
 def _phone(found: str, key: bytes, back: bool) -> str | None:
+    """The country code stays, the digits after it are permuted; a number without one is North American."""
     digits = re.sub(r"\D", "", found)
     if not 8 <= len(digits) <= 15:
         return None
-    lead = re.match(r"\+\d{1,3}(?=[ .(-])|", found).group()
-    return lead + permute_digits(found[len(lead) :], key, b"phone" + lead.encode(), back)
+    lead = next((digits[:n] for n in (1, 2) if digits[:n] in COUNTRY_CODES), digits[:3]) if found[0] == "+" else ""
+    body = permute_digits(digits[len(lead) :], key, b"phone" + (lead or "1").encode(), back)
+    fresh = iter(lead + body)
+    return "".join(next(fresh) if c.isdigit() else c for c in found)
 
 
 def _ssn(found: str, key: bytes, back: bool) -> str | None:
@@ -159,8 +173,19 @@ def _ip(found: str, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
-_FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
-_DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
+def _day_class(d: datetime.date) -> tuple[int, bool]:
+    """What a date's spelling shows of it: how wide day and month are, and whether a month can't be meant."""
+    return (0 if d.day < 10 else 1 if d.day < 13 else 2), d.month > 9
+
+
+@lru_cache(maxsize=1)
+def _days() -> dict[tuple[int, bool], list[int]]:
+    """The days of 1900 to 2099, by class. A day is permuted within its class, so that every spelling of it keeps its
+    widths and its order of day and month, and all spellings of a day get the same one."""
+    out: dict[tuple[int, bool], list[int]] = {}
+    for at in range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()):
+        out.setdefault(_day_class(datetime.date.fromordinal(at)), []).append(at)
+    return out
 
 
 def _date(found: str, key: bytes, back: bool) -> str | None:
@@ -172,39 +197,41 @@ def _date(found: str, key: bytes, back: bool) -> str | None:
     if american:
         month, day = day, month
     try:
-        at = datetime.date(year, month, day).toordinal() - _FIRST_DAY
+        d = datetime.date(year, month, day)
     except ValueError:
         return None
-    if not 0 <= at < _DAYS:
+    if not 1900 <= year < 2100:
         return None
-
-    def written(d: datetime.date) -> str:
-        ordered = (d.year, d.month, d.day) if iso else (d.month, d.day, d.year) if american else (d.day, d.month, d.year)
-        return mark.join(str(x).zfill(len(p)) for x, p in zip(ordered, parts))
-
-    while True:  # walks on while a reader couldn't take the result for the same format, so that it can be undone
-        at = permute(at, _DAYS, key, b"date", back)
-        d = datetime.date.fromordinal(at + _FIRST_DAY)
-        if iso or (american and d.day > 12) or (not american and d.day > 0):
-            text = written(d)
-            if [len(p) for p in text.split(mark)] == [len(p) for p in parts]:
-                return text
+    kind = _day_class(d)
+    days = _days()[kind]
+    at = permute(bisect.bisect_left(days, d.toordinal()), len(days), key, b"date%d%d" % kind, back)
+    d = datetime.date.fromordinal(days[at])
+    ordered = (d.year, d.month, d.day) if iso else (d.month, d.day, d.year) if american else (d.day, d.month, d.year)
+    return mark.join(str(x).zfill(len(p)) for x, p in zip(ordered, parts))
 
 
 def _secret(found: str, key: bytes, back: bool) -> str | None:
-    """Hexadecimal keys of one case: permuted as one number in base 16."""
-    if not (re.search(r"\d", found) and re.search(r"[A-Fa-f]", found)) or found not in (found.lower(), found.upper()):
+    """Hexadecimal keys of one case are permuted as one number in base 16; of keys with a known beginning that
+    beginning stays and the rest is permuted within digits and letters of each case. Both must have a digit."""
+    if not re.search(r"\d", found):
+        return None
+    lead = PREFIX.match(found)
+    if lead:
+        return lead.group() + permute_text(found[lead.end() :], key, b"secret" + lead.group().encode(), back)
+    if not re.search(r"[A-Fa-f]", found) or found not in (found.lower(), found.upper()):
         return None
     fresh = format(permute(int(found, 16), 16 ** len(found), key, b"secret", back), "x").zfill(len(found))
     return fresh.upper() if found != found.lower() else fresh
 
 
+# How keys of well-known services begin.
+PREFIX = re.compile(r"AKIA|ASIA|AIza|sk-(?:proj-|ant-)?|[sr]k_(?:live|test)_|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|hf_|npm_|SG\.")
 # The formats looked for, the first that fits counts. Each ends and begins at a border of letters and digits.
 PATTERN = re.compile(
     r"(?<![A-Za-z0-9])(?:"
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63})"
     r"|(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-    r"|(?P<secret>[0-9a-fA-F]{32,64})"
+    r"|(?P<secret>[0-9a-fA-F]{32,64}|A[KS]IA[0-9A-Z]{16}|(?:" + PREFIX.pattern + r")[0-9A-Za-z_-]{20,200})"
     r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))"
     r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
@@ -240,7 +267,7 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
 def pseudonymise(documents: DataFrame, key: bytes = DEMONSTRATION_KEY, keep: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:
     """The columns of ``keep``, the new text, how many values were found by kind, and their spans in the new text.
 
-    Null text stays null with nothing found; repeated rows are handled one by one.
+    Null text stays null with nothing found; repeated rows are handled one by one, very long texts in whole.
     """
     fields = [documents.schema[k] for k in keep]
     counts = [f"n_{k}" for k in KINDS]
@@ -268,13 +295,17 @@ def pseudonymise(documents: DataFrame, key: bytes = DEMONSTRATION_KEY, keep: tup
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with pseudonyms in its text, counts by kind and the places; null texts stay null."""
     return pseudonymise(table(spark, sf_dir, "documents")).withColumnRenamed("_text", "text")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts with pseudonyms; the length column follows where there is one."""
-    found = pseudonymise(docs, keep=tuple(docs.columns))
+    """Pipeline stage: texts with pseudonyms; the length column follows where there is one. Null texts stay null, and
+    extra columns of any name stay as they are."""
+    own = sealed(docs, "text")
+    found = pseudonymise(own, keep=tuple(own.columns))
     fresh = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        fresh["n_chars"] = F.when(F.size("spans") > 0, F.length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.withColumns(fresh).select(*docs.columns)
+        place = f"_own_{docs.columns.index('n_chars')}"
+        fresh[place] = F.when(F.size("spans") > 0, F.length("_text")).otherwise(F.col(place)).cast(docs.schema["n_chars"].dataType)
+    return unsealed(found.withColumns(fresh), docs, "text")
