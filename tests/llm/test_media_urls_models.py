@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -136,50 +137,34 @@ def test_rules_are_mined_and_matched(spark):
 # --- the language model ---------------------------------------------------------------------------------------------
 
 
-def brute_symbols(text):
-    out = []
-    previous_upper = False
-    for ch in text or "":
-        upper = "A" <= ch <= "Z"
-        if ch in " \t\n\v\f\r":
-            s = L.SPACE
-        elif upper and previous_upper:
-            s = L.CAPITALS
-        elif ch.isascii() and ch.isalpha():
-            s = ord(ch.lower()) - 96
-        elif ch.isascii() and ch.isdigit():
-            s = L.DIGIT
-        elif ch in ".,;:!?'\"()-":
-            s = L.STOP
-        elif ord(ch) >= 0x80:
-            s = L.FOREIGN
-        else:
-            s = L.SIGN
-        if not (s == L.SPACE and out and out[-1] == L.SPACE):
-            out.append(s)
-        previous_upper = upper
-    return out
+def brute_grams(text):
+    """Each symbol with the three before it; white space runs are one space."""
+    s = " " * (L.ORDER - 1) + re.sub("[ \\t-\\r]+", " ", text or "")
+    return [s[i : i + L.ORDER] for i in range(len(s) - L.ORDER + 1)]
+
+
+def key(gram):
+    return sum(ord(c) * int(f) for c, f in zip(gram, L.FACTORS)) % 2**64
 
 
-@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB C1.é漢\n#", max_size=15)), max_size=6))
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB C1.é漢😀\n\x0b#", max_size=15)), max_size=6))
 @settings(max_examples=100, deadline=None)
 def test_symbols_and_grams(texts):
-    gram, lengths = L.grams_of(pa.array(texts, pa.string()))
-    want = []
-    for t in texts:
-        s = [0] * 4 + brute_symbols(t)
-        want.append([sum(s[i + k] << 5 * (4 - k) for k in range(5)) for i in range(len(s) - 4)])
-    assert lengths.tolist() == [len(w) for w in want] and gram.tolist() == [g for w in want for g in w]
+    column = pa.array(texts, pa.string())
+    want = [brute_grams(t) for t in texts]
+    gram, lengths = L.grams_of(column)
+    assert lengths.tolist() == [len(w) for w in want] and gram.tolist() == [key(g) for w in want for g in w]
+    got = {}
+    for symbols, times in L._counted([column, column]):
+        got |= dict(zip(L._strings(symbols).to_pylist(), times.tolist()))
+    assert got == {g: 2 * n for g, n in Counter(g for w in want for g in w).items()}
 
 
-def brute_model(counts):
+def brute_model(texts):
     """Interpolated modified Kneser-Ney by its textbook recursion, for one gram at a time."""
-    orders = {5: dict(counts)}
-    for k in (4, 3, 2, 1):
-        below = Counter()
-        for g in orders[k + 1]:
-            below[g & (1 << 5 * k) - 1] += 1
-        orders[k] = dict(below)
+    orders = {L.ORDER: Counter(g for t in texts for g in brute_grams(t))}
+    for k in range(L.ORDER - 1, 0, -1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
     stats = {}
     for k, c in orders.items():
         n = [sum(v == i for v in c.values()) for i in range(5)]
@@ -190,37 +175,78 @@ def brute_model(counts):
             d = [0.5, 0.75, 0.9]
         contexts = defaultdict(lambda: [0, 0.0])
         for g, v in c.items():
-            contexts[g >> 5][0] += v
-            contexts[g >> 5][1] += d[min(v, 3) - 1]
+            contexts[g[:-1]][0] += v
+            contexts[g[:-1]][1] += d[min(v, 3) - 1]
         stats[k] = (c, d, contexts)
 
-    def p(g, k):
-        if k == 0:
-            return 1 / 32
-        c, d, contexts = stats[k]
-        lower = p(g & (1 << 5 * (k - 1)) - 1, k - 1)
-        if g >> 5 not in contexts:
-            return lower
-        total, taken = contexts[g >> 5]
+    def p(g):
+        if not g:
+            return 1 / (len(orders[1]) + 1)
+        c, d, contexts = stats[len(g)]
+        if g[:-1] not in contexts:
+            return p(g[1:])
+        total, taken = contexts[g[:-1]]
         v = c.get(g, 0)
-        return (v - d[min(v, 3) - 1] if v else 0) / total + taken / total * lower
+        return (v - d[min(v, 3) - 1] if v else 0) / total + taken / total * p(g[1:])
 
-    return lambda g: p(g, 5)
+    return p, sorted(orders[1])
 
 
 def test_probabilities_and_their_sums(spark, sample):
-    model = L.learn(sample.limit(40))
-    logs = L.Model.log_probabilities(model)
-    counts = {r.gram: r.n for r in L.gram_counts(sample.limit(40)).collect()}
-    p = brute_model(counts)
+    docs = sample.orderBy("doc_id").limit(40)
+    p, alphabet = brute_model([r.text for r in docs.collect()])
+    model = L.learn(docs)
     rng = np.random.default_rng(0)
-    for g in [*list(counts)[:150], *rng.integers(0, 2**25, 150).tolist()]:
-        assert logs[g] == pytest.approx(math.log(p(g)), abs=1e-3)
-    for context in rng.integers(0, 2**20, 30):
-        assert np.exp(logs[context * 32 : context * 32 + 32].astype(float)).sum() == pytest.approx(1, abs=1e-3)
-
-
-def test_verdicts(spark, odd, no_documents, some_labels):
+    seen = [g for r in docs.limit(3).collect() for g in brute_grams(r.text)[:60]]
+    asked = {*seen, *("".join(rng.choice([*alphabet, "漢", "~"], L.ORDER)) for _ in range(200))}
+    asked |= {c + x for c in [g[:-1] for g in seen[::25]] for x in [*alphabet, "漢"]}
+    got = {r.gram: r.p for r in model.probability(spark.createDataFrame([(g,) for g in asked], "gram string")).collect()}
+    assert got.keys() == asked
+    for g in asked:
+        assert got[g] == pytest.approx(p(g), rel=1e-9)
+    for c in [g[:-1] for g in seen[::25]]:  # all symbols and one never seen
+        assert sum(got[c + x] for x in [*alphabet, "漢"]) == pytest.approx(1, abs=1e-9)
+
+
+def test_perplexity_of_whole_documents(spark, sample, odd, tmp_path):
+    trained = sample.orderBy("doc_id").limit(20)
+    p, _ = brute_model([r.text for r in trained.collect()])
+    model = L.learn(trained)
+    for size in (L.CHUNK_BYTES, 300):  # one chunk a partition, and many
+        docs = sample.select("doc_id", "text").orderBy("doc_id").limit(30).union(odd.select("doc_id", "text").where("length(text) < 1000 or text is null"))
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/{size}")
+        docs = spark.read.parquet(f"{tmp_path}/{size}")
+        rows = L.perplexity(docs, model, ("doc_id", "text"), size).collect()
+        assert len(rows) == docs.count()
+        for r in rows:
+            grams = brute_grams(r.text)
+            assert r.n_symbols == len(grams)
+            want = math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)) if grams else None
+            assert r.perplexity == (None if want is None else pytest.approx(want, rel=1e-4))
+
+
+def test_filter_keeps_what_is_labelled(spark, sample):
+    ids = sample.where("doc_id % 7 = 1").selectExpr("cast(doc_id as string) doc_id")
+    got = L.labelled(sample.withColumn("doc_id", sample.doc_id.cast("string")), ids)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in ids.collect())
+
+
+def test_other_scripts_are_told_apart(spark, tmp_path):
+    """Word salad in a script of its own is as surprising as in ASCII: no code points are folded."""
+    rng = np.random.default_rng(3)
+    words = ["привет", "мир", "книга", "дорога", "вода", "город"]
+    prose = [" ".join(rng.choice(words, 60)) for _ in range(40)]
+    junk = ["".join(rng.permutation(list(prose[0])))]
+    model = L.learn(spark.createDataFrame([(t,) for t in prose], "text string"))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([prose[0], *junk])], "doc_id int, text string")
+    rows.write.mode("overwrite").parquet(f"{tmp_path}/docs")
+    a, b = sorted(L.perplexity(spark.read.parquet(f"{tmp_path}/docs"), model).collect(), key=lambda r: r.doc_id)
+    assert b.perplexity > 3 * a.perplexity
+
+
+def test_verdicts(spark, odd, no_documents, some_labels, tmp_path):
+    odd.write.parquet(f"{tmp_path}/odd")
+    odd = spark.read.parquet(f"{tmp_path}/odd")
     rows = {r.doc_id: r for r in L.classify(odd, some_labels).collect()}
     assert not rows[2].kept and not rows[3].kept and rows[9].kept  # nothing to read; too short for a verdict
     assert L.classify(odd, some_labels).count() == odd.count()
@@ -231,6 +257,7 @@ def test_verdicts(spark, odd, no_documents, some_labels):
 def test_junk_goes_and_prose_stays(sample, sample_labels):
     found = L.classify(sample, sample_labels).join(sample_labels, "doc_id").toPandas()
     assert found.loc[found.quality == 1, "kept"].mean() > 0.97
+    assert found.loc[found.quality == 0, "perplexity"].median() > found.loc[found.quality == 1, "perplexity"].median()
 
 
 # --- the pipeline ---------------------------------------------------------------------------------------------------
