@@ -33,7 +33,7 @@ LEAST_TRUSTED = 100
 #: Shorter texts say too little for a verdict on their perplexity alone.
 LEAST_SYMBOLS = 40
 #: Text of one chunk; a longer single text is a chunk of its own.
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 12_000_000
 #: Distinct grams that a task holds before it hands them on; each comes with its count, so that they add up.
 HELD_GRAMS = 1_000_000
 #: Bits of the filter that keeps unlabelled texts from moving. Beyond it more texts move; the join that follows decides.
@@ -166,7 +166,7 @@ class Model:
         self.grams, self.contexts, self.unseen = grams, contexts, unseen
 
     def probability(self, asked: DataFrame) -> DataFrame:
-        """gram and p for every distinct gram asked: the longest seen end of it, times what the contexts before left."""
+        """The rows asked, one a gram, and its p: that of its longest seen end, times what the contexts before left."""
         found = asked
         for k in range(ORDER, 0, -1):
             end = F.substring("gram", ORDER - k + 1, k)
@@ -177,7 +177,7 @@ class Model:
         p: Column = F.coalesce(F.col("p1"), F.lit(self.unseen))
         for k in range(2, ORDER + 1):
             p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"rest{k}"), F.lit(1.0)) * p)
-        return found.select("gram", p.alias("p"))
+        return found.select(*asked.columns, p.alias("p"))
 
 
 def learn(documents: DataFrame) -> Model:
