@@ -2,9 +2,10 @@
 
 A document's ids are cut into whole windows and a rest. The rests of some hundred windows at a time form a round:
 each rest starts as a partition of one filled and k - 1 empty windows; the two partitions with the largest imbalance
-merge, fullest window to emptiest, until one is left, whose windows are nearly equal. What a window holds over its
-capacity is cut off and goes to windows with room; should none have any, the window count rises. A round is packed
-where its texts are tokenized: nothing is shuffled, and a task holds the ids of one round.
+merge, fullest window to emptiest, until one is left, whose windows are nearly equal. Whenever a window exceeds its
+capacity, the window count rises and differencing starts anew, up to MOST_RISE of the windows; what some windows then
+still hold over their capacity is cut off and goes to windows with room. A round is packed where its texts are
+tokenized: nothing is shuffled, and a task holds the ids of one round.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from gridloom.llm.text_arrays import steps
 WINDOW = 2048
 ROUND_WINDOWS = 256
 END_ID = 1
+#: Share of a round's windows by which their count may rise (one at least) before pieces are cut: it bounds the padding.
+MOST_RISE = 0.004
 
 
 def differencing(sizes: list[int], k: int) -> np.ndarray:
@@ -70,9 +73,13 @@ def fill_windows(lengths: list[int], capacity: int) -> list[list[tuple[int, int,
     total = sum(lengths)
     if not total:
         return []
-    k = -(-total // capacity)
+    least = -(-total // capacity)
+    for k in range(least, least + max(1, round(least * MOST_RISE)) + 1):
+        places = differencing(lengths, k)
+        if np.bincount(places, weights=lengths, minlength=k).max() <= capacity:
+            break
     windows: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
-    for item, window in enumerate(differencing(lengths, k)):
+    for item, window in enumerate(places):
         windows[window].append((item, 0, lengths[item]))
     over: list[tuple[int, int, int]] = []
     loads = [sum(to - at for _, at, to in w) for w in windows]
@@ -90,11 +97,7 @@ def fill_windows(lengths: list[int], capacity: int) -> list[list[tuple[int, int,
     room = [i for i in sorted(range(k), key=lambda x: loads[x]) if loads[i] < capacity]
     for item, at, to in over:
         while at < to:
-            if not room:  # the window count rises
-                windows.append([])
-                loads.append(0)
-                room.append(len(windows) - 1)
-            i = room[0]
+            i = room[0]  # the windows have room for all tokens together
             part = min(capacity - loads[i], to - at)
             windows[i].append((item, at, at + part))
             loads[i] += part
@@ -116,7 +119,7 @@ class _Round:
 
 
 def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, round_windows: int = ROUND_WINDOWS) -> DataFrame:
-    """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of every row.
+    """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of every row, whole texts however long.
 
     ids are little-endian unsigned 32-bit. Null and empty texts have the end id alone. Repeated rows are packed one
     by one; their pieces look alike but for their place. sequence_id is unique, with the task's number in its upper bits.
@@ -199,6 +202,7 @@ def default_tokenizer() -> str:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every row of ``documents``; null and empty texts are a piece of one end id."""
     return _digest(pack(table(spark, sf_dir, "documents"), default_tokenizer()))
 
 
