@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -331,9 +332,11 @@ def compose(gif: Gif, pixels: list[np.ndarray] | None = None) -> list[tuple[int,
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
     """Opaque pixels by colour: four levels each of red, green and blue, 64 bins."""
-    opaque = canvas[canvas[..., 3] > 0]
-    bins = (opaque[:, 0] >> 6).astype(np.int64) << 4 | (opaque[:, 1] >> 6).astype(np.int64) << 2 | opaque[:, 2] >> 6
-    return np.bincount(bins, minlength=64)
+    return np.bincount(_bins(canvas[canvas[..., 3] > 0]), minlength=64)
+
+
+def _bins(colours: np.ndarray) -> np.ndarray:
+    return (colours[:, 0] >> 6).astype(np.int64) << 4 | (colours[:, 1] >> 6).astype(np.int64) << 2 | colours[:, 2] >> 6
 
 
 GREYS = bytes(v for i in range(256) for v in (i, i, i))
@@ -391,16 +394,37 @@ def to_media(documents: DataFrame) -> DataFrame:
     return own_columns(documents, "doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def _plain_grey(gif: Gif, f: Frame) -> bool:
-    """Whether composing this frame gives its pixels in grey, whatever was there before."""
-    return f.palette == GREYS and f.transparent < 0 and (f.left, f.top, f.width, f.height) == (0, 0, gif.width, gif.height)
+def _covers(gif: Gif, f: Frame) -> bool:
+    """Whether a frame replaces the whole canvas, so that composing it is its palette's colours alone."""
+    return f.transparent < 0 and (f.left, f.top, f.width, f.height) == (0, 0, gif.width, gif.height)
+
+
+@lru_cache(maxsize=64)
+def _palette(colours: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Red of each palette entry, and its bin of the colour histogram; entries beyond the palette are black."""
+    rgb = np.zeros((256, 3), np.uint8)
+    found = np.frombuffer(colours, np.uint8).reshape(-1, 3)
+    rgb[: len(found)] = found
+    return rgb[:, 0].copy(), _bins(rgb)
+
+
+def _composed(gif: Gif, pixels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The red plane of all composed frames, and how often each colour bin occurs in them."""
+    if not gif.frames:
+        return np.empty(0, np.uint8), np.zeros(64, np.int64)
+    if all(_covers(gif, f) for f in gif.frames):
+        reds, bins = zip(*((red[p], bin_[p]) for (red, bin_), p in zip((_palette(f.palette) for f in gif.frames), pixels)))
+        return np.concatenate(reds), np.bincount(np.concatenate(bins), minlength=64)
+    canvases = [c for _, _, c in compose(gif, pixels)]
+    return np.concatenate([c[..., 0].ravel() for c in canvases]), sum(histogram(c) for c in canvases)
 
 
 def read_media(stored: DataFrame) -> DataFrame:
     """The columns besides media, then n_frames, duration (hundredths of a second), samples (the red plane of every
-    composed frame) and grey_histogram (16 bins over all frames), decoded from the stored bytes alone."""
+    composed frame), grey_histogram (16 bins of them) and colour_histogram (64 bins, opaque pixels of all frames),
+    decoded from the stored bytes alone."""
     own = [f for f in stored.schema.fields if f.name != "media"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own] + ["n_frames int, duration int, samples binary, grey_histogram array<long>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own] + ["n_frames int, duration int, samples binary, grey_histogram array<long>, colour_histogram array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,19 +433,19 @@ def read_media(stored: DataFrame) -> DataFrame:
                 part = batch.slice(at, to - at)
                 gifs = [parse(m) for m in media.slice(at, to - at).to_pylist()]
                 found = pixels_of([f for g in gifs for f in g.frames])
-                counts, durations, samples, histograms, k = [], [], [], [], 0
+                counts, durations, samples, histograms, colours, k = [], [], [], [], [], 0
                 for g in gifs:
                     mine = found[k : k + len(g.frames)]
                     k += len(g.frames)
-                    planes = mine if all(_plain_grey(g, f) for f in g.frames) else [c[..., 0].ravel() for _, _, c in compose(g, mine)]
-                    plane = np.concatenate(planes) if planes else np.empty(0, np.uint8)
+                    plane, colour = _composed(g, mine)
                     counts.append(len(g.frames))
                     durations.append(sum(f.delay for f in g.frames))
                     samples.append(plane.tobytes())
                     histograms.append(np.bincount(plane >> 4, minlength=BINS))
+                    colours.append(colour)
                 cols = [part.column(part.schema.get_field_index(f.name)) for f in own]
-                cols += [pa.array(counts, pa.int32()), pa.array(durations, pa.int32()), pa.array(samples, pa.binary()), pa.array(histograms, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in own), "n_frames", "duration", "samples", "grey_histogram"])
+                cols += [pa.array(counts, pa.int32()), pa.array(durations, pa.int32()), pa.array(samples, pa.binary()), pa.array(histograms, pa.list_(pa.int64())), pa.array(colours, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in own), "n_frames", "duration", "samples", "grey_histogram", "colour_histogram"])
 
     return stored.mapInArrow(run, schema)
 
@@ -445,6 +469,8 @@ def timed_frames(stored: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` as a GIF that is written, read back and composed; null texts count as empty, very
+    long ones are GIFs of as many frames as they need. The feature is the grey and the colour histogram."""
     files = stored(to_media(table(spark, sf_dir, "documents")), "media")
     kept = files.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     found = read_media(kept)
@@ -457,5 +483,5 @@ def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"),
         "media_bytes",
         "media_sha256",
-        F.array_join("grey_histogram", ",").alias("feature"),
+        F.concat_ws(";", F.array_join("grey_histogram", ","), F.array_join("colour_histogram", ",")).alias("feature"),
     )

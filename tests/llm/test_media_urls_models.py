@@ -123,17 +123,32 @@ def test_hosts_paths_and_fixed_rules(spark):
 
 
 def test_rules_are_mined_and_matched(spark):
-    pages = spark.createDataFrame([(i, f"http://bad.example.org/x/{i}" if i % 3 == 0 else f"http://ok.example.org/y/{i}?a=1") for i in range(90)] + [(900, None)], "page_id long, url string")
-    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(60)] + [(None, 1, 0), (2, 1, None)], "doc_id long, quality int, toxic int")
+    """Planted: bad.example.org is bad nine times of ten, all else one time of ten, most pages are good."""
+    rng = np.random.default_rng(5)
+    urls = [f"https://{h}.example.org/{p}/{i}.html" for i, (h, p) in enumerate(zip(rng.choice(["bad", "good", "fine", "well"], 2000), rng.choice(["x", "y"], 2000)))]
+    bad = [bool(rng.random() < (0.9 if "//bad." in u else 0.1)) for u in urls]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
     mined = U.mine(pages, labels)
-    assert mined.rules and all(c >= 0.6 for _, _, c in mined.rules)
-    verdicts = {r.page_id: r.verdict for r in U.judge(pages, mined).collect()}
-    assert all(verdicts[i] == ("block" if i % 3 == 0 else "allow") for i in range(90)) and verdicts[900] == "allow"
-    brute = {i: any(t <= set(U.tokens_of(f"http://bad.example.org/x/{i}")) and v == "block" for t, v, _ in mined.rules) for i in (60, 63)}
-    assert all(brute.values())
+    base = {"block": np.mean(bad), "allow": 1 - np.mean(bad)}
+    sets = [set(U.tokens_of(u)) for u in urls]
+    assert "block" in {v for _, v, _ in mined.rules}  # the rarer verdict has its rules
+    for tokens, verdict, lift in mined.rules:  # counted anew, row by row
+        hit = [b for s, b in zip(sets, bad) if tokens <= s]
+        share = np.mean(hit) if verdict == "block" else 1 - np.mean(hit)
+        assert lift == pytest.approx(share / base[verdict]) and lift >= 1.3 and sum(hit) >= 8
+    verdicts = {r.page_id: r.verdict for r in U.judge(pages, mined, ()).collect()}
+    assert all((verdicts[i] == "block") == ("//bad." in u) for i, u in enumerate(urls))
     assert U.mine(pages, labels.limit(0)).rules == [] and U.judge(pages.limit(0), mined).count() == 0
 
 
+def test_labels_that_say_nothing_make_no_rules(spark):
+    rng = np.random.default_rng(6)
+    pages = spark.createDataFrame([(i, f"http://{'abcdefgh'[i % 8]}.example.org/{i % 5}/p.html") for i in range(3000)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.75), 0) for i in range(3000)], "doc_id long, quality int, toxic int")
+    assert U.mine(pages, labels).rules == []
+
+
 # --- the language model ---------------------------------------------------------------------------------------------
 
 
@@ -284,6 +299,22 @@ def test_pipeline(spark, sample):
     assert C.run(spark, "/root/testdata/sf0.001").count() == out.count()
 
 
+def test_whole_frames_are_composed_by_their_palette():
+    """The quick way for frames that cover the canvas gives what composing one by one does."""
+    rng = np.random.default_rng(2)
+    palette = rng.integers(0, 256, 768, np.uint8).tobytes()
+    _, media = M.media_of(pa.array(["some text", "x" * 2000]))
+    for m in media.to_pylist():
+        gif = M.parse(m)
+        for f in gif.frames:
+            f.palette = palette
+        pixels = M.pixels_of(gif.frames)
+        plane, colours = M._composed(gif, pixels)
+        canvases = [c for _, _, c in M.compose(gif, pixels)]
+        assert plane.tolist() == np.concatenate([c[..., 0].ravel() for c in canvases]).tolist()
+        assert colours.tolist() == sum(M.histogram(c) for c in canvases).tolist()
+
+
 def test_media_are_decoded_from_what_was_written(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(M, "read_media", lambda kept, read=M.read_media: seen.append(kept) or read(kept))
