@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.catalog import numeric, objects, shapes, stencil, streams  # noqa: F401  (they register themselves)
+from gridloom.catalog import numeric, objects, shapes, shown, stencil, streams  # noqa: F401  (they register themselves)
 from gridloom.catalog.registry import ORACLES, QUERIES
 
 

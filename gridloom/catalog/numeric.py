@@ -346,7 +346,13 @@ def nearest_centre(spark, d):
     return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), C.nearest_centre(F.col("p_size").cast("double"), [5.0, 15.0, 25.0, 35.0]).alias("k"))
 
 
-@query("three_thresholds")
+_THREE = _TWO[: _TWO.index("s AS (")] + """s AS NOT MATERIALIZED (SELECT x.image_id, x.t AS t1, y.t AS t2, z.t AS t3, x.m * x.m / x.w + (y.m - x.m) * (y.m - x.m) / (y.w - x.w) + (z.m - y.m) * (z.m - y.m) / (z.w - y.w) + (z.mass - z.m) * (z.mass - z.m) / (z.total - z.w) AS score FROM run x JOIN run y ON x.image_id = y.image_id AND x.t < y.t JOIN run z ON z.image_id = y.image_id AND y.t < z.t WHERE x.w > 0 AND y.w > x.w AND z.w > y.w AND z.w < z.total),
+best AS (SELECT image_id, max(score) AS best FROM s GROUP BY 1),
+th AS (SELECT s.image_id, avg(t1) AS t1, avg(t2) AS t2, avg(t3) AS t3 FROM s JOIN best USING (image_id) WHERE score >= best * (1 - CAST('1e-13' AS DOUBLE)) GROUP BY 1)
+SELECT th.image_id, """ + ", ".join(f"CAST(floor(low + t{k} / 255.0::DOUBLE * (high - low) + 0.5) AS BIGINT) AS t{k}" for k in (1, 2, 3)) + " FROM th JOIN e USING (image_id)"
+
+
+@query("three_thresholds", _THREE)
 def three_thresholds(spark, d):
     return T.three_thresholds(V.gray_images(spark, d))
 

@@ -140,28 +140,49 @@ def _blobs(spark):
     return G.label_images(V.blob_images(spark), 8)
 
 
-@query("contours")
+#: The generated masks in SQL, their components by least first pixel, and each contour's walk: from a point, the first
+#: object pixel clockwise after where it came from; d is the step taken, 0 east and clockwise.
+_WALK = f"""WITH RECURSIVE disk(i, y, x, q) AS (VALUES {", ".join(map(str, V.blob_disks()))}), mask AS (SELECT i.range AS image_id, r.range AS r, c.range AS c FROM range(0, 4) i, range(0, 60) r, range(0, 90) c),
+obj AS (SELECT DISTINCT m.image_id, m.r, m.c FROM mask m JOIN disk d ON d.i = m.image_id AND (m.r - d.y) * (m.r - d.y) + (m.c - d.x) * (m.c - d.x) <= d.q * d.q),
+lab(image_id, r, c, k) USING KEY (image_id, r, c) AS (SELECT image_id, r, c, c * 60 + r FROM obj UNION (SELECT o.image_id, o.r, o.c, min(l.k) FROM lab l JOIN obj o ON o.image_id = l.image_id AND abs(o.r - l.r) <= 1 AND abs(o.c - l.c) <= 1 JOIN recurring.lab cur ON cur.image_id = o.image_id AND cur.r = o.r AND cur.c = o.c WHERE l.k < cur.k GROUP BY 1, 2, 3)),
+o AS (SELECT image_id, r, c, k, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY k) AS BIGINT) AS label FROM lab),
+s AS (SELECT image_id, label, min(k) % 60 AS r0, min(k) // 60 AS c0 FROM o GROUP BY 1, 2),
+way(w, dr, dc) AS (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)),
+turn AS (SELECT o.image_id, o.label, o.r, o.c, (w - i.range + 8) % 8 AS came, i.range AS nth, w FROM o JOIN way ON TRUE JOIN range(1, 9) i ON TRUE JOIN o p ON p.image_id = o.image_id AND p.label = o.label AND p.r = o.r + dr AND p.c = o.c + dc),
+nxt AS (SELECT image_id, label, r, c, came, arg_min(w, nth) AS d FROM turn GROUP BY 1, 2, 3, 4, 5),
+walk(image_id, label, seq, r, c, d, r0, c0, d0) AS (SELECT n.image_id, n.label, CAST(0 AS BIGINT), n.r, n.c, n.d, s.r0, s.c0, n.d FROM s JOIN nxt n ON n.image_id = s.image_id AND n.label = s.label AND n.r = s.r0 AND n.c = s.c0 AND n.came = 4
+UNION ALL SELECT n.image_id, n.label, t.seq + 1, n.r, n.c, n.d, t.r0, t.c0, t.d0 FROM walk t JOIN way ON way.w = t.d JOIN nxt n ON n.image_id = t.image_id AND n.label = t.label AND n.r = t.r + way.dr AND n.c = t.c + way.dc AND n.came = (t.d + 4 + t.d % 2) % 8 WHERE NOT (t.seq > 0 AND t.r = t.r0 AND t.c = t.c0 AND t.d = t.d0))"""
+_CHAIN = f"""{_WALK}, code AS (SELECT image_id, label, seq, r, c, CAST((8 - d) % 8 AS BIGINT) AS code FROM walk WHERE NOT (seq > 0 AND r = r0 AND c = c0 AND d = d0)),
+chain AS (SELECT *, (coalesce(lead(code) OVER w, first_value(code) OVER w) - code + 8) % 8 AS diff, (code - coalesce(lag(code) OVER w, last_value(code) OVER (PARTITION BY image_id, label ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) + 8) % 8 AS raw FROM code WINDOW w AS (PARTITION BY image_id, label ORDER BY seq))"""
+
+
+@query("contours", f"{_WALK} SELECT image_id, label, seq, r, c FROM walk")
 def contours(spark, d):
     return G.contours(_blobs(spark))
 
 
-@query("chain_codes")
+@query("chain_codes", f"{_CHAIN} SELECT image_id, label, seq, r, c, code, diff FROM chain")
 def chain_codes(spark, d):
-    return G.chain_codes(G.contours(_blobs(spark)))
+    return G.chain_codes(G.contours(_blobs(spark))).select("image_id", "label", "seq", "r", "c", "code", "diff")
 
 
-@query("chain_strings")
+_LEAST = "list_min(list_transform(range(0, len({0})), lambda k: {0}[k + 1:] || {0}[:k]))"
+
+
+@query("chain_strings", f"{_CHAIN}, f AS (SELECT image_id, label, string_agg(CAST(code AS VARCHAR), '' ORDER BY seq) AS code, string_agg(CAST(diff AS VARCHAR), '' ORDER BY seq) AS diff, string_agg(CAST((code + 4) % 8 AS VARCHAR), '' ORDER BY seq DESC) AS reversed FROM chain GROUP BY 1, 2) SELECT image_id, label, code, {_LEAST.format('code')} AS min_code, {_LEAST.format('diff')} AS min_diff, reversed FROM f")
 def chain_strings(spark, d):
     s = G.code_strings(G.chain_codes(G.contours(_blobs(spark))))
     return s.select("image_id", "label", *[F.array_join(k, "").alias(k) for k in ("code", "min_code", "min_diff", "reversed")])
 
 
-@query("chain_decoded")
+@query("chain_decoded", f"{_CHAIN} SELECT image_id, label, seq, r, c FROM chain")
 def chain_decoded(spark, d):
     return G.decoded(G.chain_codes(G.contours(_blobs(spark))))
 
 
-@query("concave_points")
+@query("concave_points", f"""{_CHAIN}, u AS (SELECT *, sum(CASE WHEN raw > 4 THEN raw - 8 ELSE raw END) OVER (PARTITION BY image_id, label ORDER BY seq) AS a FROM chain), l AS (SELECT image_id, label, list(a ORDER BY seq) AS a, count(*) AS n, arg_max(a, seq) AS whole FROM u GROUP BY 1, 2 HAVING count(*) >= 6),
+v AS (SELECT u.image_id, u.label, u.seq, u.r, u.c, l.n, l.whole, u.a + CASE WHEN u.seq >= 1 THEN l.a[u.seq] ELSE l.a[n] - whole END + CASE WHEN u.seq >= 2 THEN l.a[u.seq - 1] ELSE l.a[n + u.seq - 1] - whole END AS s FROM u JOIN l ON l.image_id = u.image_id AND l.label = u.label)
+SELECT p.image_id, p.label, p.seq, p.r, p.c, CAST(q.s + CASE WHEN p.seq + 3 >= p.n THEN 3 * p.whole ELSE 0 END - p.s AS BIGINT) AS change FROM v p JOIN v q ON q.image_id = p.image_id AND q.label = p.label AND q.seq = (p.seq + 3) % p.n WHERE q.s + CASE WHEN p.seq + 3 >= p.n THEN 3 * p.whole ELSE 0 END - p.s BETWEEN 3 AND 10""")
 def concave_points(spark, d):
     return G.concave_points(G.chain_codes(G.contours(_blobs(spark))))
 
@@ -289,7 +310,7 @@ def tiled_segmentation(spark, d):
     return TI.stitch(tiled)
 
 
-@query("painted_contours")
+@query("painted_contours", f"{_WALK} SELECT DISTINCT image_id, label, r - min(r) OVER (PARTITION BY image_id, label) AS r, c - min(c) OVER (PARTITION BY image_id, label) AS c FROM walk")
 def painted_contours(spark, d):
     return G.painted(G.contours(_blobs(spark)))
 

@@ -71,9 +71,9 @@ def disk_overlap_pairs(spark, d):
     return G.disk_overlaps(disks, 4.0)
 
 
-@query("segment_crossings", "WITH a AS (SELECT p_partkey AS id, CAST(p_partkey % 50 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y FROM part WHERE p_partkey <= 300), b AS (SELECT p_partkey AS id, p_partkey % 50 + 0.5::DOUBLE AS x, CAST(p_size AS DOUBLE) AS y FROM part WHERE p_partkey <= 300) SELECT a.id AS a_id, b.id AS b_id, b.x AS x, a.y AS y FROM a JOIN b ON b.x >= a.x AND b.x <= a.x + 3 AND a.y >= b.y - 1.25::DOUBLE AND a.y <= b.y + 1.25::DOUBLE")
+@query("segment_crossings", "WITH a AS (SELECT p_partkey AS id, CAST(p_partkey % 50 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y FROM part), b AS (SELECT p_partkey AS id, p_partkey % 50 + 0.5::DOUBLE AS x, CAST(p_size AS DOUBLE) AS y FROM part) SELECT a.id AS a_id, b.id AS b_id, b.x AS x, a.y AS y FROM a JOIN b ON b.x >= a.x AND b.x <= a.x + 3 AND a.y >= b.y - 1.25::DOUBLE AND a.y <= b.y + 1.25::DOUBLE")
 def segment_crossings(spark, d):
-    p = V.table(spark, d, "part").where("p_partkey <= 300")
+    p = V.table(spark, d, "part")
     x, y = (F.col("p_partkey") % 50).cast("double"), F.col("p_size").cast("double")
     level = p.select(F.col("p_partkey").alias("id"), x.alias("x1"), y.alias("y1"), (x + 3).alias("x2"), y.alias("y2"))
     upright = p.select(F.col("p_partkey").alias("id"), (x + 0.5).alias("x1"), (y - 1.25).alias("y1"), (x + 0.5).alias("x2"), (y + 1.25).alias("y2"))
@@ -92,7 +92,13 @@ def _groups(spark, d):
     return V.table(spark, d, "part").select((F.col("p_partkey") % 20).alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
 
 
-@query("convex_hull")
+#: Hull edges are the ordered pairs of points that have no point to their right, and none beyond either end on their line.
+_HULL = """WITH p AS (SELECT DISTINCT p_partkey % 20 AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), f AS (SELECT id, min(x) AS x0, max(x) AS x1 FROM p GROUP BY 1),
+e AS (SELECT a.id, a.x, a.y, b.x AS u, b.y AS v FROM p a JOIN p b ON b.id = a.id AND (a.x <> b.x OR a.y <> b.y) WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.id = a.id AND ((b.x - a.x) * (q.y - a.y) - (b.y - a.y) * (q.x - a.x) < 0 OR ((b.x - a.x) * (q.y - a.y) - (b.y - a.y) * (q.x - a.x) = 0 AND (q.x - a.x) * (q.x - b.x) + (q.y - a.y) * (q.y - b.y) > 0)))),
+s AS (SELECT e.id, x, y, CASE WHEN u > x THEN 0 ELSE 1 END AS upper FROM e)"""
+
+
+@query("convex_hull", f"{_HULL} SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY upper, CASE WHEN upper = 0 THEN x ELSE -x END, CASE WHEN upper = 0 THEN y WHEN x = (SELECT x1 FROM f WHERE f.id = s.id) THEN y ELSE -y END) - 1 AS BIGINT) AS seq, x, y FROM s")
 def convex_hull(spark, d):
     return G.hulls(_groups(spark, d))
 
@@ -107,13 +113,14 @@ def min_rectangle(spark, d):
     return rounded(G.least_rectangles(_groups(spark, d)), "x", "y", digits=4)
 
 
-@query("polygon_raster", f"WITH {BOX}, s AS (SELECT box_id, x0, y0, x1, y1 FROM box WHERE box_id <= 200) SELECT box_id AS id, y0 + a.range AS r, x0 + b.range AS c FROM s JOIN range(0, 10) a ON a.range < y1 - y0 JOIN range(0, 10) b ON b.range < x1 - x0 WHERE x0 + b.range < 110 AND y0 + a.range < 30")
+@query("polygon_raster", f"WITH {BOX} SELECT box_id AS id, y0 + 1 + a.range AS r, x0 + 1 + b.range AS c FROM box JOIN range(0, 10) a ON a.range < y1 - y0 JOIN range(0, 10) b ON b.range < x1 - x0")
 def polygon_raster(spark, d):
-    b = V.boxes(spark, d).where("box_id <= 200")
-    shift = F.lit(0.5)
-    ring = F.array(*[F.struct((x - shift).alias("x"), (y - shift).alias("y")) for x, y in ((F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y0")), (F.col("x1"), F.col("y1")), (F.col("x0"), F.col("y1")))])
+    """Boxes with whole corners: the rule leaves out their first row and column and takes in their last."""
+    b = V.boxes(spark, d)
+    size = b.agg(F.max("y1").alias("h"), F.max("x1").alias("w")).first()
+    ring = G.ring_of_box(*[F.col(k) for k in ("x0", "y0", "x1", "y1")])
     rows = b.select(F.col("box_id").alias("id"), F.posexplode(ring).alias("seq", "p")).select("id", "seq", "p.x", "p.y")
-    return G.ring_masks(rows, 30, 110)
+    return G.ring_masks(rows, (size["h"] or 0) + 2, (size["w"] or 0) + 2)
 
 
 @query("parity_fill", "WITH px AS (SELECT event_id // 1000 AS image_id, (event_id % 1000) // 40 AS r, event_id % 40 AS c, CAST(value > 200 AS BIGINT) AS n FROM events) SELECT image_id, r, c, sum(n) OVER (PARTITION BY image_id, c ORDER BY r) % 2 = 1 AS v FROM px")
@@ -123,9 +130,9 @@ def parity_fill(spark, d):
     return G.parity_fill(toggles).select("image_id", "r", "c", "v")
 
 
-@query("circle_rings", "SELECT p_partkey AS id, k.range AS seq, round(p_size + sqrt(p_size / 3.141592653589793::DOUBLE) * cos(k.range * 0.05::DOUBLE), 5) + 0.0 AS x FROM part CROSS JOIN range(0, 126) k WHERE p_partkey <= 50")
+@query("circle_rings", "SELECT p_partkey AS id, k.range AS seq, round(p_size + sqrt(p_size / 3.141592653589793::DOUBLE) * cos(k.range * 0.05::DOUBLE), 5) + 0.0 AS x FROM part CROSS JOIN range(0, 126) k")
 def circle_rings(spark, d):
-    p = V.table(spark, d, "part").where("p_partkey <= 50")
+    p = V.table(spark, d, "part")
     size = F.col("p_size").cast("double")
     rows = p.select(F.col("p_partkey").alias("id"), F.posexplode(G.circle_ring(size, size, size)).alias("seq", "p"))
     return rows.select("id", F.col("seq").cast("bigint").alias("seq"), r6(F.col("p.x"), 5).alias("x"))

@@ -115,7 +115,11 @@ def sobel_fixed_level(spark, d):
     return N.edges(V.gray_images(spark, d), "sobel", level=20.0, thin=False).select(*KEY, "is_edge")
 
 
-@query("log_edges")
+_LOG = "(VALUES " + ", ".join(f"({a - 3}, {b - 3}, CAST('{w!r}' AS DOUBLE))" for a, row in enumerate(N.log_kernel(7, 1.0).tolist()) for b, w in enumerate(row)) + ") k(dr, dc, w)"
+_RESPONSE = f"WITH {PX}, b AS (SELECT p.image_id, p.r, p.c, sum(q.v * w) AS b FROM px p CROSS JOIN {_LOG} JOIN px q ON q.image_id = p.image_id AND q.r = least(24, greatest(0, p.r + dr)) AND q.c = least(39, greatest(0, p.c + dc)) GROUP BY 1, 2, 3), l AS (SELECT *, 0.75::DOUBLE * avg(abs(b)) OVER (PARTITION BY image_id) AS cut, lag(b) OVER y AS up, lead(b) OVER y AS down, lag(b) OVER x AS lft, lead(b) OVER x AS rgt FROM b WINDOW x AS (PARTITION BY image_id, r ORDER BY c), y AS (PARTITION BY image_id, c ORDER BY r))"
+
+
+@query("log_edges", f"{_RESPONSE} SELECT image_id, r, c, coalesce(up IS NOT NULL AND down IS NOT NULL AND lft IS NOT NULL AND rgt IS NOT NULL AND ((b < 0 AND ((up > 0 AND up - b > cut) OR (down > 0 AND down - b > cut) OR (lft > 0 AND lft - b > cut) OR (rgt > 0 AND rgt - b > cut))) OR (b = 0 AND ((up * down < 0 AND abs(up - down) > 2 * cut) OR (lft * rgt < 0 AND abs(lft - rgt) > 2 * cut)))), false) AS is_edge FROM l")
 def log_edges(spark, d):
     return N.log_edges(V.gray_images(spark, d), 1.0).select(*KEY, "is_edge")
 
@@ -226,9 +230,9 @@ def geodesic_erosion(spark, d):
     return M.geodesic_erosion(marker, px, M.square(3), 1)
 
 
-@query("profile_open_close", f"WITH {PX}, p AS (SELECT image_id, c, v FROM px WHERE r = 0), e AS (SELECT image_id, c, min(v) OVER w AS lo, max(v) OVER w AS hi FROM p WINDOW w AS (PARTITION BY image_id ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT image_id, c, CAST(max(lo) OVER w AS BIGINT) AS opened, CAST(min(hi) OVER w AS BIGINT) AS closed FROM e WINDOW w AS (PARTITION BY image_id ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+@query("profile_open_close", f"WITH {PX}, e AS (SELECT image_id, r, c, min(v) OVER w AS lo, max(v) OVER w AS hi FROM px WINDOW w AS (PARTITION BY image_id, r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT image_id, r, c, CAST(max(lo) OVER w AS BIGINT) AS opened, CAST(min(hi) OVER w AS BIGINT) AS closed FROM e WINDOW w AS (PARTITION BY image_id, r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
 def profile_open_close(spark, d):
-    return M.profile_open_close(V.gray_images(spark, d).where("r = 0"), 5).select("image_id", "c", "opened", "closed")
+    return M.profile_open_close(V.gray_images(spark, d), 5, ("image_id", "r")).select(*KEY, "opened", "closed")
 
 
 def _spread(marker: str, best: str, other: str, images: str = "true") -> str:
@@ -251,7 +255,11 @@ def fill_gray_holes(spark, d):
     return per_image(V.gray_images(spark, d), lambda a: {"out": K.fill_gray(a).astype(np.int64)}, "out bigint")
 
 
-@query("impose_minima")
+_IMPOSED = f"""WITH RECURSIVE {PX}, m AS (SELECT image_id, r, c, CASE WHEN v = lo THEN -1 ELSE v + 1 END AS v, CASE WHEN v = lo THEN -1 ELSE 1000 END AS w FROM (SELECT *, min(v) OVER (PARTITION BY image_id) AS lo FROM px)),
+rec(image_id, r, c, v) USING KEY (image_id, r, c) AS (SELECT image_id, r, c, w FROM m UNION (SELECT m.image_id, m.r, m.c, min(greatest(m.v, rec.v)) FROM rec JOIN m ON m.image_id = rec.image_id AND abs(m.r - rec.r) <= 1 AND abs(m.c - rec.c) <= 1 JOIN recurring.rec AS cur ON cur.image_id = m.image_id AND cur.r = m.r AND cur.c = m.c WHERE greatest(m.v, rec.v) < cur.v GROUP BY 1, 2, 3))"""
+
+
+@query("impose_minima", f"{_IMPOSED} SELECT image_id, r, c, CAST(v AS BIGINT) AS out FROM rec")
 def impose_minima(spark, d):
     def run(a):
         imposed = K.impose_minima(a, a == a.min(), whole=True)
@@ -424,34 +432,37 @@ def internal_gradient_radii(spark, d):
     return each[0].unionByName(each[1])
 
 
-@query("octagon_opening")
+_OCTAGON = "(VALUES " + ", ".join(f"({a}, {b})" for a, b in M.disk_by_lines(3)) + ") se(dr, dc)"
+
+
+@query("octagon_opening", f"WITH {PX}, e AS (SELECT p.image_id, p.r, p.c, min(q.v) AS v FROM px p CROSS JOIN {_OCTAGON} JOIN px q ON q.image_id = p.image_id AND q.r = p.r + dr AND q.c = p.c + dc GROUP BY 1, 2, 3) SELECT p.image_id, p.r, p.c, CAST(max(q.v) AS BIGINT) AS out FROM e p CROSS JOIN {_OCTAGON} JOIN e q ON q.image_id = p.image_id AND q.r = p.r - dr AND q.c = p.c - dc GROUP BY 1, 2, 3")
 def octagon_opening(spark, d):
     return M.opening(V.gray_images(spark, d), M.disk_by_lines(3)).select(*KEY, "out")
 
 
-@query("reconstruct_iterative", _spread("greatest(v - 40, 0)", "max", "least", "image_id = 0").replace("NEAR", _N8) + " SELECT image_id, r, c, CAST(v AS BIGINT) AS v FROM rec")
+@query("reconstruct_iterative", _spread("greatest(v - 40, 0)", "max", "least").replace("NEAR", _N8) + " SELECT image_id, r, c, CAST(v AS BIGINT) AS v FROM rec")
 def reconstruct_iterative(spark, d):
     from gridloom.operators.iterative import reconstruct_by_steps
 
-    px = V.gray_images(spark, d).where("image_id = 0")
+    px = V.gray_images(spark, d)
     marker = px.withColumn("v", F.greatest(F.col("v") - 40, F.lit(0)))
     return reconstruct_by_steps(marker, px)[0]
 
 
-_GROW = "WITH RECURSIVE {px}, o AS (SELECT image_id, r, c FROM px WHERE {on}), g(image_id, r, c) AS (SELECT image_id, r, c FROM o WHERE image_id = 0 AND r BETWEEN 10 AND 14 AND c = 20 UNION SELECT o.image_id, o.r, o.c FROM g JOIN o ON o.image_id = g.image_id AND {near})"
+_GROW = "WITH RECURSIVE {px}, o AS (SELECT image_id, r, c FROM px WHERE {on}), g(image_id, r, c) AS (SELECT image_id, r, c FROM o WHERE r BETWEEN 10 AND 14 AND c = 20 UNION SELECT o.image_id, o.r, o.c FROM g JOIN o ON o.image_id = g.image_id AND {near})"
 
 
 @query("grow_from_seeds", _GROW.format(px=PX, on="v > 30", near="abs(o.r - g.r) <= 1 AND abs(o.c - g.c) <= 1") + " SELECT image_id, r, c FROM g")
 def grow_from_seeds(spark, d):
     from gridloom.operators.iterative import grow_from_seeds as grow
 
-    mask = V.masks(spark, d, 30).where("image_id = 0")
+    mask = V.masks(spark, d, 30)
     return grow(mask, mask.where("r between 10 and 14 and c = 20")).select(*KEY)
 
 
-@query("fill_from_seeds", _GROW.format(px=PX, on="v <= 30", near="abs(o.r - g.r) + abs(o.c - g.c) = 1") + " SELECT image_id, r, c FROM g UNION SELECT image_id, r, c FROM px WHERE v > 30 AND image_id = 0")
+@query("fill_from_seeds", _GROW.format(px=PX, on="v <= 30", near="abs(o.r - g.r) + abs(o.c - g.c) = 1") + " SELECT image_id, r, c FROM g UNION SELECT image_id, r, c FROM px WHERE v > 30")
 def fill_from_seeds(spark, d):
     from gridloom.operators.iterative import fill_from_seeds as fill
 
-    mask = V.masks(spark, d, 30).where("image_id = 0")
+    mask = V.masks(spark, d, 30)
     return fill(mask, mask.where("r between 10 and 14 and c = 20"))

@@ -18,7 +18,7 @@ def ring_of_box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def _edges(ring: Column) -> Column:
-    return F.zip_with(ring, F.concat(F.slice(ring, 2, 1_000_000), F.slice(ring, 1, 1)), lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), q["x"].alias("u"), q["y"].alias("v")))
+    return F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1)), lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), q["x"].alias("u"), q["y"].alias("v")))
 
 
 def _sum(edges: Column, term) -> Column:
@@ -176,11 +176,15 @@ def clipped_areas(pairs: DataFrame, tolerance: float = 0.0) -> DataFrame:
 
 
 def ring_masks(rings: DataFrame, height: int, width: int) -> DataFrame:
-    """id, r, c: pixels whose centre lies in each ring (id, seq, x, y)."""
+    """id, r, c: pixels of an image of ``height`` rows and ``width`` columns that each ring (id, seq, x, y) covers, by
+    the rule of ``ring_mask``; each ring is drawn in its own box."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = np.nonzero(K.ring_mask(_ring_rows(pdf), height, width))
-        return pd.DataFrame({"id": pdf["id"].iloc[0], "r": r, "c": c})
+        ring = _ring_rows(pdf)
+        x0, y0 = (int(np.clip(np.floor(ring[:, k].min()) - 1, 0, most)) for k, most in ((0, width), (1, height)))
+        x1, y1 = (int(np.clip(np.ceil(ring[:, k].max()) + 2, 0, most)) for k, most in ((0, width), (1, height)))
+        r, c = np.nonzero(K.ring_mask(ring - [x0, y0], max(0, y1 - y0), max(0, x1 - x0)))
+        return pd.DataFrame({"id": pdf["id"].iloc[0], "r": r + y0, "c": c + x0})
 
     return rings.select("id", "seq", "x", "y").groupBy("id").applyInPandas(run, "id bigint, r bigint, c bigint")
 

@@ -220,7 +220,7 @@ def reconstruct_steps(marker: np.ndarray, mask: np.ndarray, conn: int = 8, most:
         if np.array_equal(grown, out):
             return out, n
         out = grown
-    return out, most
+    raise RuntimeError("reconstruction did not settle")
 
 
 def regional_minima(image: np.ndarray, conn: int = 8) -> np.ndarray:
@@ -408,17 +408,42 @@ def ring_area(ring: np.ndarray) -> float:
     return float(((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2)
 
 
-def ring_mask(ring: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Pixels whose centre lies in the ring, by the parity of crossings above."""
+def _grid_line(x1: int, y1: int, x2: int, y2: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whole-number points from one end to the other, one for each step of the coordinate that changes more."""
+    n = max(abs(x2 - x1), abs(y2 - y1))
+    if not n:
+        return np.array([x1]), np.array([y1])
+    t = np.arange(n + 1)
+    away = lambda v: np.sign(v) * np.floor(np.abs(v) + 0.5)
+    if abs(x2 - x1) >= abs(y2 - y1):
+        x = x1 + np.sign(x2 - x1) * t
+        return x, away(y1 + (y2 - y1) / (x2 - x1) * (x - x1)).astype(np.int64)
+    y = y1 + np.sign(y2 - y1) * t
+    return away(x1 + (x2 - x1) / (y2 - y1) * (y - y1)).astype(np.int64), y
+
+
+def ring_mask(ring: np.ndarray, height: int, width: int, fine: int = 5) -> np.ndarray:
+    """Pixels that a ring covers, (x, y) with pixel (0, 0) around the origin.
+
+    Corners are snapped to a grid ``fine`` times finer than the pixels and joined by grid lines. Where such a line
+    passes a pixel column's middle it toggles that column from there down; a pixel is in after an odd number.
+    """
     out = np.zeros((height, width), bool)
-    if len(ring) < 3:
+    if len(ring) < 3 or not height or not width:
         return out
-    c, r = np.arange(width)[None, :], np.arange(height)[:, None]
-    for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0)):
-        if x1 != x2:
-            spans_ = (np.minimum(x1, x2) <= c) & (c < np.maximum(x1, x2))
-            out ^= spans_ & (y1 + (c - x1) * (y2 - y1) / (x2 - x1) < r)
-    return out
+    # fixed values: snapping and rounding are those of the reference rule, whose pixels count from one
+    snapped = (np.floor(fine * (np.asarray(ring, float) + 0.5) + 0.5) + 1).astype(np.int64)
+    lines = [_grid_line(*p, *q) for p, q in zip(snapped.tolist(), np.roll(snapped, -1, axis=0).tolist())]
+    x, y = np.concatenate([a for a, _ in lines]), np.concatenate([b for _, b in lines])
+    step = np.diff(x)
+    at = x[:-1] - (step < 0) + (fine - 1) // 2
+    middle = np.flatnonzero((step != 0) & (at % fine == 0))
+    column = at[middle] // fine - 1
+    row = np.maximum(0, -(-(np.minimum(y[:-1], y[1:])[middle] + (fine - 1) // 2) // fine) - 1)
+    inside = (column >= 0) & (column < width) & (row < height)
+    toggles = np.zeros((height, width), np.int64)
+    np.add.at(toggles, (row[inside], column[inside]), 1)
+    return np.cumsum(toggles, axis=0) % 2 == 1
 
 
 def covered(ring: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -598,9 +623,9 @@ def respace(x: np.ndarray, y: np.ndarray, most: float = 1.0, least: float = 0.0,
         nx, ny = np.roll(x, -1), np.roll(y, -1)
         wide = np.flatnonzero(np.abs(nx - x) + np.abs(ny - y) > most)
         if not len(wide):
-            break
+            return x, y
         x, y = np.insert(x, wide + 1, (x[wide] + nx[wide]) / 2), np.insert(y, wide + 1, (y[wide] + ny[wide]) / 2)
-    return x, y
+    raise RuntimeError("a contour's gaps did not close")
 
 
 # --- fits -----------------------------------------------------------------------------------------------------------
@@ -650,14 +675,20 @@ def least_squares(model, start: list[float], x: np.ndarray, y: np.ndarray, low=N
 # --- frequency domain -----------------------------------------------------------------------------------------------
 
 
-def homomorphic(image: np.ndarray, cutoff: float = 10.0, order: float = 1.0, low: float = 0.0999, high: float = 1.01) -> np.ndarray:
-    """Log image through a Butterworth high-emphasis filter and back."""
+def homomorphic(image: np.ndarray, cutoff: float = 10.0, order: float = 1.0, low: float = 0.0999, high: float = 1.01, centred: bool = False) -> np.ndarray:
+    """The logarithm of an image through a Butterworth response, and back by the exponential of the magnitude.
+
+    The response is laid on the spectrum as it comes; ``centred`` puts its middle on the mean instead.
+    """
     h, w = image.shape
-    y, x = np.mgrid[:h, :w]
-    d = np.hypot(y - h // 2, x - w // 2)
-    passed = 1 / (1 + (cutoff / np.maximum(d, 1e-9)) ** (2 * order))
-    gain = np.fft.ifftshift((high - low) * passed + low)
-    return np.exp2(np.fft.ifft2(np.fft.fft2(np.log2(1 + image.astype(float))) * gain).real) - 1
+    y, x = np.mgrid[1 : h + 1, 1 : w + 1]
+    d = np.hypot(y - h / 2, x - w / 2)
+    with np.errstate(divide="ignore"):
+        passed = np.where(d > 0, 1 / (1 + (cutoff / d) ** (2 * order)), 0.0)
+    gain = 1 - ((high - low) * passed + low)
+    if centred:
+        gain = np.fft.ifftshift(gain)
+    return np.exp(np.abs(np.fft.ifft2(gain * np.fft.fft2(np.log2(1 + image.astype(float))))))
 
 
 def components_bfs(mask: np.ndarray, conn: int = 4) -> int:

@@ -178,10 +178,10 @@ def geodesic_erosion(marker: DataFrame, mask: DataFrame, se: Offsets, steps: int
     return out.select("image_id", "r", "c", "v")
 
 
-def profile_open_close(profile: DataFrame, length: int = 9) -> DataFrame:
-    """Opening and closing of one-dimensional profiles (image_id, c, v) by a centred line."""
+def profile_open_close(profile: DataFrame, length: int = 9, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Opening and closing of one-dimensional profiles (keys, c, v) by a centred line."""
     half = (length - 1) // 2
-    order = Window.partitionBy("image_id").orderBy("c").rowsBetween(-half, length - 1 - half)
-    back = Window.partitionBy("image_id").orderBy("c").rowsBetween(-(length - 1 - half), half)
+    order = Window.partitionBy(*keys).orderBy("c").rowsBetween(-half, length - 1 - half)
+    back = Window.partitionBy(*keys).orderBy("c").rowsBetween(-(length - 1 - half), half)
     low = profile.withColumns({"_e": F.min("v").over(order), "_d": F.max("v").over(back)})
     return low.withColumns({"opened": F.max("_e").over(back), "closed": F.min("_d").over(order)}).drop("_e", "_d")

@@ -47,6 +47,8 @@ def label_tiled(mask: DataFrame, tile: int = 512, conn: int = 8, max_rounds: int
         roots = moved_up.select("image_id", "node", "root")
         if done:
             break
+    else:
+        raise RuntimeError("tile labels did not settle")
     order = Window.partitionBy("image_id").orderBy("root")
     numbers = roots.select("image_id", "root").distinct().withColumn("label", F.row_number().over(order).cast("bigint"))
     return named.join(roots.join(numbers, ["image_id", "root"]).select("image_id", "node", "label"), ["image_id", "node"]).select("image_id", "r", "c", "label")
@@ -118,7 +120,7 @@ def shape_measures(labels: DataFrame) -> DataFrame:
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
         a, _, _ = raster(pdf.assign(one=True), "one", False)
         rows, cols = np.nonzero(a)
-        full = int(K.covered(K.pixel_hull(rows, cols), *a.shape).sum())
+        full = max(1, int(K.ring_mask(K.pixel_hull(rows, cols), *a.shape).sum()))
         box = K.least_rectangle(np.stack([cols, rows], 1).astype(float))
         sides = sorted((float(np.hypot(*(box[1] - box[0]))), float(np.hypot(*(box[2] - box[1])))))
         return pd.DataFrame({"area": [len(rows)], "hull_area": [full], "solidity": [len(rows) / full], "perimeter": [K.perimeter(K.trace(a))], "long_side": [sides[1]], "short_side": [sides[0]]})
@@ -134,12 +136,17 @@ def to_split(shapes: DataFrame, axes: DataFrame, most_area: int = 2500, least_so
     return both.where((F.col("area") > most_area) | (F.col("solidity") < least_solidity) | (ratio > most_ratio)).select("image_id", "label", "area", "solidity", ratio.alias("ratio"))
 
 
+def _with_edge(px: DataFrame) -> DataFrame:
+    """px with ``edge``: whether a pixel lies on its image's border. The extents are one row an image, joined back."""
+    extent = px.groupBy("image_id").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    edge = F.col("r").isin(F.col("r0"), F.col("r1")) | F.col("c").isin(F.col("c0"), F.col("c1"))
+    return px.join(extent, "image_id").withColumn("edge", edge).drop("r0", "r1", "c0", "c1")
+
+
 def fill_holes(mask: DataFrame, conn: int = 4) -> DataFrame:
     """image_id, r, c, v with holes filled: background components that don't reach the border become object."""
     background = label_images(mask.select("image_id", "r", "c", (~F.col("v")).alias("v")), conn)
-    whole = Window.partitionBy("image_id")
-    edge = (F.col("r") == F.min("r").over(whole)) | (F.col("r") == F.max("r").over(whole)) | (F.col("c") == F.min("c").over(whole)) | (F.col("c") == F.max("c").over(whole))
-    marked = background.withColumn("edge", edge)
+    marked = _with_edge(background)
     open_ = F.max(F.col("edge") & (F.col("label") > 0)).over(Window.partitionBy("image_id", "label"))
     return marked.withColumn("open", open_).select("image_id", "r", "c", ((F.col("label") == 0) | ~F.col("open")).alias("v"))
 
@@ -206,9 +213,7 @@ def painted(contour: DataFrame, place: str = "tight") -> DataFrame:
 
 def border_marker(mask: DataFrame) -> DataFrame:
     """image_id, r, c, v: the complement on the image's border, nought within; a marker for filling holes."""
-    whole = Window.partitionBy("image_id")
-    edge = (F.col("r") == F.min("r").over(whole)) | (F.col("r") == F.max("r").over(whole)) | (F.col("c") == F.min("c").over(whole)) | (F.col("c") == F.max("c").over(whole))
-    return mask.select("image_id", "r", "c", (edge & ~F.col("v")).alias("v"))
+    return _with_edge(mask).select("image_id", "r", "c", (F.col("edge") & ~F.col("v")).alias("v"))
 
 
 def concave_points(chain: DataFrame, low: int = 3, high: int = 10) -> DataFrame:

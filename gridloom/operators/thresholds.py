@@ -166,7 +166,7 @@ def three_thresholds(px: DataFrame) -> DataFrame:
         best, found = -1.0, []
         with np.errstate(all="ignore"):
             last = np.where(w[-1] > w, (m[-1] - m) ** 2 / (w[-1] - w), np.nan)
-            for a in np.flatnonzero(n):
+            for a in np.flatnonzero(w > 0)[:-2] if len(w) > 2 else ():
                 first = m[a] ** 2 / w[a]
                 wb, mb = w[a + 1 :] - w[a], m[a + 1 :] - m[a]
                 second = np.where(wb > 0, mb**2 / wb, np.nan)

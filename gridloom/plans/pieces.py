@@ -21,12 +21,12 @@ from gridloom.plans.watersheds import dilate_array, erode_array
 MIN_FLOE, MIN_BRASH, SMALL_PIECE = 40, 1, 50
 
 
-def force_field(px: DataFrame, mu: float = 0.1, steps: int = 80) -> DataFrame:
-    """image_id, r, c, u, v: unit forces towards edges by gradient vector flow."""
+def force_field(px: DataFrame, mu: float = 0.1, steps: int = 500) -> DataFrame:
+    """image_id, r, c, u, v: unit forces towards edges by gradient vector flow of the gradient's magnitude."""
 
     def run(a: np.ndarray) -> dict[str, np.ndarray]:
         gy, gx = np.gradient(a.astype(float))
-        u, v = K.unit_force(*K.vector_flow(gx * gx + gy * gy, mu, steps))
+        u, v = K.unit_force(*K.vector_flow(np.hypot(gx, gy), mu, steps))
         return {"u": u, "v": v}
 
     return per_image(px, run, "u double, v double")
@@ -58,7 +58,7 @@ def _split_array(mask: np.ndarray, px: np.ndarray, py: np.ndarray, rounds: int,
             if len(r) < least_area:
                 continue
             hull = K.pixel_hull(r, c)
-            solidity = len(r) / max(1, int(K.covered(hull, h, w).sum()))
+            solidity = len(r) / max(1, int(K.ring_mask(hull, h, w).sum()))
             uxx, uyy, uxy = c.var() + 1 / 12, r.var() + 1 / 12, np.mean((c - c.mean()) * (r - r.mean()))
             off = np.sqrt((uxx - uyy) ** 2 + 4 * uxy**2)
             ratio = np.sqrt((uxx + uyy + off) / max(uxx + uyy - off, 1e-12))
@@ -86,7 +86,7 @@ def _split_array(mask: np.ndarray, px: np.ndarray, py: np.ndarray, rounds: int,
     return out
 
 
-def split_contours(images: DataFrame, rounds: int = 2, least_area: int = 10, most_area: int = 2500, least_solidity: float = 0.9, most_ratio: float = 2.0, iterations: int = 30, kappa: float = 0.5, mu: float = 0.1, steps: int = 60) -> DataFrame:
+def split_contours(images: DataFrame, rounds: int = 2, least_area: int = 10, most_area: int = 2500, least_solidity: float = 0.9, most_ratio: float = 2.0, iterations: int = 30, kappa: float = 0.5, mu: float = 0.1, steps: int = 500) -> DataFrame:
     """image_id, r, c, v: a mask with touching pieces parted by active contours.
 
     images has v (gray) and mask. Pieces that are too large, ragged or long get start circles; every contour moves in
@@ -97,7 +97,7 @@ def split_contours(images: DataFrame, rounds: int = 2, least_area: int = 10, mos
         gray, r0, c0 = raster(pdf, "v")
         mask, _, _ = raster(pdf, "mask", False)
         gy, gx = np.gradient(gray.astype(float))
-        px, py = K.unit_force(*K.vector_flow(gx * gx + gy * gy, mu, steps))
+        px, py = K.unit_force(*K.vector_flow(np.hypot(gx, gy), mu, steps))
         out = _split_array(mask, px, py, rounds, least_area, most_area, least_solidity, most_ratio, iterations, kappa)
         r, c = np.indices(out.shape)
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "r": r.ravel() + r0, "c": c.ravel() + c0, "v": out.ravel()})

@@ -98,47 +98,51 @@ def gradient_watershed(px: DataFrame, smooth: int = 3) -> DataFrame:
     return per_image(px, run, "raw bigint, smoothed bigint")
 
 
-def merge_regions(mask: DataFrame, metric: str = "cityblock", sequential: bool = True, low: int = 3, high: int = 10) -> DataFrame:
-    """image_id, r, c, label: a watershed line whose ends both fail to be concave points of the object goes.
-
-    Lines are judged in column order of their first pixel; sequentially, each removal shows in the next decision.
+def concave_pixels(region: np.ndarray, low: int = 3, high: int = 10) -> set[tuple[int, int]]:
+    """Points of an object's contour where the running turn's three-step sum rises by ``low`` to ``high`` in three steps."""
+    outline = K.trace(region)
+    code = np.array(K.freeman(outline))
+    m = len(code)
+    if m < 3:
+        return set()
+    turn = (code - np.roll(code, 1) + 8) % 8
+    turn = np.where(turn > 4, turn - 8, turn)
+    whole = int(turn.sum())
+    run = np.cumsum(turn)
+    last = np.concatenate([run[-2:] - whole, run])
+    sums = last[2:] + last[1:-1] + last[:-2]
+    change = np.concatenate([sums[3:], sums[:3] + 3 * whole])[:m] - sums
+    return set(map(tuple, outline[:-1][(change >= low) & (change <= high)].tolist()))
+
+
+def line_ends(line: np.ndarray, relative: bool = True) -> set[tuple[int, int]]:
+    """End pixels of a thin 4-connected line. Each pixel counts 4 if it is on the line, less its 4-neighbours on it;
+    ends have the largest size of that count (``relative``), or a count of 3 and more."""
+    count = 4 * line.astype(int) - sum(K._shift(line.astype(int), dr, dc, 0) for dr, dc in K.N4)
+    hit = np.abs(count) >= np.abs(count).max() if relative else count >= 3
+    return set(map(tuple, np.argwhere(hit).tolist()))
+
+
+def merge_regions(mask: DataFrame, metric: str = "cityblock", sequential: bool = True, low: int = 3, high: int = 10, relative: bool = True) -> DataFrame:
+    """image_id, r, c, label: watershed lines go whose ends both fail to be concave points of what they part.
+
+    Lines are the 4-connected pieces of the watershed within the object, judged in column order of their first pixel.
+    What a line parts is the 8-connected component that holds it once it alone is put back; sequentially, lines that
+    went before are back too.
     """
 
-    def concave(a: np.ndarray) -> np.ndarray:
-        out = np.zeros(a.shape, bool)
-        labels, n = K.label(a, 8)
-        for k in range(1, n + 1):
-            t = K.trace(labels == k)
-            code = np.array(K.freeman(t))
-            m = len(code)
-            if m < 6:
-                continue
-            turn = (code - np.roll(code, 1) + 8) % 8
-            turn = np.where(turn > 4, turn - 8, turn)
-            whole = int(turn.sum())
-            a_ = np.cumsum(turn)
-            ext = np.concatenate([a_[-2:] - whole, a_])
-            s = ext[2:] + ext[1:-1] + ext[:-2]
-            later = np.concatenate([s[3:], s[:3] + 3 * whole])
-            change = later - s
-            pts = t[:-1][(change >= low) & (change <= high)]
-            out[pts[:, 0], pts[:, 1]] = True
-        return out
-
     def run(a: np.ndarray) -> dict[str, np.ndarray]:
         ridge = (K.watershed(inverse_distance(a, metric)) == 0) & a
-        lines, n = K.label(ridge, 8)
-        current = ridge.copy()
-        near = dilate_array(concave(a), square(3))
+        lines, n = K.label(ridge, 4)
+        parted = a & ~ridge
+        merged = parted.copy()
         for k in range(1, n + 1):
-            r, c = np.nonzero(lines == k)
-            linked = [sum(((abs(r - y) <= 1) & (abs(c - x) <= 1))) - 1 for y, x in zip(r, c)]
-            ends = [(y, x) for y, x, m in zip(r, c, linked) if m <= 1]
-            if not any(near[e] for e in ends):
-                current[r, c] = False
-                if sequential:
-                    near = dilate_array(concave(a & ~current), square(3)) | near
-        return {"label": K.label(a & ~current, 4)[0]}
+            line = lines == k
+            whole, _ = K.label((merged if sequential else parted) | line, 8)
+            region = whole == whole[line][0]
+            if not line_ends(line, relative) & concave_pixels(region, low, high):
+                merged |= line
+        return {"label": K.label(merged, 8)[0]}
 
     return per_image(mask, run, "label bigint")
 

@@ -74,11 +74,14 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("bigint").alias("area"))
 
 
+def blob_disks(n_images: int = 4, height: int = 60, width: int = 90) -> list[tuple[int, int, int, int]]:
+    """(image, row, column, radius) of the disks of ``blob_images``, by an integer formula."""
+    return [(i, (13 + 17 * k + 5 * i) % height, (11 + 23 * k + 7 * i * k) % width, 5 + (3 * k + i) % 6) for i in range(n_images) for k in range(9)]
+
+
 def blob_images(spark: SparkSession, n_images: int = 4, height: int = 60, width: int = 90) -> DataFrame:
-    """Generated masks of overlapping disks on a grid that isn't square, by an integer formula."""
-    disks = []
-    for i in range(n_images):
-        disks += [(i, (13 + 17 * k + 5 * i) % height, (11 + 23 * k + 7 * i * k) % width, 5 + (3 * k + i) % 6) for k in range(9)]
+    """Generated masks of overlapping disks on a grid that isn't square."""
+    disks = blob_disks(n_images, height, width)
     grid = spark.range(n_images * height * width).select(
         F.expr(f"id div {height * width}").alias("image_id"), F.expr(f"(id % {height * width}) div {width}").alias("r"), (F.col("id") % width).alias("c")
     )
