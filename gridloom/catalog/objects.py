@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.catalog.registry import MASK, query, r6, rounded
+from gridloom.catalog.registry import MASK, least_rectangle_sql, query, r6, rounded
 from gridloom.operators import kernels as K
 from gridloom.operators import regions as G
 from gridloom.operators.rasters import per_image, rows_per_image
@@ -286,7 +286,12 @@ def document_pieces(spark, d):
     return rounded(P.pieces_of(P.field_document(P.classify(levels, P.enhance_shapes(levels)))), "cx", "cy", digits=4)
 
 
-@query("rectangles")
+#: Mid-edge points of the contours' pixels: their hull is that of all pixels.
+_RECTS = f"""{_WALK}, pts AS (SELECT image_id, label, c + CAST(dx AS DOUBLE) AS x, r + CAST(dy AS DOUBLE) AS y FROM walk CROSS JOIN (VALUES (0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5)) m(dx, dy)), {least_rectangle_sql('pts', 'image_id, label')},
+rect AS (SELECT image_id, label, (h0 - l0) * (h1 - l1) AS area, 2 * (h0 - l0 + h1 - l1) AS perimeter, (h0 - l0) / (h1 - l1) AS ratio, (l0 + h0) / 2 * co - (l1 + h1) / 2 * si AS cx, (l0 + h0) / 2 * si + (l1 + h1) / 2 * co AS cy FROM box)"""
+
+
+@query("rectangles", f"{_RECTS} SELECT image_id, label, round(area, 3) AS area, round(perimeter, 3) AS perimeter, round(ratio, 3) AS ratio, round(cx, 3) AS cx, round(cy, 3) AS cy FROM rect")
 def rectangles(spark, d):
     return rounded(P.rectangles(_blobs(spark)), "area", "perimeter", "ratio", "cx", "cy", digits=3).drop("ring")
 
@@ -296,7 +301,7 @@ def rectangle_overlaps(spark, d):
     return rounded(P.rectangle_model(P.rectangles(_blobs(spark)))[1], "shared", digits=3)
 
 
-@query("rectangle_concentration")
+@query("rectangle_concentration", f"{_RECTS} SELECT image_id, round(sum(area) / 5400.0::DOUBLE, 4) AS concentration FROM rect WHERE ratio > 0.4 AND ratio < 2.5 GROUP BY 1")
 def rectangle_concentration(spark, d):
     kept, _ = P.rectangle_model(P.rectangles(_blobs(spark)))
     return kept.groupBy("image_id").agg(r6(F.sum("area") / (60.0 * 90.0), 4).alias("concentration"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.catalog.registry import query, r6, rounded
+from gridloom.catalog.registry import least_rectangle_sql, query, r6, rounded
 from gridloom.operators import geometry as G
 from gridloom.sources import virtual as V
 
@@ -108,7 +108,10 @@ def hull_extent(spark, d):
     return G.hulls(_groups(spark, d)).groupBy("id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
-@query("min_rectangle")
+_CORNERS = "(VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) k(seq, p, q)"
+
+
+@query("min_rectangle", f"WITH pts AS (SELECT p_partkey % 20 AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), {least_rectangle_sql('pts', 'id')} SELECT id, CAST(seq AS BIGINT) AS seq, round((CASE WHEN p = 1 THEN h0 ELSE l0 END) * co - (CASE WHEN q = 1 THEN h1 ELSE l1 END) * si, 4) + 0.0 AS x, round((CASE WHEN p = 1 THEN h0 ELSE l0 END) * si + (CASE WHEN q = 1 THEN h1 ELSE l1 END) * co, 4) + 0.0 AS y FROM box CROSS JOIN {_CORNERS}")
 def min_rectangle(spark, d):
     return rounded(G.least_rectangles(_groups(spark, d)), "x", "y", digits=4)
 

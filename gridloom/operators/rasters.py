@@ -57,29 +57,46 @@ def rows_per_image(px: DataFrame, kernel: Callable[[np.ndarray], pd.DataFrame],
     return px.select(*keys, "r", "c", value).groupBy(*keys).applyInPandas(run, f"{lead}, {schema}")
 
 
-BUCKETS = 8
+Region = dict[str, np.ndarray]
 
 
-def per_region(labels: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: tuple[str, ...] = ("image_id", "label"), columns: tuple[str, ...] = ("r", "c"), buckets: int = BUCKETS) -> DataFrame:
-    """Run ``kernel`` on the pixels of every region; it returns rows of ``schema`` without the keys.
+def filled(region: Region) -> tuple[np.ndarray, int, int]:
+    """The mask of a region's pixels in their own box, and the box's least row and column."""
+    r, c = region["r"], region["c"]
+    r0, c0 = int(r.min()), int(c.min())
+    out = np.zeros((int(r.max()) - r0 + 1, int(c.max()) - c0 + 1), bool)
+    out[r - r0, c - c0] = True
+    return out, r0, c0
+
+
+#: Regions of neighbouring labels that a task group holds: the groups grow in number with an image's regions.
+REGIONS = 64
+
+
+def per_region(labels: DataFrame, kernel: Callable[[Region], dict[str, list | np.ndarray]], schema: str, keys: tuple[str, ...] = ("image_id", "label"), columns: tuple[str, ...] = ("r", "c"), regions: int = REGIONS) -> DataFrame:
+    """Run ``kernel`` on the pixels of every region; it returns the columns of ``schema`` without the keys, as
+    arrays or lists.
 
-    A task group is one image's share of regions by label, not one region: most regions are small, and a group of its
-    own costs more than they do. The regions of an image spread over ``buckets`` groups.
+    A task group is a run of ``regions`` labels of one image, not one region: most regions are small, and a group of
+    its own costs more than they do.
     """
     image, label = keys
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(label, kind="stable")
-        names = pdf[label].to_numpy()
+        order = np.argsort(pdf[label].to_numpy(), kind="stable")
+        arrays = {k: pdf[k].to_numpy()[order] for k in (label, *columns)}
+        names = arrays[label]
         cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
-        out = []
+        found, sizes = [], []
         for a, b in zip(cuts, cuts[1:]):
-            rows = kernel(pdf.iloc[a:b])
-            rows.insert(0, label, names[a])
-            out.append(rows)
-        whole = pd.concat(out, ignore_index=True)
-        whole.insert(0, image, pdf[image].iloc[0])
-        return whole
-
-    dealt = labels.select(image, label, *columns).withColumn("_bucket", F.pmod(F.col(label), F.lit(buckets)))
+            rows = kernel({k: arrays[k][a:b] for k in columns})
+            found.append(rows)
+            sizes.append(len(next(iter(rows.values()))))
+        whole = {image: pdf[image].iloc[0], label: np.repeat(names[cuts[:-1]], sizes)}
+        for k in found[0]:
+            parts = [f[k] for f in found]
+            whole[k] = np.concatenate(parts) if isinstance(parts[0], np.ndarray) else [x for p in parts for x in p]
+        return pd.DataFrame(whole)
+
+    dealt = labels.select(image, label, *columns).withColumn("_bucket", F.floor(F.col(label) / regions))
     return dealt.groupBy(image, "_bucket").applyInPandas(run, f"{image} bigint, {label} bigint, {schema}")

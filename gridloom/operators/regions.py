@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import kernels as K
-from gridloom.operators.rasters import per_image, per_region, raster
+from gridloom.operators.rasters import Region, filled, per_image, per_region
 from gridloom.operators.stencils import neighbourhood
 
 
@@ -117,13 +116,13 @@ def shape_measures(labels: DataFrame) -> DataFrame:
     """image_id, label, area, hull_area (pixels the hull covers), solidity, perimeter, and the least rectangle's sides:
     in groups of regions."""
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, _, _ = raster(pdf.assign(one=True), "one", False)
+    def measure(region: Region) -> dict:
+        a, _, _ = filled(region)
         rows, cols = np.nonzero(a)
         full = max(1, int(K.ring_mask(K.pixel_hull(rows, cols), *a.shape).sum()))
         box = K.least_rectangle(np.stack([cols, rows], 1).astype(float))
         sides = sorted((float(np.hypot(*(box[1] - box[0]))), float(np.hypot(*(box[2] - box[1])))))
-        return pd.DataFrame({"area": [len(rows)], "hull_area": [full], "solidity": [len(rows) / full], "perimeter": [K.perimeter(K.trace(a))], "long_side": [sides[1]], "short_side": [sides[0]]})
+        return {"area": [len(rows)], "hull_area": [full], "solidity": [len(rows) / full], "perimeter": [K.perimeter(K.trace(a))], "long_side": [sides[1]], "short_side": [sides[0]]}
 
     schema = "area bigint, hull_area bigint, solidity double, perimeter double, long_side double, short_side double"
     return per_region(labels.where("label > 0"), measure, schema)
@@ -154,10 +153,10 @@ def fill_holes(mask: DataFrame, conn: int = 4) -> DataFrame:
 def contours(labels: DataFrame, conn: int = 8) -> DataFrame:
     """image_id, label, seq, r, c: the closed outer contour of every region."""
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, r0, c0 = raster(pdf.assign(one=True), "one", False)
+    def follow(region: Region) -> dict:
+        a, r0, c0 = filled(region)
         t = K.trace(a, conn)
-        return pd.DataFrame({"seq": np.arange(len(t)), "r": t[:, 0] + r0, "c": t[:, 1] + c0})
+        return {"seq": np.arange(len(t)), "r": t[:, 0] + r0, "c": t[:, 1] + c0}
 
     return per_region(labels.where("label > 0"), follow, "seq bigint, r bigint, c bigint")
 

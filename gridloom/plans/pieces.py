@@ -12,7 +12,7 @@ from gridloom.operators import geometry as G
 from gridloom.operators import kernels as K
 from gridloom.operators.clustering import gray_kmeans, gray_labels
 from gridloom.operators.morphology import disk
-from gridloom.operators.rasters import per_image, per_region, raster
+from gridloom.operators.rasters import Region, filled, per_image, per_region, raster
 from gridloom.operators.regions import label_images
 from gridloom.operators.thresholds import otsu_mask
 from gridloom.sources.shared import stored
@@ -160,14 +160,14 @@ def enhance_shapes(levels: DataFrame, small: int = SMALL_PIECE) -> DataFrame:
     extent = levels.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
     pieces = every.join(ranked, ["image_id", "layer", "label"]).join(extent, "image_id")
 
-    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
-        radius = 1 if len(pdf) < small else 2
-        a, r0, c0 = raster(pdf.assign(one=True), "one", False)
+    def clean(region: Region) -> dict:
+        radius = 1 if len(region["r"]) < small else 2
+        a, r0, c0 = filled(region)
         margin = 4 * radius + 6
         r, c = np.nonzero(clean_piece(np.pad(a, margin), radius))
         r, c = r + r0 - margin, c + c0 - margin
-        ok = (r >= 0) & (r < pdf["h"].iloc[0]) & (c >= 0) & (c < pdf["w"].iloc[0])
-        return pd.DataFrame({"r": r[ok], "c": c[ok]})
+        ok = (r >= 0) & (r < region["h"][0]) & (c >= 0) & (c < region["w"][0])
+        return {"r": r[ok], "c": c[ok]}
 
     cleaned = per_region(pieces, clean, "r bigint, c bigint", ("image_id", "piece"), ("r", "c", "h", "w"))
     painted = cleaned.groupBy("image_id", "r", "c").agg(F.max("piece").alias("piece"))  # the last painted is the largest
@@ -202,9 +202,9 @@ def piece_table(kinds: DataFrame) -> DataFrame:
 def hull_rings(kinds: DataFrame) -> DataFrame:
     """image_id, piece, ring (open, through mid-edge points) of floes."""
 
-    def outline(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = K.pixel_hull(pdf["r"].to_numpy(), pdf["c"].to_numpy())
-        return pd.DataFrame({"ring": [[{"x": float(x), "y": float(y)} for x, y in h]]})
+    def outline(region: Region) -> dict:
+        h = K.pixel_hull(region["r"], region["c"])
+        return {"ring": [[{"x": float(x), "y": float(y)} for x, y in h]]}
 
     return per_region(kinds.where("kind = 'floe'"), outline, "ring array<struct<x:double,y:double>>", ("image_id", "piece"))
 
@@ -271,11 +271,11 @@ def pieces_of(documents: DataFrame) -> DataFrame:
 def rectangles(labels: DataFrame) -> DataFrame:
     """image_id, label, ring, area, perimeter, ratio, cx, cy of each region's least rectangle through its mid-edge points."""
 
-    def box_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        box = K.least_rectangle(K.pixel_hull(pdf["r"].to_numpy(), pdf["c"].to_numpy()))
+    def box_of(region: Region) -> dict:
+        box = K.least_rectangle(K.pixel_hull(region["r"], region["c"]))
         a, b = np.hypot(*(box[1] - box[0])), np.hypot(*(box[2] - box[1]))
         ring = [{"x": float(x), "y": float(y)} for x, y in box]
-        return pd.DataFrame({"ring": [ring], "area": [a * b], "perimeter": [2 * (a + b)], "ratio": [a / b if b else np.nan], "cx": [box[:, 0].mean()], "cy": [box[:, 1].mean()]})
+        return {"ring": [ring], "area": [a * b], "perimeter": [2 * (a + b)], "ratio": [a / b if b else np.nan], "cx": [box[:, 0].mean()], "cy": [box[:, 1].mean()]}
 
     schema = "ring array<struct<x:double,y:double>>, area double, perimeter double, ratio double, cx double, cy double"
     return per_region(labels.where("label > 0"), box_of, schema)
