@@ -1,11 +1,14 @@
-"""SentencePiece ids and decoded texts through a table of distinct marked words.
+"""SentencePiece ids and decoded texts through a shared table of distinct marked words.
 
 Holds for models like the one tested here: identity normalisation, a dummy marker before the text, no removal of
 extra white space, and no piece with a marker after another character. Then no piece crosses from a character to a
 following marker, so a text falls into chunks there, each a run of markers and what follows; a chunk's ids don't
 depend on its neighbours. ``crossing_pieces`` names what would break this, and ``encode`` refuses such a model.
 
-Each distinct chunk is segmented and decoded once by the library; ids and bytes are joined back by position.
+Texts are dealt into blocks, which are written once. A block asks once for each distinct chunk it has; what all blocks
+ask is sorted by chunk, so that a run of equal chunks is segmented and decoded once by the library, however many blocks
+ask; the answers go back to their blocks, where they are joined to the texts by position. A chunk's run is as long as
+there are blocks that have it, not as often as it comes. One block's texts and answers are in memory at a time.
 """
 
 from __future__ import annotations
@@ -14,15 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.chunk_table import MOST_CHUNKS, ChunkTable
-from gridloom.llm.common import own_columns, table
+from gridloom.llm.common import own_columns, stored, table
 from gridloom.llm.text_arrays import column_bytes, ragged, steps
 
 MARKER = "▁"
 MARKER_BYTES = MARKER.encode()
+#: Text of one block; a longer single text is a block of its own.
+BLOCK_BYTES = 12_000_000
 
 
 def crossing_pieces(model) -> list[str]:
@@ -31,54 +37,27 @@ def crossing_pieces(model) -> list[str]:
     return [p for p in pieces if MARKER in p.lstrip(MARKER)]
 
 
-class PieceTable(ChunkTable):
-    """The chunk table with the decoded bytes of every row."""
+_models: dict[str, object] = {}
 
-    def __init__(self, model, most: int = MOST_CHUNKS):
-        self.model = model
-        self.marker_id = model.piece_to_id(MARKER)
-        super().__init__(self._segment, most)
 
-    def _clear(self) -> None:
-        super()._clear()
-        self.text = np.zeros(1 << 14, np.uint8)
-        self.text_starts = np.zeros(1 << 12, np.int64)
-        self.text_lengths = np.zeros(1 << 12, np.int64)
-        self.text_used = 0
-
-    def _segment(self, chunks: list[str]) -> list[list[int]]:
-        found = self.model.encode(chunks, num_threads=1)
-        return [ids if c else [self.marker_id] for c, ids in zip(chunks, found)]  # an empty chunk is a lone marker
-
-    def _add(self, found: list[list[int]]) -> np.ndarray:
-        rows = super()._add(found)
-        decoded = [x.encode() for x in self.model.decode(found)] if found else []
-        lengths = np.fromiter(map(len, decoded), np.int64, len(decoded))
-        total = int(lengths.sum())
-        while self.text_used + total > len(self.text):
-            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
-        while self.n > len(self.text_lengths):
-            self.text_lengths = np.concatenate([self.text_lengths, np.zeros_like(self.text_lengths)])
-            self.text_starts = np.concatenate([self.text_starts, np.zeros_like(self.text_starts)])
-        self.text[self.text_used : self.text_used + total] = np.frombuffer(b"".join(decoded), np.uint8)
-        self.text_lengths[rows] = lengths
-        self.text_starts[rows] = self.text_used + np.cumsum(lengths) - lengths
-        self.text_used += total
-        return rows
-
-
-_tables: dict[str, PieceTable] = {}
-
-
-def piece_table(path: str) -> PieceTable:
-    if path not in _tables:
+def model_of(path: str):
+    """The worker's model, refused if its pieces can cross markers."""
+    if path not in _models:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         if model.encode("  a  b", out_type=str) != model.encode("  a", out_type=str) + model.encode(" b", out_type=str) or crossing_pieces(model):
             raise ValueError("this model's pieces can cross white space markers")
-        _tables[path] = PieceTable(model)
-    return _tables[path]
+        _models[path] = model
+    return _models[path]
+
+
+def segment(chunks: list[str], model) -> tuple[list[bytes], list[bytes | None]]:
+    """ids of each chunk as little-endian 32-bit numbers, and its decoded text, None where that is the chunk itself."""
+    lone = model.piece_to_id(MARKER)  # an empty chunk is a lone marker
+    found = [ids if c else [lone] for c, ids in zip(chunks, model.encode(chunks, num_threads=1))] if chunks else []
+    decoded = model.decode(found) if found else []
+    return [np.array(ids, "<i4").tobytes() for ids in found], [None if d == c else d.encode() for c, d in zip(chunks, decoded)]
 
 
 def chunks_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -112,42 +91,156 @@ def chunks_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return both.take(pa.array(np.arange(0, len(bounds) - 1, 2, dtype=np.int32))), doc, is_first
 
 
-def encode_column(column: pa.Array, path: str) -> tuple[pa.ListArray, pa.Array]:
-    """ids and decoded text of each row."""
-    pieces = piece_table(path)
+class Answers:
+    """Distinct chunks with their ids and decoded bytes, in flat arrays."""
+
+    def __init__(self, chunks: pa.Array, ids: pa.Array, decoded: pa.Array):
+        self.chunks = chunks.cast(pa.binary())
+        data, bounds = column_bytes(ids)
+        self.ids, self.id_starts, self.id_counts = np.frombuffer(data.tobytes(), "<i4"), bounds[:-1] // 4, np.diff(bounds) // 4
+        self.text, bounds = column_bytes(pc.coalesce(decoded.cast(pa.binary()), self.chunks))
+        self.text_starts, self.text_lengths = bounds[:-1], np.diff(bounds)
+
+
+def join_back(column: pa.Array, known: Answers) -> tuple[pa.ListArray, pa.Array]:
+    """ids and decoded text of each row, from the answers to its chunks by position."""
     chunks, doc, is_first = chunks_of(column)
     distinct = chunks.dictionary_encode()
-    row = pieces.rows(distinct.dictionary.to_pylist())[distinct.indices.to_numpy(zero_copy_only=False)]
-    ids, lengths = pieces.join(row)
+    place = pc.index_in(distinct.dictionary, value_set=known.chunks)
+    if place.null_count:
+        raise RuntimeError("a chunk of this block has no answer")
+    row = place.to_numpy(zero_copy_only=False)[distinct.indices.to_numpy(zero_copy_only=False)]
     n = len(column)
+    lengths = known.id_counts[row]
+    ids = known.ids[ragged(known.id_starts[row], lengths)]
     bounds = np.concatenate(([0], np.cumsum(np.bincount(doc, weights=lengths, minlength=n).astype(np.int64))))
     lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
     gap = (~is_first).astype(np.int64)  # the marker that the chunk lost
-    sizes = pieces.text_lengths[row] + gap
-    total = int(sizes.sum())
-    text = np.full(total, 0x20, np.uint8)
+    sizes = known.text_lengths[row] + gap
+    text = np.full(int(sizes.sum()), 0x20, np.uint8)
     at = np.cumsum(sizes) - sizes + gap
-    text[ragged(at, sizes - gap)] = pieces.text[ragged(pieces.text_starts[row], sizes - gap)]
+    text[ragged(at, sizes - gap)] = known.text[ragged(known.text_starts[row], sizes - gap)]
     text_bounds = np.concatenate(([0], np.cumsum(np.bincount(doc, weights=sizes, minlength=n).astype(np.int64))))
     decoded = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(text_bounds.astype(np.int32)), pa.py_buffer(text)])
     return lists, decoded
 
 
-def encode(documents: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep``, ids and the decoded text of every row; null counts as empty, repeats stay."""
-    fields = [documents.schema[k] for k in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["ids array<int>", "decoded string"])
+def encode_column(column: pa.Array, path: str) -> tuple[pa.ListArray, pa.Array]:
+    """ids and decoded text of each row of one column, with a table of its own."""
+    chunks = pc.unique(chunks_of(column)[0])
+    ids, decoded = segment([c.decode("utf-8") for c in chunks.to_pylist()], model_of(path))
+    return join_back(column, Answers(chunks, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())))
+
+
+# --- the shared table -------------------------------------------------------------------------------------------------
+
+
+def blocks_of(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, data): the rows, whose last column is the text, in blocks, each a compressed stream of Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+        number = TaskContext.get().partitionId() << 24
+
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=options) as writer:
+                for part in held:
+                    writer.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
+            text = batch.column(batch.num_columns - 1)
             for at, to in steps(text):
-                part = batch.slice(at, to - at)
-                ids, decoded = encode_column(text.slice(at, to - at), path)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(k)) for k in keep), ids, decoded], names=[*keep, "ids", "decoded"])
+                more = int(column_bytes(text.slice(at, to - at))[1][-1])
+                if held and size + more > block_bytes:
+                    yield packed(held)
+                    held, size, number = [], 0, number + 1
+                held.append(batch.slice(at, to - at))
+                size += more
+        if held:
+            yield packed(held)
+
+    return rows.mapInArrow(run, "block long, data binary")
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, chunk): the distinct chunks of each block."""
+    for batch in batches:
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found: list[pa.Array] = []
+            for held in pa.ipc.open_stream(data.as_buffer()):
+                found.append(pc.unique(chunks_of(held.column(held.num_columns - 1))[0]))
+            every = pc.unique(pa.chunked_array(found, pa.binary()))
+            for at in range(0, len(every), 50_000):
+                part = every.slice(at, 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), part.cast(pa.string())], names=["block", "chunk"])
+
+
+def _answered(path: str):
+    """(block, chunk, ids, decoded) of rows (block, chunk) sorted by chunk: a run of equal chunks is segmented once."""
 
-    return own_columns(documents, *dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str, bytes, bytes | None] | None = None
+        for batch in batches:
+            coded = batch.column(1).dictionary_encode()
+            chunks = coded.dictionary.to_pylist()
+            goes_on = bool(chunks) and last is not None and chunks[0] == last[0]
+            ids, decoded = segment(chunks[1:] if goes_on else chunks, model_of(path))
+            if goes_on:  # the batch before ended within this run
+                ids, decoded = [last[1], *ids], [last[2], *decoded]
+            if chunks:
+                last = chunks[-1], ids[-1], decoded[-1]
+            columns = [pa.array(x, pa.binary()).take(coded.indices) for x in (ids, decoded)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["block", "chunk", "ids", "decoded"])
+
+    return run
+
+
+def encode(documents: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns of ``keep``, ids and the decoded text of every row; null counts as empty, repeats stay, a very long
+    text is a block of its own, and an empty table gives an empty one. Columns besides ``keep`` and the text are never
+    read, whatever their names."""
+    fields = [documents.schema[k] for k in keep]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["ids array<int>", "decoded string"])
+    rows = own_columns(documents, *keep, "text").toDF(*[f"_own_{i}" for i in range(len(keep))], "_text")
+    blocks = stored(blocks_of(rows, block_bytes), "piece-blocks")
+    asked = blocks.mapInArrow(_asked, "block long, chunk string").repartition("chunk").sortWithinPartitions("chunk")
+    answers = asked.mapInArrow(_answered(path), "block long, chunk string, ids binary, decoded binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        parts: list[pa.RecordBatch] = []
+        known: Answers | None = None
+        for batch in batches:
+            numbers, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if numbers[a] != block:
+                    block, parts, known = numbers[a], [], None
+                if kinds[a] == 0:
+                    parts.append(batch.slice(a, b - a).select(["chunk", "ids", "decoded"]))
+                    continue
+                if known is None:
+                    every = pa.Table.from_batches(parts).combine_chunks() if parts else None
+                    empty = pa.array([], pa.binary())
+                    known = Answers(*(every.column(i).combine_chunks() if every is not None else empty for i in range(3)))
+                    parts = []
+                for data in batch.column(5).slice(a, b - a):
+                    for held in pa.ipc.open_stream(data.as_buffer()):
+                        ids, decoded = join_back(held.column(held.num_columns - 1), known)
+                        yield pa.RecordBatch.from_arrays([*held.columns[:-1], ids, decoded], names=[*keep, "ids", "decoded"])
+
+    none = F.lit(None).cast("binary")
+    met = answers.select("block", F.lit(0).alias("kind"), "chunk", "ids", "decoded", none.alias("data")).unionByName(
+        blocks.select("block", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("chunk"), none.alias("ids"), none.alias("decoded"), "data")
+    )
+    return met.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
 
 
 def default_model() -> str:
@@ -157,5 +250,6 @@ def default_model() -> str:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
     found = encode(table(spark, sf_dir, "documents"), default_model())
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -66,6 +66,39 @@ def test_pieces_of_odd_rows(odd, no_documents):
     assert S.encode(no_documents, S.default_model()).count() == 0
 
 
+def test_pieces_over_many_blocks(spark):
+    """A block holds a few texts, so that most chunks are asked by several blocks and joined back to each."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=S.default_model())
+    texts = mixed_texts(400, 8) + ["the same words again"] * 300 + ["x" * 5000 + " tail"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in S.encode(rows, S.default_model(), block_bytes=200).collect()}
+    assert sorted(found) == list(range(len(texts)))
+    for i, t in enumerate(texts):
+        ids = model.encode(t or "")
+        assert (found[i].ids, found[i].decoded) == (ids, model.decode(ids)), t
+
+
+def test_equal_chunks_are_segmented_once(monkeypatch):
+    """Runs of equal chunks, cut by batches, reach the library once."""
+    asked = []
+    own = S.segment
+    monkeypatch.setattr(S, "segment", lambda chunks, model: asked.append(list(chunks)) or own(chunks, model))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(c))), pa.array(c)], names=["block", "chunk"]) for c in (["", "a", "a", "b"], ["b", "b"], ["b", "c"], [])]
+    rows = pa.Table.from_batches([b for b in S._answered(S.default_model())(iter(batches)) if b.num_rows]).to_pylist()
+    assert sorted(c for part in asked for c in part) == ["", "a", "b", "c"]
+    assert [r["chunk"] for r in rows] == ["", "a", "a", "b", "b", "b", "b", "c"]
+    for chunk in "abc":
+        assert len({r["ids"] for r in rows if r["chunk"] == chunk}) == 1
+
+
+def test_a_chunk_without_answer_raises():
+    known = S.Answers(pa.array([b"a"]), pa.array([b"\1\0\0\0"]), pa.array([None], pa.binary()))
+    with pytest.raises(RuntimeError):
+        S.join_back(pa.array(["a b"]), known)
+
+
 def test_op7_digests(spark, sample):
     import sentencepiece
 
