@@ -4,7 +4,7 @@ A 64-bit fingerprint is cut into 32 segments of two bits; the bit counts of the
 where the Manhattan distance of two fingerprints is at most their Hamming distance. The segments are dealt into g
 groups. Points within Manhattan distance d differ in at most d groups, so they agree on some g - d whole groups:
 the grid has a cell for every choice of g - d groups and every value of their counts, and two fingerprints that
-link share a cell. Within a cell they are compared exactly. g grows with the number of distinct fingerprints (finer
+link share a cell. Within a cell the Manhattan distance of the counts decides which pairs are compared exactly. g grows with the number of distinct fingerprints (finer
 cells, more of them to a fingerprint); the result is the same for any g.
 
 A cell gives a spanning forest of its links, not all its pairs, so a large group of near copies costs as many rows
@@ -122,24 +122,40 @@ def cell_rows(distinct: DataFrame, groups: int, distance: int = DISTANCE) -> Dat
     return distinct.select("fp").mapInArrow(run, "cell long, fp long")
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def unary(fp: np.ndarray) -> np.ndarray:
+    """The embedding with each count of a two-bit segment in unary (00, 01, 11): the differing bits of two such numbers
+    are the Manhattan distance of their counts."""
+    x = fp.view(np.uint64)
+    low = np.uint64(0x5555555555555555)
+    return ((x | x >> np.uint64(1)) & low) | ((x & x >> np.uint64(1)) & low) << np.uint64(1)
+
+
+def linked(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Which pairs differ in at most ``distance`` bits: the lower bound first, then whole fingerprints of what it leaves."""
+    a, b = np.broadcast_arrays(a.view(np.uint64), b.view(np.uint64))
+    out = np.bitwise_count(unary(a) ^ unary(b)) <= distance
+    left = np.flatnonzero(out)
+    out[left] = np.bitwise_count(a[left] ^ b[left]) <= distance
+    return out
 
 
 def spanning_links(fp: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Links that connect what lies within ``distance``, as few as the members of the components found."""
     rest = np.sort(fp).view(np.uint64)
+    counts = unary(rest)
     links: list[tuple[int, int]] = []
     while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
+        front = [(rest[0], counts[0])]
+        rest, counts = rest[1:], counts[1:]
         while front and len(rest):
-            at = front.pop()
-            near = _popcount(rest ^ at) <= distance
-            if near.any():
+            at, own = front.pop()
+            near = np.flatnonzero(np.bitwise_count(counts ^ own) <= distance)  # the lower bound, then the bits
+            near = near[np.bitwise_count(rest[near] ^ at) <= distance]
+            if len(near):
                 found = rest[near]
-                rest = rest[~near]
                 links += [(int(at), int(x)) for x in found]
-                front += list(found)
+                front += zip(found, counts[near])
+                rest, counts = np.delete(rest, near), np.delete(counts, near)
     return links
 
 
@@ -150,7 +166,7 @@ def _links_of_runs(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.n
     a, b = [], []
     two = edges[:-1][sizes == 2]
     x, y = fp[two], fp[two + 1]
-    near = _popcount((x ^ y).view(np.uint64)) <= distance
+    near = linked(x, y, distance)
     a.append(x[near])
     b.append(y[near])
     for size in (3, 4, 5, 6, 7, 8):  # small cells: all pairs at once, which are few
@@ -158,7 +174,7 @@ def _links_of_runs(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.n
         if len(at):
             for i, j in combinations(range(size), 2):
                 x, y = fp[at + i], fp[at + j]
-                near = _popcount((x ^ y).view(np.uint64)) <= distance
+                near = linked(x, y, distance)
                 a.append(x[near])
                 b.append(y[near])
     for at, size in zip(edges[:-1][sizes > 8].tolist(), sizes[sizes > 8].tolist()):

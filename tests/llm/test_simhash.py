@@ -55,6 +55,20 @@ def test_linked_points_share_a_cell(groups):
         assert np.abs(x - y).sum() <= 4
 
 
+def test_the_lower_bound_is_the_manhattan_distance():
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 2**63, (2, 5000)).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, (2, 5000)).astype(np.uint64)
+    near = a.copy()
+    for _ in range(6):
+        near ^= np.uint64(1) << rng.integers(0, 64, 5000).astype(np.uint64)
+    for other in (b, near, a):
+        bound = np.bitwise_count(S.unary(a) ^ S.unary(other))
+        bits = np.bitwise_count(a ^ other)
+        assert (bound == np.abs(S.embed(a).astype(int) - S.embed(other).astype(int)).sum(axis=1)).all()
+        assert (bound <= bits).all()
+        assert (S.linked(a.view(np.int64), other.view(np.int64), 4) == (bits <= 4)).all()
+
+
 @pytest.mark.parametrize("cell_limit", [4096, 8])
 def test_clusters_chains_and_hot_cells(spark, cell_limit):
     """Near copies in a star and a chain, with the cells dealt into blocks and not."""
