@@ -24,8 +24,8 @@ LONGEST_KEPT = 64
 class ChunkTable:
     """ids of distinct chunks; ``segment`` turns a list of chunk strings into lists of ids."""
 
-    def __init__(self, segment: Callable[[list[str]], list[list[int]]], most: int = MOST_CHUNKS):
-        self.segment, self.most = segment, most
+    def __init__(self, segment: Callable[[list[str]], list[list[int]]], most: int = MOST_CHUNKS, longest: int = LONGEST_KEPT):
+        self.segment, self.most, self.longest = segment, most, longest
         self._clear()
 
     def _clear(self) -> None:
@@ -62,7 +62,7 @@ class ChunkTable:
             new = [chunks[i] for i in fresh.tolist()]
             rows = self._add(self.segment([c.decode("utf-8") for c in new]))
             out[fresh] = rows
-            known.update((c, r) for c, r in zip(new, rows.tolist()) if len(c) <= LONGEST_KEPT)
+            known.update((c, r) for c, r in zip(new, rows.tolist()) if len(c) <= self.longest)
         return out
 
     def join(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

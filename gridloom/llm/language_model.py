@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import own_columns, stored, table
-from gridloom.llm.text_arrays import HASH_STEP_BYTES, column_bytes, steps
+from gridloom.llm.text_arrays import HASH_STEP_BYTES, column_bytes, steps, text_blocks
 
 ORDER = 4
 SPACE = 32
@@ -211,26 +211,6 @@ def learn(documents: DataFrame) -> Model:
 # --- documents in chunks ----------------------------------------------------------------------------------------------
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Number and rows of each chunk of a partition, whose number is the first column; text is the last."""
-    number = -1
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if number < 0 and batch.num_rows:
-            number = batch.column(0)[0].as_py() << 24
-        text = batch.column(batch.num_columns - 1)
-        for at, to in steps(text, chunk_bytes):
-            more = int(column_bytes(text.slice(at, to - at))[1][-1])
-            if held and size + more > chunk_bytes:
-                yield number, held
-                held, size, number = [], 0, number + 1
-            held.append(batch.slice(at, to - at))
-            size += more
-    if held:
-        yield number, held
-
-
 def perplexity(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The columns of ``keep``, n_symbols and perplexity (a symbol) of every row; null for a text without symbols.
 
@@ -243,7 +223,7 @@ def perplexity(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_symbols long", "perplexity double"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, held in _chunks(batches, chunk_bytes):
+        for number, held in text_blocks(batches, chunk_bytes):
             for symbols, _ in _counted(b.column(b.num_columns - 1) for b in held):
                 for lo in range(0, len(symbols), 100_000):
                     part = _strings(symbols[lo : lo + 100_000])
@@ -251,7 +231,7 @@ def perplexity(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
-        for number, held in _chunks(batches, chunk_bytes):
+        for number, held in text_blocks(batches, chunk_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=options) as writer:
                 for b in held:

@@ -5,30 +5,39 @@ extra white space, and no piece with a marker after another character. Then no p
 following marker, so a text falls into chunks there, each a run of markers and what follows; a chunk's ids don't
 depend on its neighbours. ``crossing_pieces`` names what would break this, and ``encode`` refuses such a model.
 
-Texts are dealt into blocks, which are written once. A block asks once for each distinct chunk it has; what all blocks
-ask is sorted by chunk, so that a run of equal chunks is segmented and decoded once by the library, however many blocks
-ask; the answers go back to their blocks, where they are joined to the texts by position. A chunk's run is as long as
-there are blocks that have it, not as often as it comes. One block's texts and answers are in memory at a time.
+Texts are dealt into blocks as they are scanned. A block asks once for each distinct chunk it has. Chunks are dealt
+into buckets by hash, so that all blocks ask for a chunk in the same bucket, whose table segments and decodes it once; the
+number of buckets grows with the texts, so a table stays small. Questions and answers are packed, one row for a bucket
+of a block, and answers come in the order asked; the block joins them to its texts by position. A chunk is asked as often
+as there are blocks that have it, not as often as it comes.
+
+The rows are scanned twice in one plan, for what blocks ask and for what they hold, as writing them would take more disk
+than all questions and answers. Should the scans ever deal them differently, a chunk has no answer, and that raises.
 """
 
 from __future__ import annotations
 
+import sys
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import own_columns, stored, table
-from gridloom.llm.text_arrays import column_bytes, ragged, steps
+from gridloom.llm.chunk_table import ChunkTable
+from gridloom.llm.common import own_columns, table
+from gridloom.llm.text_arrays import column_bytes, ragged, text_blocks
 
 MARKER = "▁"
 MARKER_BYTES = MARKER.encode()
 #: Text of one block; a longer single text is a block of its own.
 BLOCK_BYTES = 12_000_000
+#: Text, repeats included, whose distinct chunks share a bucket and thus a table.
+BUCKET_BYTES = 32_000_000
 
 
 def crossing_pieces(model) -> list[str]:
@@ -52,12 +61,22 @@ def model_of(path: str):
     return _models[path]
 
 
-def segment(chunks: list[str], model) -> tuple[list[bytes], list[bytes | None]]:
-    """ids of each chunk as little-endian 32-bit numbers, and its decoded text, None where that is the chunk itself."""
-    lone = model.piece_to_id(MARKER)  # an empty chunk is a lone marker
-    found = [ids if c else [lone] for c, ids in zip(chunks, model.encode(chunks, num_threads=1))] if chunks else []
-    decoded = model.decode(found) if found else []
-    return [np.array(ids, "<i4").tobytes() for ids in found], [None if d == c else d.encode() for c, d in zip(chunks, decoded)]
+class PieceTable(ChunkTable):
+    """Distinct chunks with their ids, and the decoded text of those that don't decode to themselves, by row."""
+
+    def __init__(self, model):
+        self.model = model
+        self.lone = [model.piece_to_id(MARKER)]  # an empty chunk is a lone marker
+        super().__init__(self._segment, most=sys.maxsize, longest=sys.maxsize)
+
+    def _clear(self) -> None:
+        super()._clear()
+        self.other: dict[int, bytes] = {}
+
+    def _segment(self, chunks: list[str]) -> list[list[int]]:
+        found = [ids if c else self.lone for c, ids in zip(chunks, self.model.encode(chunks, num_threads=1))]
+        self.other.update((self.n + i, d.encode()) for i, (c, d) in enumerate(zip(chunks, self.model.decode(found))) if c != d)
+        return found
 
 
 def chunks_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -91,111 +110,166 @@ def chunks_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return both.take(pa.array(np.arange(0, len(bounds) - 1, 2, dtype=np.int32))), doc, is_first
 
 
-class Answers:
-    """Distinct chunks with their ids and decoded bytes, in flat arrays."""
+@dataclass
+class Cut:
+    """A text column in chunks: the document of each, whether it is the document's first, and its place among the
+    column's distinct chunks."""
+
+    n: int
+    doc: np.ndarray
+    is_first: np.ndarray
+    place: np.ndarray
+    distinct: pa.Array
+
+
+def cut(column: pa.Array) -> Cut:
+    chunks, doc, is_first = chunks_of(column)
+    coded = chunks.dictionary_encode()
+    return Cut(len(column), doc.astype(np.int32), is_first, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary)
+
 
-    def __init__(self, chunks: pa.Array, ids: pa.Array, decoded: pa.Array):
-        self.chunks = chunks.cast(pa.binary())
-        data, bounds = column_bytes(ids)
-        self.ids, self.id_starts, self.id_counts = np.frombuffer(data.tobytes(), "<i4"), bounds[:-1] // 4, np.diff(bounds) // 4
-        self.text, bounds = column_bytes(pc.coalesce(decoded.cast(pa.binary()), self.chunks))
+class Answers:
+    """Distinct chunks with their ids and decoded bytes in flat arrays, from packed answers in the chunks' order."""
+
+    def __init__(self, chunks: pa.Array, answers: list[bytes]):
+        lengths, ids, at, other = [], [], [], []
+        begin = 0
+        for answer in answers:
+            n, i, where, sizes, texts = unpacked(answer)
+            lengths.append(np.frombuffer(n, "<i4").astype(np.int64))
+            total = int(lengths[-1].sum())
+            ids.append(np.frombuffer(i, "<u2" if len(i) == 2 * total else "<u4").astype(np.int32))
+            at.append(np.frombuffer(where, "<i4").astype(np.int64) + begin)
+            bounds = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<i4")))).tolist()
+            other += [texts[a:b] for a, b in zip(bounds, bounds[1:])]
+            begin += len(lengths[-1])
+        if begin != len(chunks):
+            raise RuntimeError("a chunk of this block has no answer")
+        self.chunks = chunks
+        self.id_counts = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
+        self.ids = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        self.id_starts = np.cumsum(self.id_counts) - self.id_counts
+        places = np.full(len(chunks), -1, np.int64)
+        if other:
+            places[np.concatenate(at)] = np.arange(len(other))
+            chunks = pc.coalesce(pa.array(other, pa.binary()).take(pa.array(places, mask=places < 0)), chunks)
+        self.text, bounds = column_bytes(chunks)
         self.text_starts, self.text_lengths = bounds[:-1], np.diff(bounds)
 
 
-def join_back(column: pa.Array, known: Answers) -> tuple[pa.ListArray, pa.Array]:
+def join_back(own: Cut, known: Answers) -> tuple[pa.ListArray, pa.Array]:
     """ids and decoded text of each row, from the answers to its chunks by position."""
-    chunks, doc, is_first = chunks_of(column)
-    distinct = chunks.dictionary_encode()
-    place = pc.index_in(distinct.dictionary, value_set=known.chunks)
+    place = pc.index_in(own.distinct, value_set=known.chunks)
     if place.null_count:
         raise RuntimeError("a chunk of this block has no answer")
-    row = place.to_numpy(zero_copy_only=False)[distinct.indices.to_numpy(zero_copy_only=False)]
-    n = len(column)
+    row = place.to_numpy(zero_copy_only=False)[own.place]
     lengths = known.id_counts[row]
     ids = known.ids[ragged(known.id_starts[row], lengths)]
-    bounds = np.concatenate(([0], np.cumsum(np.bincount(doc, weights=lengths, minlength=n).astype(np.int64))))
-    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(own.doc, weights=lengths, minlength=own.n).astype(np.int64))))
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
 
-    gap = (~is_first).astype(np.int64)  # the marker that the chunk lost
+    gap = (~own.is_first).astype(np.int64)  # the marker that the chunk lost
     sizes = known.text_lengths[row] + gap
     text = np.full(int(sizes.sum()), 0x20, np.uint8)
     at = np.cumsum(sizes) - sizes + gap
     text[ragged(at, sizes - gap)] = known.text[ragged(known.text_starts[row], sizes - gap)]
-    text_bounds = np.concatenate(([0], np.cumsum(np.bincount(doc, weights=sizes, minlength=n).astype(np.int64))))
-    decoded = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(text_bounds.astype(np.int32)), pa.py_buffer(text)])
+    text_bounds = np.concatenate(([0], np.cumsum(np.bincount(own.doc, weights=sizes, minlength=own.n).astype(np.int64))))
+    decoded = pa.Array.from_buffers(pa.string(), own.n, [None, pa.py_buffer(text_bounds.astype(np.int32)), pa.py_buffer(text)])
     return lists, decoded
 
 
 def encode_column(column: pa.Array, path: str) -> tuple[pa.ListArray, pa.Array]:
     """ids and decoded text of each row of one column, with a table of its own."""
-    chunks = pc.unique(chunks_of(column)[0])
-    ids, decoded = segment([c.decode("utf-8") for c in chunks.to_pylist()], model_of(path))
-    return join_back(column, Answers(chunks, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())))
+    own = cut(column)
+    return join_back(own, Answers(own.distinct, [answer(PieceTable(model_of(path)), own.distinct.to_pylist())]))
 
 
 # --- the shared table -------------------------------------------------------------------------------------------------
 
 
-def blocks_of(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, data): the rows, whose last column is the text, in blocks, each a compressed stream of Arrow batches."""
+ROW = "block long, bucket long, data binary"
+
+
+def _row(block: int, bucket: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket]), pa.array([data], pa.binary())], names=["block", "bucket", "data"])
+
+
+def packed(*parts: bytes | np.ndarray) -> bytes:
+    parts = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
+    return np.array([len(p) for p in parts], "<i8").tobytes() + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int = 5) -> list[bytes]:
+    sizes = np.frombuffer(data, "<i8", n)
+    whole = pa.decompress(data[8 * n :], decompressed_size=int(sizes.sum()), codec="zstd", asbytes=True)
+    ends = np.cumsum(sizes).tolist()
+    return [whole[e - s : e] for s, e in zip(sizes.tolist(), ends)]
+
+
+def in_buckets(distinct: list[pa.Array], buckets: int) -> tuple[pa.Array, np.ndarray]:
+    """A block's distinct chunks by bucket, and the bucket of each: the same order whenever the block is read."""
+    every = pc.unique(pa.chunked_array(distinct, pa.binary()))
+    bucket = np.empty(len(every), np.int64)
+    for at in range(0, len(every), 100_000):
+        part = every.slice(at, 100_000).to_pylist()
+        bucket[at : at + len(part)] = np.fromiter(map(zlib.crc32, part), np.int64, len(part)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    return every.take(pa.array(order)), bucket[order]
+
+
+def answer(pieces: PieceTable, chunks: list[bytes]) -> bytes:
+    """Packed: how many ids each chunk has, the ids, and place, length and bytes of texts that differ from the chunk."""
+    rows = pieces.rows(chunks)
+    ids, lengths = pieces.join(rows)
+    at = np.flatnonzero(np.isin(rows, np.fromiter(pieces.other, np.int64, len(pieces.other)))) if pieces.other else np.empty(0, np.int64)
+    other = [pieces.other[r] for r in rows[at].tolist()]
+    narrow = not len(ids) or int(ids.max()) < 1 << 16
+    return packed(lengths.astype("<i4"), ids.astype("<u2" if narrow else "<u4"), at.astype("<i4"), np.array([len(x) for x in other], "<i4"), b"".join(other))
+
+
+def _asked(block_bytes: int, buckets: int):
+    """(block, bucket, data): the distinct chunks of each block, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
-        number = TaskContext.get().partitionId() << 24
+        for block, held in text_blocks(batches, block_bytes):
+            chunks, bucket = in_buckets([pc.unique(chunks_of(b.column(b.num_columns - 1))[0]) for b in held], buckets)
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+            for a, b in zip(edges, edges[1:]):
+                text, bounds = column_bytes(chunks.slice(a, b - a))
+                yield _row(block, int(bucket[a]), packed(np.diff(bounds).astype("<i4"), text))
+
+    return run
+
 
-        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _held(block_bytes: int, buckets: int):
+    """(block, bucket, data): the rows of each block as a compressed stream, under the bucket after all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+        for block, held in text_blocks(batches, block_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=options) as writer:
                 for part in held:
                     writer.write_batch(part)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+            yield _row(block, buckets, sink.getvalue().to_pybytes())
 
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            for at, to in steps(text):
-                more = int(column_bytes(text.slice(at, to - at))[1][-1])
-                if held and size + more > block_bytes:
-                    yield packed(held)
-                    held, size, number = [], 0, number + 1
-                held.append(batch.slice(at, to - at))
-                size += more
-        if held:
-            yield packed(held)
-
-    return rows.mapInArrow(run, "block long, data binary")
-
-
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, chunk): the distinct chunks of each block."""
-    for batch in batches:
-        for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found: list[pa.Array] = []
-            for held in pa.ipc.open_stream(data.as_buffer()):
-                found.append(pc.unique(chunks_of(held.column(held.num_columns - 1))[0]))
-            every = pc.unique(pa.chunked_array(found, pa.binary()))
-            for at in range(0, len(every), 50_000):
-                part = every.slice(at, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), part.cast(pa.string())], names=["block", "chunk"])
+    return run
 
 
 def _answered(path: str):
-    """(block, chunk, ids, decoded) of rows (block, chunk) sorted by chunk: a run of equal chunks is segmented once."""
+    """(block, bucket, data): the packed answer to each packed question, sorted by bucket: a chunk is segmented once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, bytes, bytes | None] | None = None
+        pieces = PieceTable(model_of(path))
+        last = None
         for batch in batches:
-            coded = batch.column(1).dictionary_encode()
-            chunks = coded.dictionary.to_pylist()
-            goes_on = bool(chunks) and last is not None and chunks[0] == last[0]
-            ids, decoded = segment(chunks[1:] if goes_on else chunks, model_of(path))
-            if goes_on:  # the batch before ended within this run
-                ids, decoded = [last[1], *ids], [last[2], *decoded]
-            if chunks:
-                last = chunks[-1], ids[-1], decoded[-1]
-            columns = [pa.array(x, pa.binary()).take(coded.indices) for x in (ids, decoded)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["block", "chunk", "ids", "decoded"])
+            for block, bucket, asked in zip(*(batch.column(i) for i in range(3))):
+                if bucket != last:
+                    pieces._clear()
+                    last = bucket
+                sizes, text = unpacked(asked.as_py(), 2)
+                bounds = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<i4")))).tolist()
+                yield _row(block.as_py(), bucket.as_py(), answer(pieces, [text[a:b] for a, b in zip(bounds, bounds[1:])]))
 
     return run
 
@@ -207,40 +281,33 @@ def encode(documents: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
     fields = [documents.schema[k] for k in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["ids array<int>", "decoded string"])
     rows = own_columns(documents, *keep, "text").toDF(*[f"_own_{i}" for i in range(len(keep))], "_text")
-    blocks = stored(blocks_of(rows, block_bytes), "piece-blocks")
-    asked = blocks.mapInArrow(_asked, "block long, chunk string").repartition("chunk").sortWithinPartitions("chunk")
-    answers = asked.mapInArrow(_answered(path), "block long, chunk string, ids binary, decoded binary")
+    rows = rows.select(F.spark_partition_id().alias("_partition"), *rows.columns)
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    buckets = -(-size // BUCKET_BYTES) + 1
+    asked = rows.mapInArrow(_asked(block_bytes, buckets), ROW).repartition("bucket").sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(_answered(path), ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
-        parts: list[pa.RecordBatch] = []
-        known: Answers | None = None
+        found: list[bytes] = []
         for batch in batches:
-            numbers, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(numbers)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if numbers[a] != block:
-                    block, parts, known = numbers[a], [], None
-                if kinds[a] == 0:
-                    parts.append(batch.slice(a, b - a).select(["chunk", "ids", "decoded"]))
+            for number, bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if number != block:
+                    block, found = number, []
+                if bucket < buckets:
+                    found.append(data.as_py())
                     continue
-                if known is None:
-                    every = pa.Table.from_batches(parts).combine_chunks() if parts else None
-                    empty = pa.array([], pa.binary())
-                    known = Answers(*(every.column(i).combine_chunks() if every is not None else empty for i in range(3)))
-                    parts = []
-                for data in batch.column(5).slice(a, b - a):
-                    for held in pa.ipc.open_stream(data.as_buffer()):
-                        ids, decoded = join_back(held.column(held.num_columns - 1), known)
-                        yield pa.RecordBatch.from_arrays([*held.columns[:-1], ids, decoded], names=[*keep, "ids", "decoded"])
-
-    none = F.lit(None).cast("binary")
-    met = answers.select("block", F.lit(0).alias("kind"), "chunk", "ids", "decoded", none.alias("data")).unionByName(
-        blocks.select("block", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("chunk"), none.alias("ids"), none.alias("decoded"), "data")
-    )
-    return met.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
+                cuts, columns = [], []
+                for held in pa.ipc.open_stream(data.as_buffer()):
+                    cuts.append(cut(held.column(held.num_columns - 1)))
+                    columns.append(held.columns[1:-1])
+                known = Answers(in_buckets([c.distinct for c in cuts], buckets)[0], found)
+                for own, kept in zip(cuts, columns):
+                    ids, decoded = join_back(own, known)
+                    yield pa.RecordBatch.from_arrays([*kept, ids, decoded], names=[*keep, "ids", "decoded"])
+
+    met = answers.unionByName(rows.mapInArrow(_held(block_bytes, buckets), ROW))
+    return met.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, schema)
 
 
 def default_model() -> str:

@@ -102,6 +102,27 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]
         at = to
 
 
+def text_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Number and rows of each block of a partition, whose number is the first column; text is the last. A block has at
+    most ``most`` bytes of text, or is one row."""
+    number = -1
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if number < 0 and batch.num_rows:
+            number = batch.column(0)[0].as_py() << 24
+        text = batch.column(batch.num_columns - 1)
+        for at, to in steps(text, most):
+            more = int(column_bytes(text.slice(at, to - at))[1][-1])
+            if held and size + more > most:
+                yield number, held
+                held, size, number = [], 0, number + 1
+            held.append(batch.slice(at, to - at))
+            size += more
+    if held:
+        yield number, held
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i] + lengths[i] - 1`` for all i, one after another."""
     total = int(lengths.sum())

@@ -81,22 +81,30 @@ def test_pieces_over_many_blocks(spark):
 
 
 def test_equal_chunks_are_segmented_once(monkeypatch):
-    """Runs of equal chunks, cut by batches, reach the library once."""
-    asked = []
-    own = S.segment
-    monkeypatch.setattr(S, "segment", lambda chunks, model: asked.append(list(chunks)) or own(chunks, model))
-    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(c))), pa.array(c)], names=["block", "chunk"]) for c in (["", "a", "a", "b"], ["b", "b"], ["b", "c"], [])]
-    rows = pa.Table.from_batches([b for b in S._answered(S.default_model())(iter(batches)) if b.num_rows]).to_pylist()
-    assert sorted(c for part in asked for c in part) == ["", "a", "b", "c"]
-    assert [r["chunk"] for r in rows] == ["", "a", "a", "b", "b", "b", "b", "c"]
-    for chunk in "abc":
-        assert len({r["ids"] for r in rows if r["chunk"] == chunk}) == 1
+    """A chunk that several blocks ask in one bucket reaches the library once; answers come in the order asked."""
+    seen = []
+    own = S.PieceTable._segment
+    monkeypatch.setattr(S.PieceTable, "_segment", lambda self, chunks: seen.append(list(chunks)) or own(self, chunks))
+
+    def row(block, bucket, chunks):
+        return {"block": block, "bucket": bucket, "data": S.packed(np.array([len(c) for c in chunks], "<i4"), b"".join(chunks))}
+
+    rows = [row(1, 0, [b"a", b"", b"x" * 500]), row(2, 0, [b"x" * 500, b"b", b"a"]), row(1, 1, [b"c"]), row(2, 1, [b"c", b"d"])]
+    answers = [b.to_pylist()[0] for b in S._answered(S.default_model())(iter(pa.RecordBatch.from_pylist(rows[i : i + 3]) for i in (0, 3)))]
+    assert sorted(c for part in seen for c in part) == ["", "a", "b", "c", "d", "x" * 500]
+    assert [(r["block"], r["bucket"]) for r in answers] == [(1, 0), (2, 0), (1, 1), (2, 1)]
+    known = S.Answers(pa.array([b"x" * 500, b"b", b"a", b"c", b"d"]), [answers[1]["data"], answers[3]["data"]])
+    model = S.model_of(S.default_model())
+    ids, decoded = S.join_back(S.cut(pa.array(["d a b c", None, "x" * 500])), known)
+    assert ids.to_pylist() == [model.encode("d a b c"), [], model.encode("x" * 500)] and decoded.to_pylist() == ["d a b c", "", "x" * 500]
 
 
 def test_a_chunk_without_answer_raises():
-    known = S.Answers(pa.array([b"a"]), pa.array([b"\1\0\0\0"]), pa.array([None], pa.binary()))
+    pieces = S.PieceTable(S.model_of(S.default_model()))
+    with pytest.raises(RuntimeError):
+        S.Answers(pa.array([b"a", b"b"]), [S.answer(pieces, [b"a"])])
     with pytest.raises(RuntimeError):
-        S.join_back(pa.array(["a b"]), known)
+        S.join_back(S.cut(pa.array(["a b"])), S.Answers(pa.array([b"a"]), [S.answer(pieces, [b"a"])]))
 
 
 def test_op7_digests(spark, sample):
