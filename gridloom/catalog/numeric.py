@@ -173,9 +173,10 @@ def two_thresholds(spark, d):
     return T.two_thresholds(V.gray_images(spark, d))
 
 
-def _classes(spark, d):
+def _classes(spark, d, levels=False):
     px = V.gray_images(spark, d)
-    return px.join(T.two_thresholds(px), "image_id").withColumn("class", T.quantize(F.col("v"), [F.col("low_threshold"), F.col("high_threshold")]))
+    rows = px.groupBy("image_id", "v").agg(F.count("*").alias("pixels")) if levels else px
+    return rows.join(T.two_thresholds(px), "image_id").withColumn("class", T.quantize(F.col("v"), [F.col("low_threshold"), F.col("high_threshold")]))
 
 
 @query("quantize_classes", f"{_TWO} SELECT px.image_id, r, c, CAST(1 + CAST(v > low_threshold AS INT) + CAST(v > high_threshold AS INT) AS BIGINT) AS class FROM px JOIN two USING (image_id)")
@@ -185,7 +186,7 @@ def quantize_classes(spark, d):
 
 @query("class_coverage", f"{_TWO}, q AS (SELECT px.image_id, v, CAST(1 + CAST(v > low_threshold AS INT) + CAST(v > high_threshold AS INT) AS BIGINT) AS class FROM px JOIN two USING (image_id)) SELECT i.image_id, k.range AS class, round(count(q.v) / 1000.0::DOUBLE, 6) AS coverage, round(avg(q.v), 6) AS mean_gray FROM (SELECT DISTINCT image_id FROM px) i CROSS JOIN range(1, 4) k LEFT JOIN q ON q.image_id = i.image_id AND q.class = k.range GROUP BY 1, 2")
 def class_coverage(spark, d):
-    return rounded(T.class_table(_classes(spark, d), F.col("class"), 3), "coverage", "mean_gray")
+    return rounded(T.class_table(_classes(spark, d, levels=True), F.col("class"), 3, F.col("pixels")), "coverage", "mean_gray")
 
 
 # --- clusters and distances -----------------------------------------------------------------------------------------

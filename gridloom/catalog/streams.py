@@ -16,7 +16,7 @@ _SERIES = f"WITH {OTSU}, l AS (SELECT image_id, threshold, {{used}} AS level_use
 
 @query("frame_concentration", _SERIES.format(used="threshold"))
 def frame_concentration(spark, d):
-    return rounded(P.concentration_series(V.frames(spark, d), running=False), "concentration")
+    return rounded(P.concentration_series(V.frames(spark, d), highest=False), "concentration")
 
 
 @query("frame_concentration_running", _SERIES.format(used="max(threshold) OVER (ORDER BY image_id ROWS UNBOUNDED PRECEDING)"))
@@ -26,7 +26,7 @@ def frame_concentration_running(spark, d):
 
 @query("frame_reverse_counts", f"SELECT frame_idx, n_object, CAST(sum(n_object) OVER (ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS later FROM ({_SERIES.format(used='threshold')})")
 def frame_reverse_counts(spark, d):
-    return P.reverse_running(P.concentration_series(V.frames(spark, d), running=False)).select("frame_idx", "n_object", "later")
+    return P.reverse_running(P.concentration_series(V.frames(spark, d), highest=False)).select("frame_idx", "n_object", "later")
 
 
 @query("frame_prepared", f"WITH {PX} SELECT image_id AS frame_idx, r, c, CASE WHEN r BETWEEN 10 AND 14 AND c BETWEEN 20 AND 29 THEN 0 ELSE v END AS v FROM px WHERE r BETWEEN 5 AND 20 AND c BETWEEN 10 AND 34")

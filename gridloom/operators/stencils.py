@@ -213,7 +213,7 @@ def edges(px: DataFrame, kind: str = "sobel", level: float | None = None, thin:
     return marked.withColumns(side).withColumn("is_edge", strong & (across | along_)).drop(*side)
 
 
-def log_edges(px: DataFrame, sigma: float = 1.0, level: float | None = None) -> DataFrame:
+def log_edges(px: DataFrame, sigma: float = 2.0, level: float | None = None) -> DataFrame:
     """Zero crossings of the Laplacian of a Gaussian: a negative pixel whose neighbour is positive by more than the
     level apart, or an exact nought between opposite signs twice the level apart. Border pixels are never edges."""
     size = 2 * math.ceil(3 * sigma) + 1

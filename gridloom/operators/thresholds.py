@@ -125,8 +125,8 @@ def two_thresholds(px: DataFrame) -> DataFrame:
     m1, m2, m3 = F.col("m").cast("double"), (F.col("m2") - F.col("m")).cast("double"), (F.col("mass") - F.col("m2")).cast("double")
     score = F.when((w1 > 0) & (w2 > 0) & (w3 > 0), F.try_divide(m1 * m1, w1) + F.try_divide(m2 * m2, w2) + F.try_divide(m3 * m3, w3))
     scored = pairs.select("image_id", "t", "t2", score.alias("score")).where("score is not null")
-    best = scored.groupBy("image_id").agg(F.max("score").alias("best"))
-    tied = scored.join(best, "image_id").where(F.col("score") >= F.col("best") * (1 - 1e-13)).groupBy("image_id").agg(F.avg("t").alias("t1"), F.avg("t2").alias("t2"))
+    best = scored.withColumn("best", F.max("score").over(Window.partitionBy("image_id")))  # the join's own partitions
+    tied = best.where(F.col("score") >= F.col("best") * (1 - 1e-13)).groupBy("image_id").agg(F.avg("t").alias("t1"), F.avg("t2").alias("t2"))
     back = lambda t: F.floor(F.col("low") + F.col(t) / 255.0 * (F.col("high") - F.col("low")) + 0.5).cast("bigint")
     return tied.join(ends, "image_id").select("image_id", back("t1").alias("low_threshold"), back("t2").alias("high_threshold"))
 
@@ -139,9 +139,11 @@ def quantize(v: Column, levels: list[Column]) -> Column:
     return out
 
 
-def class_table(px: DataFrame, labels: Column, k: int) -> DataFrame:
-    """image_id, class (1 to k), coverage, mean gray (null for an empty class)."""
-    counted = px.groupBy("image_id", labels.alias("class")).agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+def class_table(px: DataFrame, labels: Column, k: int, pixels: Column | None = None) -> DataFrame:
+    """image_id, class (1 to k), coverage, mean gray (null for an empty class). Rows are pixels or, with ``pixels``, the
+    levels of an image and how many pixels have each."""
+    pixels = F.lit(1) if pixels is None else pixels
+    counted = px.groupBy("image_id", labels.alias("class")).agg(F.sum(pixels).alias("n"), F.sum(F.col("v") * pixels).alias("s"))
     every = px.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(k).cast("bigint"))).alias("class"))
     whole = Window.partitionBy("image_id")
     joined = every.join(counted, ["image_id", "class"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))

@@ -22,24 +22,45 @@ def prepared(frames: DataFrame, rows: tuple[int, int], cols: tuple[int, int], bo
     return frames.where(inside).withColumn("v", F.when(blank, 0).otherwise(F.col("v")).cast("bigint"))
 
 
-def concentration_series(frames: DataFrame, running: bool = True, pixels: int | None = None) -> DataFrame:
+#: Frames of a block of a running value; the carries between blocks are one row a block.
+BLOCK = 4096
+
+
+def running(series: DataFrame, at: str, column: str, name: str, aggregate=F.sum, later: bool = False, block: int = BLOCK) -> DataFrame:
+    """series with ``name``: the aggregate (sum, max or min) of ``column`` from the first row to each (``later``: from
+    each row to the last) by rising ``at``.
+
+    Blocks of neighbouring rows run by themselves; what comes before (after) a block is a running value of one row a
+    block, joined back, so no task sees all rows.
+    """
+    blocked = series.withColumn("_block", F.floor(F.col(at) / block))
+    own = Window.partitionBy("_block").orderBy(at)
+    own = own.rowsBetween(0, Window.unboundedFollowing) if later else own.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = Window.orderBy("_block").rowsBetween(*((1, Window.unboundedFollowing) if later else (Window.unboundedPreceding, -1)))
+    carry = blocked.groupBy("_block").agg(aggregate(column).alias("_of")).select(F.col("_block").alias("_of_block"), aggregate("_of").over(blocks).alias("_carry"))
+    both = F.array(F.col("_own"), F.col("_carry"))
+    joined = blocked.withColumn("_own", aggregate(column).over(own)).join(carry, F.col("_block").eqNullSafe(F.col("_of_block")), "left")
+    total = {F.sum: F.when(F.col("_own").isNull(), F.col("_carry")).otherwise(F.col("_own") + F.coalesce("_carry", F.lit(0))), F.max: F.array_max(both), F.min: F.array_min(both)}
+    return joined.withColumn(name, total[aggregate]).drop("_own", "_carry", "_block", "_of_block")
+
+
+def concentration_series(frames: DataFrame, highest: bool = True, pixels: int | None = None) -> DataFrame:
     """frame_idx, threshold, level_used, n_object, concentration: each frame's Otsu level (or the highest so far),
     the pixels at or above it, over a fixed number of pixels or the frame's own.
 
-    Frames are counted to 256 rows first; the running maximum then sees one row a frame.
+    Frames are counted to 256 rows first; the running maximum then sees one row a frame, in blocks.
     """
     hist = gray_histogram(as_images(frames))
     found = otsu(hist).select("image_id", "threshold")
-    used = F.max("threshold").over(Window.orderBy("image_id").rowsBetween(Window.unboundedPreceding, 0)) if running else F.col("threshold")
-    levels = found.withColumn("level_used", used)
+    levels = running(found, "image_id", "threshold", "level_used", F.max) if highest else found.withColumn("level_used", F.col("threshold"))
     counted = hist.join(levels, "image_id").groupBy(F.col("image_id").alias("frame_idx"), "threshold", "level_used")
     total = F.lit(float(pixels)) if pixels else F.sum("n").cast("double")
     return counted.agg(F.sum(F.when(F.col("bin") >= F.col("level_used"), F.col("n")).otherwise(0)).alias("n_object"), total.alias("total")).select("frame_idx", "threshold", "level_used", "n_object", (F.col("n_object") / F.col("total")).alias("concentration"))
 
 
 def reverse_running(series: DataFrame, column: str = "n_object") -> DataFrame:
-    """Adds ``later``: the sum from each frame to the last; one row a frame."""
-    return series.withColumn("later", F.sum(column).over(Window.orderBy("frame_idx").rowsBetween(0, Window.unboundedFollowing)))
+    """Adds ``later``: the sum from each frame to the last; one row a frame, in blocks."""
+    return running(series, "frame_idx", column, "later", F.sum, later=True)
 
 
 def cluster_series(frames: DataFrame, k: int = 2, top: int = 1) -> DataFrame:
