@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys in one partition, over all the session's shuffle partitions. The number is stated, as adaptive
+    execution would merge partitions by their bytes, and the work that follows a few bytes here is large."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def raster(pdf: pd.DataFrame, value: str = "v", fill=0) -> tuple[np.ndarray, int, int]:
     """The dense array of one image's pixels, and its least row and column."""
     r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
@@ -40,7 +46,7 @@ def per_image(px: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray
         return out
 
     lead = ", ".join(f"{k} bigint" for k in keys)
-    return px.select(*keys, "r", "c", value).groupBy(*keys).applyInPandas(run, f"{lead}, r bigint, c bigint, {schema}")
+    return dealt_by(px.select(*keys, "r", "c", value), *keys).groupBy(*keys).applyInPandas(run, f"{lead}, r bigint, c bigint, {schema}")
 
 
 def rows_per_image(px: DataFrame, kernel: Callable[[np.ndarray], pd.DataFrame], schema: str, keys: tuple[str, ...] = ("image_id",), value: str = "v") -> DataFrame:
@@ -54,7 +60,7 @@ def rows_per_image(px: DataFrame, kernel: Callable[[np.ndarray], pd.DataFrame],
         return out
 
     lead = ", ".join(f"{k} bigint" for k in keys)
-    return px.select(*keys, "r", "c", value).groupBy(*keys).applyInPandas(run, f"{lead}, {schema}")
+    return dealt_by(px.select(*keys, "r", "c", value), *keys).groupBy(*keys).applyInPandas(run, f"{lead}, {schema}")
 
 
 Region = dict[str, np.ndarray]
@@ -99,4 +105,4 @@ def per_region(labels: DataFrame, kernel: Callable[[Region], dict[str, list | np
         return pd.DataFrame(whole)
 
     dealt = labels.select(image, label, *columns).withColumn("_bucket", F.floor(F.col(label) / regions))
-    return dealt.groupBy(image, "_bucket").applyInPandas(run, f"{image} bigint, {label} bigint, {schema}")
+    return dealt_by(dealt, image, "_bucket").groupBy(image, "_bucket").applyInPandas(run, f"{image} bigint, {label} bigint, {schema}")
