@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import catalog
+from gridloom.operators import resample as R
 from gridloom.operators.regions import label_images, label_tiled
 from gridloom.operators.thresholds import class_table
 from gridloom.plans.frames import running
@@ -46,3 +48,38 @@ def test_class_table_of_levels(spark):
     plain = class_table(px, label, 3).orderBy("image_id", "class").collect()
     assert plain == class_table(levels, label, 3, F.col("pixels")).orderBy("image_id", "class").collect()
     assert [tuple(x)[1:] for x in plain if x["image_id"] == 1] == [(1, 0.0, None), (2, 1.0, 9.0), (3, 0.0, None)]
+
+
+def _sampled(px, points, reach, kernel, h, w):
+    """Tap by tap: the sum over the pixels there are of weight times value, borders replicated."""
+    out = {}
+    for q, y, x in points:
+        y, x = min(max(y, 0.0), h - 1.0), min(max(x, 0.0), w - 1.0)
+        taps = [(min(max(int(y) + i, 0), h - 1), min(max(int(x) + j, 0), w - 1), kernel(y - int(y) - i) * kernel(x - int(x) - j)) for i in reach for j in reach]
+        met = [(px[r, c], k) for r, c, k in taps if k and (r, c) in px]
+        if met:
+            values = [v * k for v, k in met if v is not None]
+            out[q] = round(sum(values), 9) + 0.0 if values else None
+    return out
+
+
+@pytest.mark.parametrize("method", ["bilinear", "bicubic"])
+def test_sampling_tap_by_tap(spark, method):
+    """Holes, nulls, borders and points off the lattice."""
+    keys = lambda d: 1.5 * d**3 - 2.5 * d**2 + 1 if d <= 1 else -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2 if d < 2 else 0.0
+    reach, kernel = ((0, 1), lambda d: max(0.0, 1 - abs(d))) if method == "bilinear" else ((-1, 0, 1, 2), lambda d: keys(abs(d)))
+    px = {(r, c): float((7 * r + 13 * c) % 11) for r in range(6) for c in range(5) if (5 * r + c) % 4} | {(2, 2): None, (5, 4): 3.0}
+    points = [(k, (k % 17) * 0.5 - 1, (k % 13) * 0.375 - 0.5) for k in range(17 * 13)]
+    pixels = spark.createDataFrame([(0, r, c, v) for (r, c), v in px.items()], "image_id long, r long, c long, v double")
+    queries = spark.createDataFrame([(0, *p) for p in points], "image_id long, q long, y double, x double")
+    found = {r.q: None if r.out is None else round(r.out, 9) + 0.0 for r in R.sample(pixels, queries, method, "replicate").collect()}
+    assert found == pytest.approx(_sampled(px, points, reach, kernel, 6, 5))
+
+
+def test_exploded_points_are_never_broadcast(spark, tmp_path):
+    """Their estimated size is that of the few images they come from; as a broadcast they filled the driver."""
+    spark.range(2000).selectExpr("id as event_id", "cast(id % 256 as double) as value").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("resize_nearest", "resize_bilinear", "resize_bicubic"):
+        df = catalog.queries()[name](spark, str(tmp_path))
+        assert len(df.collect()) == 2 * 38 * 60
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
