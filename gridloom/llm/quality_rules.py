@@ -2,9 +2,9 @@
 
 Rule statistics of a whole text are counted on flat word arrays. A document fails the base rules if it has under
 50 words or if over half of its words repeat; of the rest, an isolation forest finds the anomalous ones: short
-average paths over random splits mark a row as easy to isolate. The forest is grown on the statistics as they are, of
-a bounded sample of labelled rows, good and bad alike; only the score from which a document is rejected comes from the
-labels.
+average paths over random splits mark a row as easy to isolate. The forest is grown on the statistics as they are, each
+tree on its few rows out of all labelled ones, good and bad alike; the score from which a document is rejected comes
+from every labelled row.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_sample, own_columns, sealed, table, unsealed
+from gridloom.llm.common import own_columns, sealed, stored, table, unsealed
 from gridloom.llm.text_arrays import IS_SEPARATOR, steps, words_of
 
 MIN_WORDS = 50
@@ -157,17 +157,20 @@ class Forest:
 
     @classmethod
     def grow(cls, rows: np.ndarray, n_trees: int = 200, sample: int = 64, seed: int = 7) -> Forest:
-        """Each tree splits a random sample of rows on a random column with spread, at a random place within it."""
+        """Each tree splits ``sample`` of the rows on a random column with spread, at a random place within it. Rows are
+        dealt to the trees without repeats, or each tree draws its own where they don't suffice."""
         rng = np.random.default_rng(seed)
         size = min(sample, len(rows))
         forest = cls([], max(2, size))
         if not size:
             return forest
         depth = max(1, int(np.ceil(np.log2(max(2, size)))))
-        for _ in range(n_trees):
+        dealt = rng.permutation(len(rows))
+        for tree in range(n_trees):
+            own = dealt[tree * size : (tree + 1) * size] if len(rows) >= n_trees * size else rng.choice(len(rows), size, replace=False)
             n_nodes = 2 ** (depth + 1) - 1
             column, cut, leaf = np.full(n_nodes, -1), np.zeros(n_nodes), np.zeros(n_nodes)
-            todo = [(0, rows[rng.choice(len(rows), size, replace=False)], 0)]
+            todo = [(0, rows[own], 0)]
             while todo:
                 node, inside, level = todo.pop()
                 spread = np.flatnonzero(inside.max(0) > inside.min(0)) if len(inside) > 1 else ()
@@ -217,6 +220,18 @@ class Forest:
         # half way to the nearest bad row above the good ones, so that neither side is on the edge
         self.threshold = float((floor + above[0]) / 2) if len(above) else float(floor) + 0.05
 
+    def calibrate_on(self, scores: DataFrame, lost: float) -> Forest:
+        """``calibrate`` on a table (good, score) of any size; only two scores come to the driver."""
+        n_good = scores.where("good").count()
+        if not n_good:
+            return self
+        allowed = int(np.floor(lost * n_good))
+        floor = scores.where("good").orderBy(F.desc("score")).limit(allowed + 1).agg(F.min("score")).first()[0]
+        above = scores.where(~F.col("good") & (F.col("score") > floor)).agg(F.min("score")).first()[0]
+        # half way to the nearest bad row above the good ones, so that neither side is on the edge
+        self.threshold = float(floor) + 0.05 if above is None else float((floor + above) / 2)
+        return self
+
 
 def _measured(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, dict, np.ndarray]]:
     for batch in batches:
@@ -226,28 +241,39 @@ def _measured(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...]) -> Iter
             yield batch.slice(at, to - at).select(list(extra)), counts, _statistics(counts)
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, n_trees: int = 200, sample: int = 64, lost: float = 0.002, seed: int = 7) -> Forest:
-    """Grow and calibrate a forest on at most ``max_rows`` labelled rows, chosen by the hash of their id.
+def learn(documents: DataFrame, labels: DataFrame, n_trees: int = 200, sample: int = 64, lost: float = 0.002, seed: int = 7) -> Forest:
+    """Grow a forest from all labelled rows and calibrate it on all of them.
+
+    An isolation forest grows each tree on few rows, here ``sample``: they are drawn by a hash from all labelled rows,
+    and each tree has rows of its own as long as they last. The threshold is set on every labelled row, by its score.
 
     Rows with a null id or label, or without a document, aren't used, nor those that fail the base rules. Of labels
     that an id has more than once, the best counts; documents that share an id all count. Without labelled rows nothing
     is anomalous.
     """
-    picked = bounded_sample(own_columns(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", max_rows)
     as_text = F.col("doc_id").cast("string")  # the two tables' ids may be of different types
-    rows = own_columns(documents, "doc_id", "text").withColumn("doc_id", as_text).join(F.broadcast(picked.withColumn("doc_id", as_text)), "doc_id")
+    marked = own_columns(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
+    marked = marked.groupBy(as_text.alias("doc_id")).agg(F.max("quality").alias("quality"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, counts, stats in _measured(batches, ("quality",)):
-            cols = {"quality": pc.cast(ids.column(0), pa.int32())} | {k: pa.array(stats[:, i]) for i, k in enumerate(STATISTICS)}
+        for ids, counts, stats in _measured(batches, ("doc_id",)):
+            cols = {"doc_id": pc.cast(ids.column(0), pa.string())} | {k: pa.array(stats[:, i]) for i, k in enumerate(STATISTICS)}
             yield pa.RecordBatch.from_pydict(cols).filter(pa.array(~_fails(counts)))
 
-    schema = "quality int, " + ", ".join(f"{k} double" for k in STATISTICS)
-    found = rows.mapInArrow(measure, schema).toPandas().sort_values(["quality", *STATISTICS])  # max_rows rows of numbers
-    stats, good = found[list(STATISTICS)].to_numpy(float), found["quality"].to_numpy() == 1
-    forest = Forest.grow(stats, n_trees, sample, seed)
-    forest.calibrate(forest.score(stats), good, lost)
-    return forest
+    schema = "doc_id string, " + ", ".join(f"{k} double" for k in STATISTICS)
+    # statistics meet labels, not texts: a row of numbers moves
+    own = own_columns(documents, "doc_id", "text").where("doc_id is not null").withColumn("doc_id", as_text)
+    rows = stored(own.mapInArrow(measure, schema).join(marked, "doc_id"), "labelled-statistics")
+    drawn = rows.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), *STATISTICS).limit(n_trees * sample)  # the trees' own rows
+    forest = Forest.grow(drawn.select(*STATISTICS).toPandas().to_numpy(float), n_trees, sample, seed)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = np.stack([batch.column(i + 1).to_numpy() for i in range(len(STATISTICS))], axis=1)
+            yield pa.RecordBatch.from_arrays([pc.equal(batch.column(0), 1), pa.array(forest.score(stats))], names=["good", "score"])
+
+    marks = stored(rows.select(F.col("quality").cast("int"), *STATISTICS).mapInArrow(scored, "good boolean, score double"), "labelled-scores")
+    return forest.calibrate_on(marks, lost)
 
 
 def _fails(c: dict[str, np.ndarray]) -> np.ndarray:

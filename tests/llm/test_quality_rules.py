@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +88,26 @@ def test_good_rows_stay_and_bad_rows_go(sample, sample_labels):
     forest.trees = forest.trees[:1]  # one tree alone judges otherwise: it is the forest that decides
     fewer = Q.judge(sample, forest).join(sample_labels, "doc_id").where("not base_failed").toPandas()
     assert (fewer.sort_values("doc_id")["kept"].to_numpy() != joined.sort_values("doc_id")["kept"].to_numpy()).any()
+
+
+def test_every_labelled_row_sets_the_threshold(spark):
+    """9000 labelled rows, more than were once looked at: as on arrays, and each row counts."""
+    rng = np.random.default_rng(3)
+    good = rng.random(9000) < 0.9
+    scores = np.where(good, rng.normal(0.4, 0.05, 9000), rng.normal(0.6, 0.1, 9000))
+    table = spark.createDataFrame([(bool(g), float(s)) for g, s in zip(good, scores)], "good boolean, score double")
+    plain = Q.Forest()
+    plain.calibrate(scores, good, 0.002)
+    assert Q.Forest().calibrate_on(table, 0.002).threshold == plain.threshold
+    more = table.union(spark.createDataFrame([(True, 5.0)] * 40, table.schema))
+    assert Q.Forest().calibrate_on(more, 0.002).threshold >= 5.0
+
+
+def test_learning_takes_all_labelled_rows(spark, monkeypatch):
+    """Every labelled document reaches the calibration."""
+    seen = []
+    monkeypatch.setattr(Q.Forest, "calibrate_on", lambda self, scores, lost: seen.append(scores.count()) or self)
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = spark.range(6500).select(F.col("id").alias("doc_id"), F.concat(F.lit(text + " "), F.col("id").cast("string")).alias("text"))
+    Q.learn(docs, docs.selectExpr("doc_id", "1 as quality"), n_trees=2)
+    assert seen == [6500]
