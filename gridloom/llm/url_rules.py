@@ -1,7 +1,7 @@
 """URL filter: fixed host and path rules, and association rules mined from labelled URLs.
 
-A URL is a set of tokens (scheme, host suffixes and labels, path words, extension, query keys). FP-growth finds the
-token sets that are frequent among labelled URLs together with their label. A rule stays if its label is more frequent
+A URL is a set of tokens (scheme, host suffixes and labels, path words, extension, query keys). A search
+level by level finds the token sets that are frequent among all labelled URLs together with their label. A rule stays if its label is more frequent
 with its tokens than among all labelled URLs, by lift and beyond chance, so that the rarer label has its rules too. A
 URL matches a rule if it has all its tokens, found through an inverted index from tokens to rules; the greatest lift
 decides. Fixed rules come first: the longest that fits decides.
@@ -16,19 +16,17 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_sample, own_columns, stored, table
+from gridloom.llm.common import own_columns, stored, table
 
 #: (host, path, verdict), given by contract.
 FIXED_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 BLOCK, ALLOW = "block", "allow"
-MAX_ROWS = 20_000
-#: Tokens of a labelled URL that are mined, the rarest of the frequent ones: a URL then supports at most 2**MOST_TOKENS sets.
-MOST_TOKENS = 10
 
 
 def host_of(url: Column) -> Column:
@@ -112,8 +110,39 @@ def _tokenized(pages: DataFrame) -> DataFrame:
     return pages.select("url", "bad").mapInArrow(run, "items array<string>")
 
 
-def mine(pages: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_support: float = 0.005, min_rows: int = 8, min_lift: float = 1.3, min_sigma: float = 4.0) -> MinedRules:
-    """Rules from at most ``max_rows`` labelled pages, chosen by the hash of their id; none without labels.
+def _counted(rows: DataFrame, sets: list[tuple[str, ...]], marked: str) -> dict[tuple[str, ...], tuple[int, int]]:
+    """In how many rows each set of tokens lies, and in how many of those with the item ``marked``; over all rows."""
+    index = {t: i for i, t in enumerate(sorted({t for own in sets for t in own} | {marked}))}
+    places = [[index[t] for t in own] for own in sets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(sets), 2), np.int64)
+        for batch in batches:
+            items = batch.column(0)
+            has = np.zeros((len(index), batch.num_rows), bool)
+            at = np.array([index.get(t, -1) for t in items.flatten().to_pylist()], np.int64)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(items).to_numpy(zero_copy_only=False))
+            has[at[at >= 0], row[at >= 0]] = True
+            for i, own in enumerate(places):
+                met = np.logical_and.reduce(has[own])
+                total[i] += np.count_nonzero(met), np.count_nonzero(met & has[index[marked]])
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(sets)), pa.int64()), "n": pa.array(total[:, 0]), "hits": pa.array(total[:, 1])})
+
+    found = rows.select("items").mapInArrow(run, "i long, n long, hits long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    return {sets[r["i"]]: (r["n"], r["hits"]) for r in found.orderBy("i").collect()}  # one row a set
+
+
+def _joined(sets: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """Sets of one more token all of whose parts are there; each set is sorted."""
+    known, by_head = set(sets), {}
+    for own in sorted(sets):
+        by_head.setdefault(own[:-1], []).append(own[-1])
+    more = ((*head, x, y) for head, last in by_head.items() for i, x in enumerate(last) for y in last[i + 1 :])
+    return [own for own in more if all(own[:i] + own[i + 1 :] in known for i in range(len(own)))]
+
+
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_rows: int = 8, min_lift: float = 1.3, min_sigma: float = 4.0) -> MinedRules:
+    """Rules from all labelled pages and all their frequent tokens; none without labels.
 
     A rule stays if its tokens and verdict come together in ``min_support`` of the rows and in ``min_rows``, if the
     verdict's share among them is ``min_lift`` times that among all rows and ``min_sigma`` standard errors above it,
@@ -122,8 +151,7 @@ def mine(pages: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_supp
     """
     marked = own_columns(labels, "doc_id", "quality", "toxic").where("doc_id is not null")
     marked = marked.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad"))
-    picked = bounded_sample(own_columns(pages, "page_id").distinct().join(marked, "page_id"), "page_id", max_rows)  # ids alone
-    rows = stored(_tokenized(own_columns(pages, "page_id", "url").join(F.broadcast(picked), "page_id")), "url-tokens")
+    rows = stored(_tokenized(own_columns(pages, "page_id", "url").join(marked, "page_id")), "url-tokens")
     n = rows.count()
     if not n:
         return MinedRules()
@@ -134,32 +162,36 @@ def mine(pages: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_supp
     each = rows.select(row, F.explode("items").alias("token")).where(~F.col("token").isin(verdicts))
     seen = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("where")).where(F.col("n") >= least * n)
     frequent = seen.groupBy("n", "where").agg(F.min("token").alias("token")).select("n", "token").collect()  # bounded by the support
-    rank = {r["token"]: (r["n"], r["token"]) for r in frequent}
-
-    def specific(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items = [sorted((t for t in own if t in rank), key=rank.get)[:MOST_TOKENS] + [t for t in own if t in verdicts] for own in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], names=["items"])
-
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=0.0).fit(rows.mapInArrow(specific, "items array<string>"))
-    sets = model.freqItemsets.where(F.size("items") <= MOST_TOKENS + 1).collect()  # bounded by the support and MOST_TOKENS
-    counts = {frozenset(r["items"]): r["freq"] for r in sets}
-    base = {v: counts.get(frozenset([v]), 0) / n for v in verdicts}
-    lifts: dict[tuple[frozenset[str], str], float] = {}
-    for items, hits in counts.items():
-        for v in verdicts:
-            tokens = items - {v}
-            if v in items and tokens and not tokens & set(verdicts) and 0 < base[v] < 1:
-                share, all_ = hits / counts[tokens], counts[tokens]
-                if share >= min_lift * base[v] and share - base[v] >= min_sigma * (base[v] * (1 - base[v]) / all_) ** 0.5:
-                    lifts[tokens, v] = share / base[v]
-    best: dict[tuple[frozenset[str], str], float] = {}
+    bad = rows.where(F.array_contains("items", verdicts[0])).count()
+    base = {verdicts[0]: bad / n, verdicts[1]: 1 - bad / n}
+    counts: dict[tuple[str, ...], int] = {(): n}
+    best: dict[tuple[tuple[str, ...], str], float] = {}
     kept = []
-    for (tokens, v), lift in sorted(lifts.items(), key=lambda x: (len(x[0][0]), sorted(x[0][0]), x[0][1])):
-        fewer = max((best.get((tokens - {t}, v), 0.0) for t in tokens), default=0.0)
-        best[tokens, v] = max(lift, fewer)
-        if lift > fewer:
-            kept.append((tokens, v[3:], lift))
+    # Level by level: a set of tokens that lies in the very rows of a part of it has that part's lifts, so neither it nor
+    # any larger set is a rule; nor is one whose verdict is too rare, or one beyond a set that has a single verdict.
+    level = sorted((r["token"],) for r in frequent)
+    while level:
+        following = []
+        for tokens, (all_, hits) in _counted(rows, level, verdicts[0]).items():
+            parts = [tokens[:i] + tokens[i + 1 :] for i in range(len(tokens))]
+            if any(counts[part] == all_ for part in parts if part):
+                continue
+            alive = False
+            for v, h in zip(verdicts, (hits, all_ - hits)):
+                fewer = max((best.get((part, v), 0.0) for part in parts), default=0.0)
+                share, b = h / max(all_, 1), base[v]
+                lift = 0.0
+                if 0 < b < 1 and h >= least * n:
+                    if share >= min_lift * b and share - b >= min_sigma * (b * (1 - b) / all_) ** 0.5:
+                        lift = share / b
+                    alive |= share < 1 and h * (1 - b) >= min_sigma**2 * b
+                best[tokens, v] = max(lift, fewer)
+                if lift > fewer:
+                    kept.append((frozenset(tokens), v[3:], lift))
+            if alive:
+                counts[tokens] = all_
+                following.append(tokens)
+        level = _joined(following)
     return MinedRules.of(kept)
 
 

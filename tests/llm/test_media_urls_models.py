@@ -321,3 +321,16 @@ def test_media_are_decoded_from_what_was_written(spark, monkeypatch):
     rows = M.op8_gif_media(spark, "/root/testdata/sf0.001")
     assert len(rows.inputFiles()) and all("/gridloom/media-" in f for f in rows.inputFiles())
     assert seen[0].select("media").where("media is not null").count() == rows.count()
+
+
+def test_all_tokens_of_a_url_are_mined(spark):
+    """URLs of eleven or twelve frequent tokens, all of which are mined."""
+    rng = np.random.default_rng(8)
+    signal = rng.random(600) < 0.5
+    keys = [[f"k{j}" for j in range(12) if (i + j) % 12 < 11] for i in range(600)]
+    urls = [f"http://a.example.org/{i}?" + "&".join([*ks, *(["sig"] if s else [])]) for i, (ks, s) in enumerate(zip(keys, signal))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not s), 0) for i, s in enumerate(signal)], "doc_id long, quality int, toxic int")
+    mined = U.mine(pages, labels, min_support=0.2)
+    assert (frozenset(["query:sig"]), "block") in {(t, v) for t, v, _ in mined.rules}
+    assert not [t for t, v, _ in mined.rules if v == "block" and len(t) > 1]  # a pure rule needs no more tokens
