@@ -61,9 +61,14 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
+def marked(which: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``which[data]`` for a boolean of each byte value, several times as fast."""
+    return np.frombuffer(data.tobytes().translate(which.tobytes()), bool)
+
+
 def words_of(column: pa.Array, separator: np.ndarray = IS_SEPARATOR) -> Words:
     data, offsets = column_bytes(column)
-    inside = ~separator[data]
+    inside = ~marked(separator, data)
     begins = np.zeros(len(data) + 1, bool)  # a document's first byte begins a word even after a word
     begins[offsets] = True
     before = np.empty(len(data), bool)
